@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat_formatting
+from .decontam import op1_decontamination
+from .langid import op4_language_id
 from .minhash import op7_minhash_near_dedup
+from .mixing import OP8_SQL, op8_mix_sources
+from .quality import op9_quality_classifier
+from .substring import op10_substring_dedup
+from .tokens import op3_token_counts, op5_token_files
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
+    "op5_token_files": op5_token_files,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_chat_formatting": OP6_SQL,
+    "op8_mix_sources": OP8_SQL,
+}
