@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontam import op1_decontamination
+from .embed import op2_embedding_near_dedup
 from .langid import op4_language_id
 from .minhash import op7_minhash_near_dedup
 from .mixing import OP8_SQL, op8_mix_sources
@@ -13,6 +14,7 @@ from .tokens import op3_token_counts, op5_token_files
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
