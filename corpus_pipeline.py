@@ -1,13 +1,67 @@
-"""A corpus pipeline of stages over `documents`."""
+"""A training corpus from `documents` in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of their docs. run() writes
+each stage's rows to the shared folder as Parquet and reads them again for the next one, so a lost executor costs one stage's
+tasks at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm.base import documents, id_key, shared_folder
+from folioscope.llm.decontam import clean
+from folioscope.llm.minhash import near_duplicates
+from folioscope.llm.mixing import mixed_documents
+from folioscope.llm.quality import fit_quality, keep_quality
+from folioscope.llm.tokens import token_files
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on a bounded sample of the labels, does not reject. Empty texts are scored too."""
+    return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group linked by 5-word shingles; equal rows become one. Blank texts stay."""
+    found = near_duplicates(docs)
+    kept = found.where("doc_key = component").select(F.col("doc_key").alias("key__")).distinct()
+    keyed = docs.withColumn("key__", id_key())
+    return keyed.join(kept, "key__", "left_semi").dropDuplicates(["key__", "text"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with a benchmark item."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one document of a source may be cut to reach the source's target."""
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
+
+#: A classifier and a tokenizer are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over `documents`."""
+    docs, folder = documents(spark, sf_dir), shared_folder(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

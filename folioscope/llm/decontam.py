@@ -135,10 +135,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` without any verified overlap, all columns unchanged; rows of one doc_id share their fate."""
-    leaks = overlaps(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """The rows of `docs` (a column text; all columns stay) without any verified overlap, as defined by :func:`overlaps`."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, most_tokens):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent) -> Iterator[pa.RecordBatch]:
+            index, cache = Index(sent.value, masks), WordHash()
+            for b in batches:
+                ok = [next(index.overlaps(cache.of(tokens(text)), window, share), None) is None for (text,) in arrow_rows([b.select([at])])]
+                yield b.filter(pa.array(ok, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .base import WORD, documents, saved
 
 EPOCHS, SEED = 3, 17
+_RESERVED = {"size", "source_size", "target", "taken", "src", "src_", "h_", "range_", "words", "before", "whole", "rest", "extra"}
 
 
 def source_key(source: Column) -> Column:
@@ -49,13 +50,14 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     Sources by code point (null last) weigh `weights`, repeating. Every document is taken floor(target / source_size) times in
     whole; the rest of the target goes to documents in the order of a seeded hash of their id, each once in whole, until one
     document at the boundary is taken in part, so that each source takes its target to the word. Documents of size 0 take 0.
-    Equal doc_ids are ordered by size; equal rows are interchangeable. An empty table gives no rows.
+    Columns of `docs` that have a name of a result or of a helper column are replaced. Equal doc_ids are ordered by size; equal rows are interchangeable. An empty table gives no rows.
 
     The order inside a source is found by 4096 hash ranges: sums per range, a prefix sum over them, and a sort of just the one
     range at the boundary, so a source that holds most rows is never sorted or gathered in one task.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.withColumns({"size": F.coalesce(size, F.lit(0)).cast("long"), "src_": source_key(F.col("source")), "h_": h})
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _RESERVED]
+    rows = docs.select(*own, F.coalesce(size, F.lit(0)).cast("long").alias("size"), source_key(F.col("source")).alias("src_"), h.alias("h_"))
     rows = rows.withColumn("range_", F.substring("h_", 1, 3))
     ranges = saved(rows.groupBy("src_", "range_").agg(F.sum("size").alias("words")))
     sizes = ranges.groupBy(F.col("src_").alias("src")).agg(F.sum("words").alias("source_size"))
@@ -77,6 +79,33 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     return both.drop("src_", "h_", "range_", "words", "before", "whole", "rest", "extra")
 
 
+def cut(text: Column, words: Column) -> Column:
+    """The text up to the end of its word number `words`, white space inside unchanged."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(text.rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (words + lead).cast("int")), ""), r"[\x20\x09-\x0D]+\z", "")
+
+
+def mixed_documents(docs: DataFrame, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of `docs` (doc_id, source, text and others): a row per whole repetition of a document, and
+    the one cut document of a source with its first words (n_chars follows, where there is one). Documents without words go."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
+    plain = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    taken = take(plain, F.regexp_count("text", F.lit(WORD)), epochs, seed).where("taken > 0")
+    times = F.array_repeat("size", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    part = F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>"))
+    rows = taken.withColumn("words_", F.explode(F.concat(times, part)))
+    rows = rows.withColumn("whole_", F.col("words_") == F.col("size"))
+    rows = rows.withColumn("text", F.when(F.col("whole_"), F.col("text")).otherwise(cut(F.col("text"), F.col("words_"))))
+
+    def out(c: str) -> Column:
+        if c == "n_chars":
+            return F.when(F.col("whole_"), F.col(own[c])).otherwise(F.length("text").cast(docs.schema[c].dataType)).alias(c)
+        return F.col(own.get(c, c)).alias(c)
+
+    return rows.select(*map(out, docs.columns))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     docs = documents(spark, sf_dir).select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("n"))
