@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and their SQL."""
 
-from __future__ import annotations
+from . import retrieval  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
