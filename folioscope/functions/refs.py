@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters, patterns and formats that make keys comparable.
-QUOTES_FROM = "‘’＇`´“”＂\"　 "
+QUOTES_FROM = "‘’＇`´“”＂\"\u3000\u00a0"
 QUOTES_TO = "'''''''''  "
 PARA = r"(?:[A-Z]{1,2})?\d+(?:\.\d+)*[A-Z]*(?:[⑴-⒇])?"
 NAME_AND_PARA = r"(?:\s*'([^'\n]{1,40})')?(?:[^\n]{0,15}?문단\s*(" + PARA + ")"

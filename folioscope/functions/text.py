@@ -77,7 +77,8 @@ def answer_gate(text: Column, valid: Column, strict: bool, refusal: Column) -> C
 def json_object(text: Column) -> Column:
     """From the first { to the last }, if that is a JSON object; else null."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    # a parser may stop after the first value; as the one element of a list, everything has to be read
+    return F.when((found != "") & (F.json_array_length(F.concat(F.lit("["), found, F.lit("]"))) == 1), found)
 
 
 def file_name(name: Column) -> Column:

@@ -16,10 +16,10 @@ def register_extractor(suffix: str, extract: Callable[[bytes], str]) -> None:
     _EXTRACTORS[suffix.lower()] = extract
 
 
-def extract(content: bytes | None, suffix: str) -> tuple[str | None, str | None]:
+def extract(content: bytes | None, suffix: str, extractors: dict[str, Callable[[bytes], str]]) -> tuple[str | None, str | None]:
     """(text, error); an empty text is an error too."""
     try:
-        text = _EXTRACTORS[suffix.lower()](content or b"")
+        text = extractors[suffix.lower()](content or b"")
         return (text, None) if text.strip() else (None, f"{suffix}: no text")
     except Exception as e:  # noqa: BLE001  any extractor's failure is a row, not the end of the job
         return None, f"{suffix}: {e!r}"
@@ -27,16 +27,15 @@ def extract(content: bytes | None, suffix: str) -> tuple[str | None, str | None]
 
 def read_documents(spark: SparkSession, path: str, order: tuple[str, ...] = (".hwp", ".pdf")) -> DataFrame:
     """name, text, kind, error: of the files that share a name, the text of the first kind in `order` that can be extracted."""
-    table = dict(_EXTRACTORS)
+    table = dict(_EXTRACTORS)  # goes to the workers with the function
     files = spark.read.format("binaryFile").load(path)
     base = F.regexp_extract("path", r"([^/]+?)(\.[^./]+)?$", 1)
     kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = files.select(base.alias("name"), kind.alias("kind"), "content").where(F.col("kind").isin(*order))
 
     def run(frames):
-        _EXTRACTORS.update(table)
         for f in frames:
-            got = [extract(c, k) for c, k in zip(f.content, f.kind, strict=True)]
+            got = [extract(c, k, table) for c, k in zip(f.content, f.kind, strict=True)]
             yield pd.DataFrame({"name": f.name, "kind": f.kind, "text": [t for t, _ in got], "error": [e for _, e in got]})
 
     tried = rows.mapInPandas(run, "name string, kind string, text string, error string")

@@ -104,10 +104,13 @@ def to_text(html: str | None) -> str:
     return p.text()
 
 
-@F.pandas_udf("string")
-def html_text(html: pd.Series) -> pd.Series:
+def html_text(html: Column) -> Column:
     """Text of a page with one line per block and per table row; null becomes empty."""
-    return html.map(to_text)
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(to_text)
+
+    return F.pandas_udf(run, "string")(html)
 
 
 class _Detail(HTMLParser):
