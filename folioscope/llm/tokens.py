@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +19,40 @@ from pyspark.sql import functions as F
 
 from .base import arrow_rows, documents, id_key, saved, shared_folder, shuffle_partitions
 
+class Remembered(dict):
+    """Values of `new` by key, in two generations of at most `most` keys each; long keys are not kept."""
+
+    def __init__(self, new: Callable, most: int) -> None:
+        super().__init__()
+        self.new, self.most, self.old = new, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.new(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 # ---------------------------------------------------------------------------------------------- exact length histogram
 
 #: Runs of white space with two spaces in them are the only places where cutting before a space changes the result.
 _TWO_SPACES = re.compile(r" \s* ")
 
 
-class TokenCount(dict):
-    """Token counts of space-led pieces under a byte-level rank vocabulary, remembered up to a bound."""
+class TokenCount:
+    """Token counts of whole texts under a byte-level rank vocabulary, by space-led pieces."""
 
     def __init__(self, ranks: str, pattern: str, most: int = 400_000) -> None:
-        super().__init__()
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.most = most
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.encode(" " + piece))
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = n
-        return n
+        self.pieces = Remembered(lambda piece: len(self.encode(" " + piece)), most)
 
     def count(self, text: str) -> int:
         """Tokens of the whole text; equal to encoding it in one call."""
@@ -50,11 +61,17 @@ class TokenCount(dict):
         if _TWO_SPACES.search(text):
             return len(self.encode(text))
         head, *rest = text.split(" ")
-        return (len(self.encode(head)) if head else 0) + sum(map(self.__getitem__, rest))
+        return (len(self.encode(head)) if head else 0) + sum(map(self.pieces.__getitem__, rest))
+
+
+@functools.cache
+def token_count(ranks: str, pattern: str) -> TokenCount:
+    """One per worker process, so that later tasks know the pieces of earlier ones."""
+    return TokenCount(ranks, pattern)
 
 
 def _counts(batches, ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    c = TokenCount(ranks, pattern)
+    c = token_count(ranks, pattern)
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array([c.count(t or "") for (t,) in arrow_rows([b])], pa.int64())], ["n_tokens"])
 
@@ -210,31 +227,61 @@ class TokenFile:
         return np.frombuffer(self.file.read_at((end - start) * w, len(MAGIC) + start * w), self.dtype)
 
 
-class WordIds(dict):
-    """Ids of white-space separated words as bytes, remembered up to a bound.
+#: The character that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else the next from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PROBES = [w.encode() for w in ("the", "tokenization", "naïve", "señor", "größe", "čeština", "x", "thththandtion")]
+
+
+class WordIds:
+    """Ids of whole texts as bytes, by white-space separated words.
 
     Cutting at ASCII white space changes nothing for a tokenizer that drops white space, splits by a pattern that never
-    crosses it, and normalises without looking across it.
+    crosses it, and normalises without looking across it. A new word is looked up again as a lower-case word and the marks behind
+    it, which such a tokenizer (one that lower-cases, and never joins letters or digits with marks) encodes one by one. Lower-case
+    Latin letters alone pass its normaliser and pattern unchanged, so the library's model gets them directly, byte by byte as the
+    characters that stand for bytes; a few words are encoded both ways first, and if they differ, all words take the long way.
     """
 
-    def __init__(self, tokenizer: str, width: int, most: int = 400_000) -> None:
-        super().__init__()
+    def __init__(self, tokenizer: str, width: int, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer).encode
-        self.dtype = np.dtype(f"<u{width}")
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64).astype(self.dtype).tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        t = Tokenizer.from_file(tokenizer)
+        self.encode, self.model = t.encode, t.model
+        self.pack, self.letter = struct.pack, "H" if width == 2 else "I"
+        self.direct = True
+        self.direct = all(self._part(w) == self._ids(self.encode(w.decode(), add_special_tokens=False).ids) for w in _PROBES)
+        self.parts = Remembered(self._part, most)
+        self.words = Remembered(self._word, most)
+
+    def _word(self, word: bytes) -> bytes:
+        if b"<|" in word:  # may hold a special token, whose case counts
+            return self._part(word)
+        low = word.lower()
+        head = low.rstrip(b".,;:!?")
+        if len(head) < len(low) and head[-1:].isalnum():
+            return self.parts[head] + self.parts[low[len(head) :]]
+        return self.parts[low]
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return self.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _part(self, part: bytes) -> bytes:
+        if self.direct and part.isascii() and part.isalpha() and part.islower():
+            return self._ids([t.id for t in self.model.tokenize(part.decode())])
+        text = part.decode("utf-8", "replace")
+        if self.direct and text.isalpha() and text == text.lower() and max(text) < "\u0250":
+            return self._ids([t.id for t in self.model.tokenize(part.decode("latin-1").translate(_BYTE_CHARS))])
+        return self._ids(self.encode(text, add_special_tokens=False).ids)
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@functools.cache
+def word_ids(tokenizer: str, width: int) -> WordIds:
+    """One per worker process, so that later tasks know the words of earlier ones."""
+    return WordIds(tokenizer, width)
 
 
 def id_width(tokenizer: str) -> int:
@@ -254,7 +301,7 @@ def _write(batches, folder: str, tokenizer: str, width: int, end_id: int) -> Ite
     system, root = fs.FileSystem.from_uri(folder)
     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
     system.create_dir(root, recursive=True)
-    words, end = WordIds(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+    words, end = word_ids(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
     lengths, keys = [], []
     try:
         with system.open_output_stream(f"{root}/{name}") as out:
