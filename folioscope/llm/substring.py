@@ -86,8 +86,8 @@ def _common(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The order of the rows by group and keys, and how many keys each shares with the one before it (-1: other group)."""
     order = np.lexsort((*keys.T[::-1], group))
     k, g = keys[order], group[order]
-    differs = k[1:] != k[:-1]
-    lcp = np.where(differs.any(axis=1), differs.argmax(axis=1), keys.shape[1])
+    differs = np.hstack([k[1:] != k[:-1], np.ones((len(k) - 1, 1), bool)])  # the last column ends rows that are equal throughout
+    lcp = differs.argmax(axis=1)
     lcp[g[1:] != g[:-1]] = -1
     return order, np.r_[-1, lcp]
 
