@@ -229,3 +229,16 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector, by cosine >= 0.95 whatever the labels."""
     return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(embedding, embedding) > 0
+), u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n, len(x) AS d FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.d = b.d AND list_dot_product(a.x, b.x) / a.n / b.n >= 0.95),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT t.vec_id, coalesce(any_value(l.n), 0) AS n_links, min(reached) AS component_id, t.vec_id = min(reached) AS kept
+FROM embeddings t JOIN r ON r.node = t.vec_id LEFT JOIN l ON l.a = t.vec_id GROUP BY t.vec_id
+"""

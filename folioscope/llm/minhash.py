@@ -219,3 +219,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         from_key("component").alias("component_id"),
         (F.col("doc_key") == F.col("component")).alias("kept"),
     )
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w
+), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * n >= 80 * (na + nb - n)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM s UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT s.doc_id, len(any_value(s.s)) AS n_shingles, min(reached) AS component_id, s.doc_id = min(reached) AS kept
+FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id
+"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontam import op1_decontamination
-from .embed import op2_embedding_near_dedup
+from .embed import OP2_SQL, op2_embedding_near_dedup
 from .langid import op4_language_id
-from .minhash import op7_minhash_near_dedup
+from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .quality import op9_quality_classifier
-from .substring import op10_substring_dedup
+from .substring import OP10_SQL, op10_substring_dedup
 from .tokens import op3_token_counts, op5_token_files
 
 QUERIES = {
@@ -26,6 +26,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": OP2_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
