@@ -44,6 +44,17 @@ def list_rows(pages: DataFrame, board: str, order: tuple[int, int] = (1, 2)) ->
     return rows.where(F.col("ctg") == board).select("seq", "title", date(3).alias("reply_date"), date(4).alias("open_date"))
 
 
+def standard_rows(pages: DataFrame, board: str) -> DataFrame:
+    """seq, title and attachments (file_no, file_seq, name) of a standards list, whose calls name the board first."""
+    rows = pages.select(F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("tr"))
+    file = r"(?is)<a[^>]*" + DOWNLOAD_CALL + r"[^>]*>(.*?)</a>"
+    files = F.arrays_zip(*(F.regexp_extract_all("tr", F.lit(file), F.lit(i)).alias(n) for i, n in enumerate(("file_no", "file_seq", "raw"), 1)))
+    named = F.transform(files, lambda f: F.struct(f["file_no"].alias("file_no"), f["file_seq"].alias("file_seq"), plain(f["raw"]).alias("name")))
+    title = plain(F.regexp_extract("tr", r"(?is)<a[^>]*" + DETAIL_CALL + r"[^>]*>(.*?)</a>", 3))
+    rows = rows.select(F.regexp_extract("tr", DETAIL_CALL, 1).alias("ctg"), F.regexp_extract("tr", DETAIL_CALL, 2).alias("seq"), title.alias("title"), F.filter(named, lambda f: f["name"] != "").alias("attachments"))
+    return rows.where(F.col("ctg") == board).drop("ctg")
+
+
 def plain(html: Column) -> Column:
     """Tags out, blanks in a row as one."""
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"(?U)\s+", " "))
