@@ -5,10 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfkc_key(keys: pd.Series) -> pd.Series:
-    """NFKC without any white space, so that equal citations in different glyphs compare equal."""
-    return keys.map(lambda k: None if k is None else "".join(unicodedata.normalize("NFKC", k).split()))
+def nfkc_key(key: Column) -> Column:
+    """NFKC without any white space, so that equal citations in different glyphs compare equal; null stays null."""
+
+    def run(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: None if k is None else "".join(unicodedata.normalize("NFKC", k).split()))
+
+    return F.pandas_udf(run, "string")(key)

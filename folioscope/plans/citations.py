@@ -189,7 +189,7 @@ def ref_lookup_first_match(spark, d):
 @query()
 def nfkc_normalize(spark, d):
     """Keys in one compatibility form without blanks."""
-    return _cited(spark, d).select("l_orderkey", "l_linenumber", nfkc_key("ref").alias("key"))
+    return _cited(spark, d).select("l_orderkey", "l_linenumber", nfkc_key(F.col("ref")).alias("key"))
 
 
 # Answers: texts of conversations with brackets put into them.

@@ -37,3 +37,13 @@ def test_entry_has_a_stable_schema(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["qid", "rank", "id", "collection", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_imports_before_there_is_a_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 40)"], cwd=ROOT, capture_output=True, text=True)
+    assert out.stdout.strip() == "True", out.stderr

@@ -78,4 +78,4 @@ def test_nfkc(spark):
     from folioscope.functions.nfkc import nfkc_key
 
     df = spark.createDataFrame([("제1116호 문단 7⑷",), (None,)], "k string")
-    assert [r[0] for r in df.select(nfkc_key("k")).collect()] == ["제1116호문단7(4)", None]
+    assert [r[0] for r in df.select(nfkc_key(F.col("k"))).collect()] == ["제1116호문단7(4)", None]
