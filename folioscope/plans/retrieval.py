@@ -95,16 +95,16 @@ lists AS (
 
 
 @query(f"""WITH {_SIM}, dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM sims),
-other AS (SELECT q.vec_id AS qid, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY (v.vec_id * 7919 + q.vec_id) % 1009, v.vec_id) AS rank
-          FROM v q JOIN v ON q.vec_id % 50 = 0), {_LISTS}
+half AS (SELECT vec_id, e[1:32] AS e FROM v),
+hsims AS (SELECT q.vec_id AS qid, h.vec_id AS id, list_dot_product(q.e, h.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(h.e, h.e)) AS sim FROM half q JOIN half h ON q.vec_id % 50 = 0),
+other AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM hsims), {_LISTS}
 SELECT qid, id, rank, round(score, 9) AS score FROM fused WHERE rank <= 30""")
 def rrf_fuse(spark, d):
-    """A similarity list and an arbitrary list fused by reciprocal ranks."""
+    """Lists by the whole vectors and by their first halves, fused by reciprocal ranks."""
     q, c = _vectors(spark, d)
-    one = R.dense_topk(q, c, 20, per_collection=False).select("qid", "id", "rank", F.lit(0).alias("list_no"))
-    order = F.row_number().over(R.Window.partitionBy("qid").orderBy((F.col("id") * 7919 + F.col("qid")) % 1009, "id"))
-    two = q.select("qid").crossJoin(c.select("id")).withColumn("rank", order).where("rank <= 20").withColumn("list_no", F.lit(1))
-    return R.rrf(one.unionByName(two), keep=30).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+    half_q, half_c = q.withColumn("qvec", F.slice("qvec", 1, 32)), c.withColumn("vec", F.slice("vec", 1, 32))
+    lists = [R.dense_topk(x, y, 20, per_collection=False).select("qid", "id", "rank", F.lit(i).alias("list_no")) for i, (x, y) in enumerate(((q, c), (half_q, half_c)))]
+    return R.rrf(lists[0].unionByName(lists[1]), keep=30).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
 _HYBRID_DENSE = """
@@ -158,8 +158,8 @@ def quota_retrieve(spark, d):
     # the k best overall and the best of each label hold everything that can be chosen
     near = R.dense_topk(q, c, 9)
     ranked = near.withColumn("rank", F.row_number().over(R.Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "id"))).select("qid", "id", "collection", "rank")
-    labels = spark.range(10).select(F.col("id").cast("string").alias("collection"), F.col("id").alias("pos"), (F.col("id") >= 7).alias("standards"))
-    routing = q.select("qid").crossJoin(F.broadcast(labels))
+    routing = q.select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pos"))
+    routing = routing.select("qid", F.col("pos").cast("string").alias("collection"), "pos", (F.col("pos") >= 7).alias("standards"))
     return R.with_quota(ranked, routing, 8).select("qid", F.col("slot").cast("long").alias("slot"), "id", "collection")
 
 
