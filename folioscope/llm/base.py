@@ -119,16 +119,17 @@ def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
-    """Tables of at least `least` rows (but for the last) that never cut a run of equal keys; rows come sorted by the keys."""
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int, most_bytes: int = 64_000_000) -> Iterator[pa.Table]:
+    """Tables of at least `least` rows, or about `most_bytes`, that never cut a run of equal keys; rows come sorted by the keys."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         count += b.num_rows
-        if count < least:
+        size += b.nbytes
+        if count < least and size < most_bytes:
             continue
         t = pa.Table.from_batches(held)
         same = np.ones(len(t), bool)
@@ -139,6 +140,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int) -> Iter
         if cut:
             yield t.slice(0, cut)
             held, count = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
+            size = sum(x.nbytes for x in held)
     if count:
         yield pa.Table.from_batches(held)
 

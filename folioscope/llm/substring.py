@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WordHash, arrow_rows, clustered, documents, grams, id_key, runs, saved
+from .base import WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, runs, saved
 
 PREFIX = 12
 
@@ -189,11 +189,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = PREFIX, most
     document with a smaller doc_id (null is smallest; equal ids never remove from each other). Kept words are joined by one
     space. A null text has no words. Repeated rows give repeated results; an empty table gives none.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("doc"), F.col("text").cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
-    spans = repeated_spans(keyed.select("doc", "h", "text"), window, prefix, most)
+    keyed = docs.select(id_key().alias("doc"), F.col("text").cast("binary").alias("text")).select("doc", F.xxhash64("text").alias("h"), "text")
+    spans = repeated_spans(keyed, window, prefix, most)
     by_doc = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     by_doc = by_doc.select("doc", "h", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-    joined = keyed.join(by_doc, ["doc", "h"], "left").select("doc_id", "text", "starts", "ends")
+    # the same rows dealt out by the same keys as for the suffixes, so Spark shuffles the texts once
+    joined = keyed.join(by_doc, ["doc", "h"], "left").select(from_key("doc").alias("doc_id"), "text", "starts", "ends")
     return joined.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
