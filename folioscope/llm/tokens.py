@@ -47,7 +47,7 @@ _TWO_SPACES = re.compile(r" \s* ")
 class TokenCount:
     """Token counts of whole texts under a byte-level rank vocabulary, by space-led pieces."""
 
-    def __init__(self, ranks: str, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, ranks: str, pattern: str, most: int = 250_000) -> None:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
@@ -243,7 +243,7 @@ class WordIds:
     characters that stand for bytes; a few words are encoded both ways first, and if they differ, all words take the long way.
     """
 
-    def __init__(self, tokenizer: str, width: int, most: int = 500_000) -> None:
+    def __init__(self, tokenizer: str, width: int, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
