@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .base import WORD, documents, saved
 
 EPOCHS, SEED = 3, 17
-_RESERVED = {"size", "source_size", "target", "taken", "src", "src_", "h_", "range_", "words", "before", "whole", "rest", "extra"}
+_RESERVED = {"size", "source_size", "target", "taken", "src", "src_", "h_", "range_", "words", "before", "whole", "rest", "first"}
 
 
 def source_key(source: Column) -> Column:
@@ -52,8 +52,8 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     document at the boundary is taken in part, so that each source takes its target to the word. Documents of size 0 take 0.
     Columns of `docs` that have a name of a result or of a helper column are replaced. Equal doc_ids are ordered by size; equal rows are interchangeable. An empty table gives no rows.
 
-    The order inside a source is found by 4096 hash ranges: sums per range, a prefix sum over them, and a sort of just the one
-    range at the boundary, so a source that holds most rows is never sorted or gathered in one task.
+    The order inside a source is found by 4096 hash ranges: sums per range, a prefix sum over them, and a running sum inside each
+    range, so a source that holds most rows is never sorted or gathered in one task, and rows are shuffled once.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _RESERVED]
@@ -68,15 +68,11 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     filled = filled.withColumn("whole", whole).withColumn("rest", (goal - F.col("whole") * F.col("source_size")).cast("long"))
     before = Window.partitionBy("src_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(filled, F.col("src_") == F.col("src")).drop("src")
-    joined = rows.join(ranges, ["src_", "range_"])
-    edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     inside = Window.partitionBy("src_", "range_").orderBy("h_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - first))
-    cut = joined.where(edge).withColumn("extra", extra)
-    plain = joined.where(~edge).withColumn("extra", F.when(F.col("before") < F.col("rest"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    both = cut.unionByName(plain).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
-    return both.drop("src_", "h_", "range_", "words", "before", "whole", "rest", "extra")
+    joined = rows.join(ranges, ["src_", "range_"]).withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first")))
+    both = joined.withColumn("taken", F.col("whole") * F.col("size") + extra)
+    return both.drop("src_", "h_", "range_", "words", "before", "whole", "rest", "first")
 
 
 def cut(text: Column, words: Column) -> Column:
