@@ -62,17 +62,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def led(n: int, linked) -> np.ndarray:
-    """Groups of 0..n-1. linked(i) gives the bool row of i against all; only rows that no earlier row linked are asked for."""
+    """Connected groups of 0..n-1, each named by its first member. linked(i) gives the bool row of i against all.
+
+    Every member of a group is compared with all rows that no group has yet; when there are none left, nothing more is asked for.
+    """
     group = np.arange(n)
     open_ = np.ones(n, bool)
-    for i in range(n):
-        if open_[i]:
-            hit = linked(i)
-            hit[i] = True
-            open_ &= ~hit
-            ids = np.unique(group[hit])
-            if len(ids) > 1:
-                group[np.isin(group, ids)] = ids[0]
+    left = n
+    for seed in range(n):
+        if not left:
+            break
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        left -= 1
+        todo = [seed]
+        while todo and left:
+            new = np.flatnonzero(linked(todo.pop()) & open_)
+            group[new], open_[new] = seed, False
+            left -= len(new)
+            todo.extend(new.tolist())
     return group
 
 

@@ -105,6 +105,15 @@ def test_repeated_passages_of_odd_rows(odd_docs, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
+def test_groups_join_through_members_that_lead_nothing():
+    links = [(0, 2), (1, 3), (2, 3), (5, 4)]
+    near = np.zeros((6, 6), bool)
+    for a, b in links:
+        near[a, b] = near[b, a] = True
+    assert minhash.led(6, lambda i: near[i]).tolist() == [0, 0, 0, 0, 4, 4]
+    assert minhash.led(0, None).tolist() == []
+
+
 def vectors():
     r = np.random.default_rng(3)
     x = r.normal(size=(300, 32))
