@@ -189,16 +189,38 @@ def pages_list_rows(spark, d):
     return H.list_rows(table(spark, d, "pages").select(row.alias("html")), "016005")
 
 
-def _standard_texts(spark, d):
-    """Documents as standards: a heading, numbered paragraphs with sub-items, a list of terms."""
-    t = F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")
-    lines = F.array(
-        F.lit("표지"), F.lit("용어의 정의"), F.concat(F.lit("1 이 기준서는 "), t), F.lit("⑴ 첫째"), F.lit("⑵ 둘째"), F.concat(F.lit("2 다음 문단 "), t), F.lit("12개월 동안"),
-        F.lit("2A 덧붙인 문단"), F.lit("B1 부록 문단"), F.lit("9 Westferry Circus"), F.lit("3 용어의 정의는 다음과 같다."), F.concat(F.lit("회계이익: "), t), F.lit("과세소득: 둘째 정의"), F.lit("4 끝 문단"),
-    )
+def _pieces():
+    """The lines and sentences of a whole document."""
+    return F.split(F.coalesce("text", F.lit("")), r"\n|(?<=[.!?。])(?=\s)")
+
+
+def _standard(spark, d, lines):
     return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"), (1001 + F.col("doc_id") % 120).cast("string").alias("number"))
 
 
+def _standard_texts(spark, d):
+    """Whole documents as standards: a heading, then each piece in turn as a numbered paragraph, two sub-items and a line that goes on."""
+    before = ("표지", "용어의 정의", "1 이 기준서는 다음을 다룬다.", "⑴ 첫째", "⑵ 둘째", "12개월 동안", "1A 덧붙인 문단", "B1 부록 문단", "9 Westferry Circus")
+
+    def line(x, i):
+        no = F.concat((2 + F.floor(i / 3600)).cast("string"), F.lit("."), (1 + F.floor(i / 4) % 900).cast("string"))
+        start = F.when(i % 4 == 0, F.concat(no, F.lit(" 이 문단은 "))).when(i % 4 == 1, "⑴ ").when(i % 4 == 2, "⑵ ").otherwise("또한 ")
+        return F.concat(start, x)
+
+    return _standard(spark, d, F.concat(F.array(*map(F.lit, before)), F.transform(_pieces(), line), F.array(F.lit("적용사례"), F.lit("BC1 끝 문단"))))
+
+
+#: Longer than a term may be, so a colon after it begins no term.
+_GOES_ON = "앞의 용어에 덧붙이는 설명이며 새로운 용어를 정하지 아니하는 줄이다 그 내용은 "
+
+
+def _term_texts(spark, d):
+    """Whole documents as a list of terms: each piece in turn as two definitions and a line that goes on."""
+    before = ("표지", "용어의 정의", "적용사례", "1 용어의 정의는 다음과 같다.")
+    line = lambda x, i: F.concat(F.when(i % 3 == 2, _GOES_ON).otherwise(F.concat(F.lit("용어 "), i.cast("string"), F.lit(": 뜻 "))), x)
+    return _standard(spark, d, F.concat(F.array(*map(F.lit, before)), F.transform(_pieces(), line), F.array(F.lit("2 끝 문단"))))
+
+
 @query()
 def split_paragraphs(spark, d):
     """Paragraphs and sub-items of standards."""
@@ -208,14 +230,14 @@ def split_paragraphs(spark, d):
 @query()
 def split_terms(spark, d):
     """Terms of standards."""
-    return S.split_documents(_standard_texts(spark, d), "terms")
+    return S.split_documents(_term_texts(spark, d), "terms")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN lang || ' asks' END AS question, CASE WHEN doc_id % 3 <> 2 THEN 'reply ' || doc_id END AS answer, CASE WHEN doc_id % 3 = 1 THEN source END AS related FROM documents""")
 def split_qa(spark, d):
-    """Question, answer and related part by their markers; nothing without an answer's marker."""
+    """Question, answer and related part by their markers, after the whole document; nothing without an answer's marker."""
     t = F.concat(
-        F.lit("머리말\n[질 의]\n"), "lang", F.lit(" asks\n"), F.when(F.col("doc_id") % 3 != 2, F.concat(F.lit("[회신]\nreply "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.lit("")),
+        F.lit("머리말\n"), F.coalesce("text", F.lit("")), F.lit("\n[질 의]\n"), "lang", F.lit(" asks\n"), F.when(F.col("doc_id") % 3 != 2, F.concat(F.lit("[회신]\nreply "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.lit("")),
         F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("판단근거\n"), "source")).otherwise(F.lit("")),
     )
     docs = table(spark, d, "documents").select("doc_id", t.alias("text"), F.lit("").alias("number"))
