@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.base import documents, id_key, shared_folder
 from folioscope.llm.decontam import clean
-from folioscope.llm.minhash import near_duplicates
+from folioscope.llm.minhash import near_duplicates, text_id
 from folioscope.llm.mixing import mixed_documents
 from folioscope.llm.quality import fit_quality, keep_quality
 from folioscope.llm.tokens import token_files
@@ -24,11 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group linked by 5-word shingles; equal rows become one. Blank texts stay."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_key = component").select(F.col("doc_key").alias("key__")).distinct()
-    keyed = docs.withColumn("key__", id_key())
-    return keyed.join(kept, "key__", "left_semi").dropDuplicates(["key__", "text"]).select(docs.columns)
+    """The document with the least doc_id of each group linked by 5-word shingles; equal rows become one. Blank texts stay.
+
+    Of near copies under one doc_id, or under none, one stays; texts under it that are no copies stay too.
+    """
+    found = near_duplicates(docs).where("doc_key = component")
+    group = found.groupBy("doc_key", "text_group", F.when(F.col("text_group").isNull(), F.col("text_id")))
+    kept = group.agg(F.min("text_id").alias("text__")).select(F.col("doc_key").alias("key__"), "text__")
+    keyed = docs.withColumn("key__", id_key()).withColumn("text__", text_id())
+    return keyed.join(kept, ["key__", "text__"], "left_semi").dropDuplicates(["key__", "text"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Near-duplicate documents: many universal-hash minima, banding, signature and exact verification, connected components.
 
-1. Each document becomes its set of distinct word shingles; documents with equal sets form one class and only the class's
-   smallest document goes on, so thousands of copies cost one row.
+1. Each document becomes its set of distinct word shingles; documents with equal sets form one class, and classes are the
+   nodes of all steps but the last, so thousands of copies cost one row, whatever their doc_ids.
 2. The class's signature holds ``bands * rows`` minima of multiply-add universal hashes. Bands of ``rows`` minima are bucket
    keys; buckets of one class are dropped.
 3. Inside a bucket, signatures are compared: every leader is compared with all members, and a member that no leader took
    leads next, so any two members whose estimate reaches ``threshold - 5 sigma`` end in one tentative cluster.
 4. Each member of a tentative cluster is sent once (to a few tiles if the cluster is large) and links are confirmed on the
    full sets in the same leader-by-leader way. No list of pairs is ever made.
-5. Connected components of the confirmed links, by alternating large-star and small-star.
+5. Connected components of the confirmed links, by alternating large-star and small-star; then of the groups that share a
+   doc_id, in the same way.
 
 With 32 bands of 4, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, mixed, runs, saved
+from .base import NULL_ID, WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, mixed, runs, saved
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -89,14 +90,14 @@ def _sets(batches, k: int, seed: int, n_hashes: int) -> Iterator[pa.RecordBatch]
     a, b = hash_family(n_hashes, seed)
     cache = WordHash()
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, text in arrow_rows([batch]):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for doc, t, text in arrow_rows([batch]):
             s = shingle_set(cache.of((text or b"").lower().split()), k)
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             x, y = np.frombuffer(digest, np.int64)
-            for column, v in zip(out, (doc, len(s), int(x), int(y), signature(s, a, b).tobytes() if len(s) else b""), strict=True):
+            for column, v in zip(out, (doc, t, len(s), int(x), int(y), signature(s, a, b).tobytes() if len(s) else b""), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["doc", "n", "c1", "c2", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), *(pa.int64(),) * 3, pa.binary()), strict=True)], ["doc", "t", "n", "c1", "c2", "sig"])
 
 
 def _bands(batches, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -149,10 +150,13 @@ def _exact_links(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
         for at, end in zip(cut[:-1], cut[1:], strict=True):
             sets = [shingle_set(cache.of(x.lower().split()), k) for x in t["text"].slice(at, end - at).to_pylist()]
             size = np.array([len(s) for s in sets])
-            if end - at == 2:
+            nodes, sets, size = doc[at:end][size > 0], [s for s in sets if len(s)], size[size > 0]
+            if len(sets) < 2:
+                continue
+            if len(sets) == 2:
                 inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
                 if 100 * inter >= percent * (size.sum() - inter):
-                    found.append((doc[at + 1 : end], doc[at : at + 1]))
+                    found.append((nodes[1:], nodes[:1]))
                 continue
             start = np.r_[0, np.cumsum(size)[:-1]]
             vocab, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -165,50 +169,64 @@ def _exact_links(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
                 mark[mine] = 0
                 return 100 * inter >= percent * (size + size[i] - inter)
 
-            found.append(_star(doc[at:end], led(end - at, linked)))
+            found.append(_star(nodes, led(len(sets), linked)))
         yield _links(found)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7, block: int = 1_500_000, bucket: int = 40_000) -> DataFrame:
-    """(doc_key, n_shingles, component, class_id) for every row of `docs` (columns doc_id and text; more are ignored).
+    """(doc_key, n_shingles, component, class_id, text_group, text_id) for every row of `docs` (columns doc_id and text; more are ignored).
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of k-word shingles (ASCII letters lower-
     cased). Null and blank texts have empty sets and are linked with nothing; fewer than k words count as one shingle. A null
     doc_id is kept and sorts before all others. Rows with equal doc_id and equal text give equal rows; rows with equal doc_id and
-    different texts are one node, linked through either text. An empty table gives an empty result.
+    different texts are in one component, linked through either text. An empty table gives an empty result.
+    text_group names what is linked by texts alone (null for an empty set); text_id is text_id() of the row.
     block: shingles of a tile's block, which bounds a task's memory; bucket: members up to which signatures are compared first.
     """
     spark = docs.sparkSession
     n_hashes = bands * rows
     floor = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / n_hashes)
-    keyed = docs.select(id_key().alias("doc"), F.col("text").cast("binary").alias("text"))
-    sets = saved(keyed.mapInArrow(lambda it: _sets(it, k, seed, n_hashes), "doc long, n long, c1 long, c2 long, sig binary"))
-    reps = saved(sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc", "n", "sig")).alias("r")).select("c1", "c2", "r.*"))
-    nodes = reps.groupBy("doc").agg(F.max("n").alias("n"))
-    members = reps.select("doc", "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long")
+    keyed = docs.select(id_key().alias("doc"), text_id().alias("t"), F.col("text").cast("binary").alias("text"))
+    sets = saved(keyed.mapInArrow(lambda it: _sets(it, k, seed, n_hashes), "doc long, t string, n long, c1 long, c2 long, sig binary"))
+    least = sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc", "t", "n", "sig")).alias("r")).select("c1", "c2", "r.*")
+    reps = saved(least.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they were saved
+    members = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long")
     counted = saved(members.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
-    low = reps.select("doc", "sig").mapInArrow(_low_halves, "doc long, sig binary")
+    low = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(_low_halves, "doc long, sig binary")
     small = counted.where(F.col("m") <= bucket).join(low, "doc").select("key", "doc", "sig")
     near = clustered(small, "key").mapInArrow(lambda it: _bucket_links(it, floor), "a long, b long")
     large = counted.where(F.col("m") > bucket)
     hubs = large.groupBy("key").agg(F.min("doc").alias("b"))
     whole = large.join(hubs, "key").select(F.col("doc").alias("a"), "b")
     clusters = components(near.unionByName(whole))
-    # texts of tentative clusters, each sent once, or to the tiles of a large cluster
-    sized = clusters.join(nodes, clusters.node == nodes.doc).select("node", "component", "n")
+    # one text of each class in a tentative cluster, sent once, or to the tiles of a large cluster
+    sized = clusters.join(reps.select("node", "n", "doc", "t"), "node")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("nb"))
     placed = sized.join(blocks, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    tiles = placed.withColumn("o", other).select(
-        "node", F.col("component").alias("cluster"), (F.greatest("blk", "o") * F.col("nb") + F.least("blk", "o")).cast("long").alias("tile")
+    once = keyed.join(placed, ["doc", "t"]).dropDuplicates(["doc", "t"])
+    texts = once.withColumn("o", other).select(
+        F.col("component").alias("cluster"), (F.greatest("blk", "o") * F.col("nb") + F.least("blk", "o")).cast("long").alias("tile"), F.col("node").alias("doc"), "text"
     )
-    texts = keyed.join(tiles, keyed.doc == tiles.node).select("cluster", "tile", "doc", F.coalesce("text", F.lit(b"")).alias("text"))
     exact = clustered(texts, "cluster", "tile").mapInArrow(lambda it: _exact_links(it, k, percent), "a long, b long")
-    joined = components(exact)
-    first = reps.select("c1", "c2", F.col("doc").alias("rep")).join(joined, F.col("rep") == joined.node, "left")
-    named = first.select("c1", "c2", F.coalesce("component", "rep").alias("component"), F.col("rep").alias("class_id"))
-    out = sets.join(named, ["c1", "c2"], "left")
-    return out.select(F.col("doc").alias("doc_key"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("class_id", "doc").alias("class_id"))
+    groups = components(exact).withColumnRenamed("component", "g")
+    named = reps.select("c1", "c2", "node", F.col("doc").alias("rep")).join(groups, "node", "left").select("c1", "c2", "rep", F.coalesce("g", "node").alias("g"))
+    found = saved(sets.drop("sig").join(named, ["c1", "c2"], "left"))  # no class, no group: an empty set
+    # groups that share a doc_id are linked; the least doc_id of what is linked names it
+    owned = found.where("g is not null").select("doc", "g").distinct()
+    shared = owned.groupBy("doc").agg(F.min("g").alias("b"), F.max("g").alias("top")).where("b < top").select("doc", "b")
+    tops = components(owned.join(shared, "doc").select(F.col("g").alias("a"), "b")).select(F.col("node").alias("g"), F.col("component").alias("top"))
+    firsts = named.groupBy("g").agg(F.min("rep").alias("rep")).join(tops, "g", "left").select("g", "rep", F.coalesce("top", "g").alias("top"))
+    heads = firsts.join(firsts.groupBy("top").agg(F.min("rep").alias("component")), "top").select("g", "component")
+    out = found.join(heads, "g", "left")
+    return out.select(
+        F.col("doc").alias("doc_key"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("rep", "doc").alias("class_id"), F.col("g").alias("text_group"), F.col("t").alias("text_id")
+    )
+
+
+def text_id():
+    """What names a text; null and empty ones are alike."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def _low_halves(batches) -> Iterator[pa.RecordBatch]:
