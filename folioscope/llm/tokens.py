@@ -10,15 +10,18 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import arrow_rows, documents, id_key, saved, shared_folder, shuffle_partitions
 
+
 class Remembered(dict):
     """Values of `new` by key, in two generations of at most `most` keys each; long keys are not kept."""
 
@@ -227,94 +230,100 @@ class TokenFile:
         return np.frombuffer(self.file.read_at((end - start) * w, len(MAGIC) + start * w), self.dtype)
 
 
-#: The character that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else the next from 256 on.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_PROBES = [w.encode() for w in ("the", "tokenization", "naïve", "señor", "größe", "čeština", "x", "thththandtion")]
-
-
 class WordIds:
-    """Ids of whole texts as bytes, by white-space separated words.
+    """Ids of whole texts by Tokenizer.encode, called once for each word that is not remembered.
 
-    Cutting at ASCII white space changes nothing for a tokenizer that drops white space, splits by a pattern that never
-    crosses it, and normalises without looking across it. A new word is looked up again as a lower-case word and the marks behind
-    it, which such a tokenizer (one that lower-cases, and never joins letters or digits with marks) encodes one by one. Lower-case
-    Latin letters alone pass its normaliser and pattern unchanged, so the library's model gets them directly, byte by byte as the
-    characters that stand for bytes; a few words are encoded both ways first, and if they differ, all words take the long way.
+    A word is what stands between ASCII white space. Cutting there changes nothing for a tokenizer that drops white space, splits
+    by a pattern that never crosses it and normalises without looking across it. Words of Latin-1 characters are encoded many at a
+    time, blanks between them, and the library's offsets tell whose ids are whose; others, whose normal form may have other
+    lengths, are texts of their own in a batch. Words are remembered for one task, so that idle worker processes hold none.
     """
 
     def __init__(self, tokenizer: str, width: int, most: int = 250_000) -> None:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        self.encode, self.model = t.encode, t.model
-        self.pack, self.letter = struct.pack, "H" if width == 2 else "I"
-        self.direct = True
-        self.direct = all(self._part(w) == self._ids(self.encode(w.decode(), add_special_tokens=False).ids) for w in _PROBES)
-        self.parts = Remembered(self._part, most)
-        self.words = Remembered(self._word, most)
-
-    def _word(self, word: bytes) -> bytes:
-        if b"<|" in word:  # may hold a special token, whose case counts
-            return self._part(word)
-        low = word.lower()
-        head = low.rstrip(b".,;:!?")
-        if len(head) < len(low) and head[-1:].isalnum():
-            return self.parts[head] + self.parts[low[len(head) :]]
-        return self.parts[low]
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return self.pack(f"<{len(ids)}{self.letter}", *ids)
-
-    def _part(self, part: bytes) -> bytes:
-        if self.direct and part.isascii() and part.isalpha() and part.islower():
-            return self._ids([t.id for t in self.model.tokenize(part.decode())])
-        text = part.decode("utf-8", "replace")
-        if self.direct and text.isalpha() and text == text.lower() and max(text) < "\u0250":
-            return self._ids([t.id for t in self.model.tokenize(part.decode("latin-1").translate(_BYTE_CHARS))])
-        return self._ids(self.encode(text, add_special_tokens=False).ids)
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        self.tokenizer, self.dtype = _tokenizer(tokenizer), np.dtype(f"<u{width}")
+        self.most, self.new, self.old = most, {}, {}
+
+    def _together(self, words: list[bytes] | list[str], text: str) -> Iterator[bytes]:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        raw, w = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
+        begin = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e.ids))
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cut = [0, *(w * np.searchsorted(begin, end)).tolist()]
+        return map(raw.__getitem__, map(slice, cut[:-1], cut[1:]))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if w.isascii()]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            self.new.update(zip(part, self._together(part, b" ".join(part).decode()), strict=True))
+        others = [(w, w.decode("utf-8", "replace")) for w in words if not w.isascii()]
+        for at in range(0, len(others), 4096):
+            latin = [x for x in others[at : at + 4096] if max(x[1]) < "\u0100"]
+            texts = [t for _, t in latin]
+            self.new.update(zip((w for w, _ in latin), self._together(texts, " ".join(texts)), strict=True))
+            rest = [x for x in others[at : at + 4096] if max(x[1]) >= "\u0100"]
+            for (word, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+                self.new[word] = np.array(e.ids, self.dtype).tobytes()
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, as bytes."""
+        if len(self.new) > self.most:  # two generations: what has not been met since the last turn goes
+            self.old, self.new = self.new, {}
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(self.new)
+        known = new.intersection(self.old)
+        self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        self._learn(list(new - known))
+        return (b"".join(map(self.new.__getitem__, words)) for words in split)
+
+
+def _portions(batches, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc, text) in runs of about `most` bytes of text."""
+    for b in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 @functools.cache
-def word_ids(tokenizer: str, width: int) -> WordIds:
-    """One per worker process, so that later tasks know the words of earlier ones."""
-    return WordIds(tokenizer, width)
+def _tokenizer(path: str):
+    """Read once per worker process."""
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
 
-def id_width(tokenizer: str) -> int:
-    from tokenizers import Tokenizer
 
-    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 2**16 else 4
+def id_width(tokenizer: str) -> int:
+    return 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 2**16 else 4
 
 
 def _write(batches, folder: str, tokenizer: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """One file per task, in the order of its rows; a repeated attempt writes another file and only one is listed."""
     from pyspark import TaskContext
 
-    rows = arrow_rows(batches)
-    first = next(rows, None)
-    if first is None:
+    portions = (p for p in _portions(batches) if p.num_rows)
+    portion = next(portions, None)
+    if portion is None:
         return
     system, root = fs.FileSystem.from_uri(folder)
     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
     system.create_dir(root, recursive=True)
-    words, end = word_ids(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+    words, end = WordIds(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
     lengths, keys = [], []
     try:
         with system.open_output_stream(f"{root}/{name}") as out:
             out.write(MAGIC)
-            while first is not None:
-                key, text = first
-                raw = words.of(text or b"") + end
-                out.write(raw)
-                lengths.append(len(raw) // width)
-                keys.append(key)
-                first = next(rows, None)
+            while portion is not None:
+                for raw in words.of([t or b"" for t in portion["text"].to_pylist()]):
+                    out.write(raw + end)
+                    lengths.append(len(raw) // width + 1)
+                keys.append(portion["doc"].to_numpy())
+                portion = next(portions, None)
             ends = np.cumsum(np.array(lengths, np.int64))
-            key = np.array(keys, np.int64)
+            key = np.concatenate(keys)
             nulls = int((key == -(2**63)).sum())
             base = int(key[nulls]) if nulls < len(key) else 0
             parts = [EliasFano.encode(ends), EliasFano.encode(key[nulls:].view(np.uint64) - np.uint64(base % 2**64))]

@@ -29,9 +29,18 @@ def texts():
 
 def test_word_ids_equal_direct_encoding(texts):
     t, w = Tokenizer.from_file(WORDS), tokens.WordIds(WORDS, 2, most=50)
-    assert w.direct
-    for x in texts:
-        assert np.frombuffer(w.of(x.encode()), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        for x, raw in zip(part, w.of([x.encode() for x in part]), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=6))
+def test_word_ids_of_any_text(some):
+    t, w = tokens._tokenizer(WORDS), tokens.WordIds(WORDS, 2, most=5)
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in w.of([x.encode() for x in some])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
 def test_counts_equal_direct_encoding(texts):
