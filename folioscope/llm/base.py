@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: no ASCII white space inside.
@@ -150,10 +149,32 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def remove_folder(path: str) -> None:
-    import shutil
+#: Keys that are broadcast at most, a row of a few numbers each.
+HUBS = 100_000
 
-    if path.startswith("file://"):
-        path = path[7:]
-    if os.path.isdir(path):
-        shutil.rmtree(path, ignore_errors=True)
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, least: int = 100) -> DataFrame:
+    """`rows` joined with `table`, which has one row per key and in n_ how many of the `total` rows have it; n_ goes.
+
+    Keys of more than max(least, total / HUBS) rows, so HUBS at most, are looked up in place by a broadcast; rows of all other
+    keys are shuffled. So a key with very many rows is no heavier in one task than others.
+    """
+    many = max(least, total // HUBS)
+    extra = [c for c in table.columns if c not in (key, "n_")]
+    hot = F.broadcast(table.where(F.col("n_") > many).select(key, F.lit(True).alias("hot_"), *extra))
+    first = rows.join(hot, key, "left")
+    rest = first.where("hot_ is null").select(*rows.columns).join(table.where(F.col("n_") <= many).drop("n_"), key)
+    return first.where("hot_").drop("hot_").unionByName(rest)
+
+
+def tiled(rows: DataFrame, key: str, node: str, block: int, total: int, size: Column | None = None) -> DataFrame:
+    """`rows` with tile, blk and nb, such that any two rows of one key meet in one tile; keys of a single row go.
+
+    A key whose sizes (1 by default) sum to `block` at most is one tile. A larger one is dealt into nb blocks by a hash of `node`, and each
+    pair of blocks, and each block by itself, is a tile; (tile div nb, tile mod nb) are its blocks.
+    """
+    sums = rows.groupBy(key).agg(F.count("*").alias("n_"), F.sum(F.lit(1) if size is None else size).alias("s_")).where("n_ > 1")
+    table = sums.select(key, "n_", F.ceil(F.col("s_") / F.lit(block)).cast("long").alias("nb"))
+    placed = looked_up(rows, table, key, total).withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")))
+    pairs = placed.withColumn("o_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    return pairs.withColumn("tile", F.greatest("blk", "o_") * F.col("nb") + F.least("blk", "o_")).drop("o_")

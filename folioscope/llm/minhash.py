@@ -3,8 +3,8 @@
 1. Each document becomes its set of distinct word shingles; documents with equal sets form one class, and classes are the
    nodes of all steps but the last, so thousands of copies cost one row, whatever their doc_ids.
 2. The class's signature holds ``bands * rows`` minima of multiply-add universal hashes. Bands of ``rows`` minima are bucket
-   keys; buckets of one class are dropped.
-3. Inside a bucket, signatures are compared: every leader is compared with all members, and a member that no leader took
+   keys; buckets of one class are dropped, large ones are dealt out as tiles of two blocks.
+3. Inside a tile, signatures are compared: every leader is compared with all members, and a member that no leader took
    leads next, so any two members whose estimate reaches ``threshold - 5 sigma`` end in one tentative cluster.
 4. Each member of a tentative cluster is sent once (to a few tiles if the cluster is large) and links are confirmed on the
    full sets in the same leader-by-leader way. No list of pairs is ever made.
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, mixed, runs, saved
+from .base import NULL_ID, WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, looked_up, mixed, runs, saved, tiled
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -124,11 +124,11 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _bucket_links(batches, floor: float) -> Iterator[pa.RecordBatch]:
-    """Tentative links inside buckets whose signatures agree often enough; a bucket too large to hold is linked whole."""
-    for t in runs(batches, ["key"], 20_000):
-        key, doc = t["key"].to_numpy(), t["doc"].to_numpy()
+    """Tentative links inside tiles of buckets whose signatures agree often enough."""
+    for t in runs(batches, ["key", "tile"], 8_192):
+        key, tile, doc = t["key"].to_numpy(), t["tile"].to_numpy(), t["doc"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), -1)
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
         two = cut[:-1][np.diff(cut) == 2]
         same = (sig[two] == sig[two + 1]).mean(axis=1) >= floor
         found = [(doc[two + 1][same], doc[two][same])]
@@ -173,7 +173,7 @@ def _exact_links(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
         yield _links(found)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7, block: int = 1_500_000, bucket: int = 40_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7, block: int = 1_500_000, bucket: int = 2_048) -> DataFrame:
     """(doc_key, n_shingles, component, class_id, text_group, text_id) for every row of `docs` (columns doc_id and text; more are ignored).
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of k-word shingles (ASCII letters lower-
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     doc_id is kept and sorts before all others. Rows with equal doc_id and equal text give equal rows; rows with equal doc_id and
     different texts are in one component, linked through either text. An empty table gives an empty result.
     text_group names what is linked by texts alone (null for an empty set); text_id is text_id() of the row.
-    block: shingles of a tile's block, which bounds a task's memory; bucket: members up to which signatures are compared first.
+    block: shingles, and bucket: signatures, of a tile's block, which bound a task's memory.
     """
     spark = docs.sparkSession
     n_hashes = bands * rows
@@ -190,34 +190,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = saved(keyed.mapInArrow(lambda it: _sets(it, k, seed, n_hashes), "doc long, t string, n long, c1 long, c2 long, sig binary"))
     least = sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc", "t", "n", "sig")).alias("r")).select("c1", "c2", "r.*")
     reps = saved(least.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they were saved
-    members = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long")
-    counted = saved(members.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
+    classes = reps.count()
+    members = saved(reps.select(F.col("node").alias("doc"), "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long"))
     low = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(_low_halves, "doc long, sig binary")
-    small = counted.where(F.col("m") <= bucket).join(low, "doc").select("key", "doc", "sig")
-    near = clustered(small, "key").mapInArrow(lambda it: _bucket_links(it, floor), "a long, b long")
-    large = counted.where(F.col("m") > bucket)
-    hubs = large.groupBy("key").agg(F.min("doc").alias("b"))
-    whole = large.join(hubs, "key").select(F.col("doc").alias("a"), "b")
-    clusters = components(near.unionByName(whole))
+    buckets = tiled(members, "key", "doc", bucket, classes * bands).select("key", "tile", "doc").join(low, "doc")
+    near = clustered(buckets, "key", "tile").mapInArrow(lambda it: _bucket_links(it, floor), "a long, b long")
+    clusters = components(near)
     # one text of each class in a tentative cluster, sent once, or to the tiles of a large cluster
-    sized = clusters.join(reps.select("node", "n", "doc", "t"), "node")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("nb"))
-    placed = sized.join(blocks, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    once = keyed.join(placed, ["doc", "t"]).dropDuplicates(["doc", "t"])
-    texts = once.withColumn("o", other).select(
-        F.col("component").alias("cluster"), (F.greatest("blk", "o") * F.col("nb") + F.least("blk", "o")).cast("long").alias("tile"), F.col("node").alias("doc"), "text"
-    )
+    sized = saved(clusters.join(reps.select("node", "n", "doc", "t"), "node").withColumnRenamed("component", "cluster"))
+    placed = tiled(sized, "cluster", "node", block, classes, F.col("n")).select("doc", "t", "cluster", "tile", "node")
+    texts = keyed.join(placed, ["doc", "t"]).dropDuplicates(["doc", "t", "tile"]).select("cluster", "tile", F.col("node").alias("doc"), "text")
     exact = clustered(texts, "cluster", "tile").mapInArrow(lambda it: _exact_links(it, k, percent), "a long, b long")
     groups = components(exact).withColumnRenamed("component", "g")
     named = reps.select("c1", "c2", "node", F.col("doc").alias("rep")).join(groups, "node", "left").select("c1", "c2", "rep", F.coalesce("g", "node").alias("g"))
+    rows_in = sets.count()
     found = saved(sets.drop("sig").join(named, ["c1", "c2"], "left"))  # no class, no group: an empty set
     # groups that share a doc_id are linked; the least doc_id of what is linked names it
     owned = found.where("g is not null").select("doc", "g").distinct()
-    shared = owned.groupBy("doc").agg(F.min("g").alias("b"), F.max("g").alias("top")).where("b < top").select("doc", "b")
-    tops = components(owned.join(shared, "doc").select(F.col("g").alias("a"), "b")).select(F.col("node").alias("g"), F.col("component").alias("top"))
-    firsts = named.groupBy("g").agg(F.min("rep").alias("rep")).join(tops, "g", "left").select("g", "rep", F.coalesce("top", "g").alias("top"))
-    heads = firsts.join(firsts.groupBy("top").agg(F.min("rep").alias("component")), "top").select("g", "component")
+    shared = owned.groupBy("doc").agg(F.min("g").alias("b"), F.max("g").alias("top"), F.count("*").alias("n_")).where("b < top").select("doc", "b", "n_")
+    tops = components(looked_up(owned, shared, "doc", rows_in).select(F.col("g").alias("a"), "b")).select(F.col("node").alias("g"), F.col("component").alias("top"))
+    firsts = saved(named.groupBy("g").agg(F.min("rep").alias("rep")).join(tops, "g", "left").select("g", "rep", F.coalesce("top", "g").alias("top")))
+    heads = looked_up(firsts.select("g", "top"), firsts.groupBy("top").agg(F.min("rep").alias("component"), F.count("*").alias("n_")), "top", classes).select("g", "component")
     out = found.join(heads, "g", "left")
     return out.select(
         F.col("doc").alias("doc_key"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("rep", "doc").alias("class_id"), F.col("g").alias("text_group"), F.col("t").alias("text_id")

@@ -50,7 +50,7 @@ def brute(rows, k):
     return {rows[i][0]: (len(sets[i]), least[top[i]]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 150}, {"bucket": 1}])
+@pytest.mark.parametrize("options", [{}, {"block": 150}, {"bucket": 1}, {"bucket": 3, "block": 1}])
 def test_near_duplicates(copies, options):
     rows = sorted((r.doc_id, r.text) for r in copies.collect())
     want = brute(rows, 4)
