@@ -1,17 +1,19 @@
 """Near-duplicate embeddings: binary codes after a random rotation, with correction factors, decide what is computed exactly.
 
-1. A unit vector x is rotated by a seeded orthogonal matrix; the signs of the result are its code c (entries +-1/sqrt(D)), and
+1. Equal vectors form one class, whatever their ids; classes are the nodes of all steps but the last.
+2. A unit vector x is rotated by a seeded orthogonal matrix; the signs of the result are its code c (entries +-1/sqrt(D)), and
    f = <c, Rx> is stored with it. For any unit q, <c, Rq> / f estimates <x, q> without bias, with an error of about
    sqrt((1 - f^2) / f^2 / (D - 1)); EPSILON such errors are the confidence bound.
-2. Signs after further rotations, cut into `bits`, are the keys of `tables` hash tables. bits grows with log2 of the number of
+3. Signs after further rotations, cut into `bits`, are the keys of `tables` hash tables. bits grows with log2 of the number of
    vectors, so that buckets stay small, and tables so that a pair at the threshold is missed with probability `miss` at most.
-3. In a bucket, the code of one vector meets the 8-bit rotated other: pairs whose upper bounds, either way round, are below the
-   threshold are done with. Vectors in some other pair are kept in the bucket, with their id alone.
-4. Those buckets get the vectors themselves, and exact cosines in double precision. A pair counts in the first table that holds
-   it, so links are counted without a list of pairs; each bucket gives counts and links to the least member of its groups.
-5. Connected components of those links.
-
-A bucket that is too large for one task is kept whole in step 3 and dealt out in step 4 as tiles of two blocks.
+4. The tables hold codes alone, a bit a dimension. A member of a bucket stays if some other member's code differs from its own
+   in no more places than a pair at the threshold does, but for a tenth of `miss`.
+5. Members that stay get their vectors. In each bucket, estimates from codes and factors are compared with the threshold: pairs
+   whose upper bounds, either way round, are below it are done with; the cosines of the others are computed in double precision,
+   in the first table alone that holds the pair. Each bucket gives counts, and links to the least member of its groups.
+6. Connected components of those links.
+
+Buckets of any size are dealt out as tiles of two blocks in both steps.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import clustered, from_key, id_key, mixed, runs, saved
+from .base import clustered, from_key, id_key, looked_up, mixed, runs, saved, tiled
 from .components import components
 from .minhash import _star, led
 
@@ -43,6 +45,16 @@ def table_count(bits: int, threshold: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-p)))
 
 
+def most_differences(dim: int, threshold: float, miss: float) -> int:
+    """The least number of places such that codes of a pair at the threshold differ in more with probability `miss` at most."""
+    p, tail = math.acos(threshold) / math.pi, 1.0
+    for h in range(dim + 1):
+        tail -= math.comb(dim, h) * p**h * (1 - p) ** (dim - h) if dim < 1000 else 0.0
+        if dim < 1000 and tail <= miss or dim >= 1000 and h >= dim * p + 5 * math.sqrt(dim * p * (1 - p)):
+            return h
+    return dim
+
+
 class Coder:
     """Codes, factors and table keys of unit vectors of one dimension."""
 
@@ -52,13 +64,10 @@ class Coder:
         self.planes = np.concatenate([rotation(dim, seed, k + 1) for k in range(need)])[: bits * tables]
         self.dim, self.bits, self.tables = dim, bits, tables
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """8-bit rotated vectors (their signs are the codes), the size of one step, and the factors f."""
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signs of the rotated vectors, eight to a byte, and the factors f."""
         r = x @ self.first.T
-        step = np.abs(r).max(axis=1) / 127
-        q = np.rint(r / step[:, None]).astype(np.int8)
-        q[q == 0] = np.where(r >= 0, 1, -1).astype(np.int8)[q == 0]
-        return q, step, np.abs(r).sum(axis=1) / math.sqrt(self.dim)
+        return np.packbits(r >= 0, axis=1), np.abs(r).sum(axis=1) / math.sqrt(self.dim)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A key per table, with the table's number and the dimension mixed in."""
@@ -70,26 +79,16 @@ class Coder:
         return h.view(np.int64)
 
 
-def bounds(f: np.ndarray, dim: int, step: np.ndarray | float = 0.0, epsilon: float = EPSILON) -> np.ndarray:
-    """Half width of the confidence interval of the estimate from a code with factor f, rounding to steps included."""
-    return epsilon * np.sqrt(np.maximum(0, 1 - f**2) / f**2 / max(1, dim - 1)) + epsilon * step / f
-
+def bounds(f: np.ndarray, dim: int, epsilon: float = EPSILON) -> np.ndarray:
+    """Half width of the confidence interval of the estimate from a code with factor f."""
+    return epsilon * np.sqrt(np.maximum(0, 1 - f**2) / f**2 / max(1, dim - 1))
 
-def estimates(q: np.ndarray, step: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Estimates of all inner products of the rows of q (..., m, D): entry (i, j) uses the code of j and the values of i."""
-    sign = np.where(q >= 0, np.float32(1), np.float32(-1))
-    raw = q.astype(np.float32) @ np.swapaxes(sign, -1, -2)
-    return raw * step[..., :, None] / (math.sqrt(q.shape[-1]) * f[..., None, :])
 
-
-def undecided(q: np.ndarray, step: np.ndarray, f: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of a bucket must be computed exactly; the diagonal is not."""
-    half = bounds(f, q.shape[-1], step.max() if step.size else 0.0)
-    up = estimates(q, step, f) + half[..., None, :] >= threshold
-    both = up & np.swapaxes(up, -1, -2)
-    i = np.arange(q.shape[-2])
-    both[..., i, i] = False
-    return both
+def estimates(rotated: np.ndarray, code: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Estimates of inner products: entry (i, j) uses the values of row i of `rotated` and the code and factor of j."""
+    dim = rotated.shape[1]
+    sign = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+    return (rotated.astype(np.float32) @ sign.T) / (math.sqrt(dim) * f[None, :])
 
 
 def _unit(values: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -98,131 +97,156 @@ def _unit(values: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     for i, v in enumerate(values.to_pylist()):
         if v and None not in v:
             x = np.array(v, np.float64)
-            n = np.linalg.norm(x)
-            if np.isfinite(n) and n > 0:
-                rows.append(i), out.append(x / n)
+            top = np.abs(x).max()
+            if np.isfinite(top) and top > 0:
+                x /= top  # squares of very large and very small components stay in range
+                rows.append(i), out.append(x / np.linalg.norm(x))
     return np.array(rows, np.int64), out
 
 
+_CODED = pa.schema([("node", pa.int64()), ("dim", pa.int32()), ("x", pa.binary()), ("code", pa.binary()), ("f", pa.float64()), ("mult", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
 def _encode(batches, bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
     coders: dict[int, Coder] = {}
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             part = b.slice(at, 2048)
             rows, units = _unit(part["embedding"])
-            vec = part["vec"].to_numpy()
+            node, mult = part["node"].to_numpy(), part["mult"].to_numpy()
             for dim in sorted({len(u) for u in units}):
                 here = [k for k, u in enumerate(units) if len(u) == dim]
                 if dim not in coders:
                     coders[dim] = Coder(dim, bits, tables, seed)
                 c = coders[dim]
                 x = np.array([units[k] for k in here])
-                q, step, f = c.code(x)
-                keys = c.keys(x)
-                columns = [vec[rows[here]], [r.tobytes() for r in x], [r.tobytes() for r in q], step.astype(np.float32), f.astype(np.float32), list(keys)]
+                code, f = c.code(x)
+                columns = [node[rows[here]], [dim] * len(x), [r.tobytes() for r in x], [r.tobytes() for r in code], f, mult[rows[here]], list(c.keys(x))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, _CODED.types, strict=True)], schema=_CODED)
 
 
-_CODED = pa.schema([("vec", pa.int64()), ("x", pa.binary()), ("q", pa.binary()), ("step", pa.float32()), ("f", pa.float32()), ("keys", pa.list_(pa.int64()))])
+def _tiles(t: pa.Table) -> Iterator[tuple[int, int]]:
+    """Where each tile of a sorted table begins and ends, for those of two rows and more."""
+    key, tile = t["key"].to_numpy(), t["tile"].to_numpy()
+    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
+    return ((int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1)
+
+
+def near_codes(code: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have another row whose code differs in `most` places or fewer."""
+    pad = np.zeros((len(code), -(-code.shape[1] // 8) * 8), np.uint8)
+    pad[:, : code.shape[1]] = code
+    words = pad.view(np.uint64)
+    out = np.zeros(len(code), bool)
+    for at in range(0, len(code), 256):
+        part = words[at : at + 256]
+        differ = sum(np.bitwise_count(part[:, None, w] ^ words[None, :, w]).astype(np.int32) for w in range(words.shape[1]))
+        differ[np.arange(len(part)), np.arange(at, at + len(part))] = most + 1
+        out[at : at + 256] = (differ <= most).any(axis=1)
+    return out
+
+
+def _open(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
+    """Members of tiles whose codes are near enough to another's."""
+    most: dict[int, int] = {}
+    for t in runs(batches, ["key", "tile"], 16_384):
+        raw, dim = t["code"].to_pylist(), t["dim"].to_numpy()
+        keep = np.zeros(len(t), bool)
+        for a, b in _tiles(t):
+            d = int(dim[a])  # the dimension is part of the key
+            if d not in most:
+                most[d] = most_differences(d, threshold, miss / 10)
+            keep[a:b] = near_codes(np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1), most[d])
+        yield t.filter(pa.array(keep)).select(["key", "tile", "blk", "nb", "node"]).combine_chunks().to_batches()[0] if keep.any() else _NONE
 
 
-def _open(batches, threshold: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Members of buckets that are in some undecided pair; a bucket of more than `most` is kept whole."""
-    for t in runs(batches, ["key"], 16_384):
-        key, vec, step, f = (t[c].to_numpy() for c in ("key", "vec", "step", "f"))
-        raw = t["q"].to_pylist()
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(cut)
-        keep = np.zeros(len(t), bool)
-        for m in np.unique(size[size > 1]):
-            starts = cut[:-1][size == m]
-            if m > most:
-                for s in starts:
-                    keep[s : s + m] = True
-                continue
-            per = max(1, 400_000 // (m * m))
-            for k in range(0, len(starts), per):
-                rows = starts[k : k + per, None] + np.arange(m)
-                dims = np.array([len(raw[s]) for s in rows[:, 0]])
-                for dim in np.unique(dims):  # the dimension is part of the key, so a bucket has one
-                    r = rows[dims == dim]
-                    q = np.frombuffer(b"".join(raw[i] for i in r.ravel()), np.int8).reshape(*r.shape, dim)
-                    keep[r] = undecided(q, step[r], f[r], threshold).any(axis=-1)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(vec[keep])], ["key", "vec"])
-
-
-def links_in(x: np.ndarray, keys: np.ndarray, key: int, threshold: float, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links per row that this bucket is the first to hold, and groups of linked rows. block: count only pairs across blocks."""
-    m = len(x)
+_NONE = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, ["key", "tile", "blk", "nb", "node"])
+
+
+def links_in(x: np.ndarray, rotated: np.ndarray, code: np.ndarray, f: np.ndarray, keys: np.ndarray, key: int, mult: np.ndarray, threshold: float, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links per row that this bucket is the first to hold (a class counts `mult` vectors), and groups of linked rows.
+
+    block: only pairs across blocks are looked at.
+    """
+    m, half = len(x), bounds(f, x.shape[1])
     table = int(np.flatnonzero((keys == key).all(axis=0))[0])
     near = np.zeros((m, m), bool)
-    count = np.zeros(m, np.int64)
     for at in range(0, m, 512):
-        part = x[at : at + 512] @ x.T >= threshold
-        part[np.arange(len(part)), np.arange(at, at + len(part))] = False
-        near[at : at + 512] = part
-    near |= near.T
-    for at in range(0, m, 128):
-        a, b = np.nonzero(near[at : at + 128])
-        a += at
-        fresh = np.ones(len(a), bool) if block is None else block[a] != block[b]
+        up = estimates(rotated[at : at + 512], code, f) + half[None, :] >= threshold
+        up &= estimates(rotated, code[at : at + 512], f[at : at + 512]).T + half[at : at + 512, None] >= threshold
+        a, b = np.nonzero(up)
+        a, b = (v[a + at < b] for v in (a + at, b))
+        if block is not None:
+            a, b = (v[block[a] != block[b]] for v in (a, b))
         for t in range(table):
-            fresh &= keys[a, t] != keys[b, t]
-        count += np.bincount(a[fresh], minlength=m)
-    return count, led(m, lambda r: near[r].copy())
+            a, b = (v[keys[a, t] != keys[b, t]] for v in (a, b))
+        for k in range(0, len(a), 65_536):
+            i, j = a[k : k + 65_536], b[k : k + 65_536]
+            sure = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            near[i[sure], j[sure]] = near[j[sure], i[sure]] = True
+    return near @ mult, led(m, lambda r: near[r].copy())
 
 
-def _exact(batches, threshold: float) -> Iterator[pa.RecordBatch]:
+def _exact(batches, threshold: float, seed: int) -> Iterator[pa.RecordBatch]:
+    turn: dict[int, np.ndarray] = {}
     for t in runs(batches, ["key", "tile"], 2_048):
-        key, tile, vec, blk, nb = (t[c].to_numpy() for c in ("key", "tile", "vec", "blk", "nb"))
-        xs, keys = t["x"].to_pylist(), t["keys"].to_pylist()
-        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
+        key, tile, node, blk, nb, mult, f = (t[c].to_numpy() for c in ("key", "tile", "node", "blk", "nb", "mult", "f"))
+        xs, codes, keys = (t[c].to_pylist() for c in ("x", "code", "keys"))
         out: list[list[np.ndarray]] = [[], [], []]
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if e - s < 2:
-                continue
+        for s, e in _tiles(t):
             cross = tile[s] // nb[s] != tile[s] % nb[s]
             x = np.frombuffer(b"".join(xs[s:e]), np.float64).reshape(e - s, -1)
-            count, group = links_in(x, np.array(keys[s:e]), key[s], threshold, blk[s:e] if cross else None)
-            a, hub = _star(vec[s:e], group)
+            dim = x.shape[1]
+            if dim not in turn:
+                turn[dim] = rotation(dim, seed)
+            code = np.frombuffer(b"".join(codes[s:e]), np.uint8).reshape(e - s, -1)
+            count, group = links_in(x, x @ turn[dim].T, code, f[s:e], np.array(keys[s:e]), key[s], mult[s:e], threshold, blk[s:e] if cross else None)
+            a, hub = _star(node[s:e], group)
             hubs = dict(zip(a, hub, strict=True))
-            linked = np.flatnonzero((count > 0) | np.isin(vec[s:e], a))
-            out[0].append(vec[s:e][linked]), out[1].append(count[linked])
-            out[2].append(np.array([hubs.get(v, v) for v in vec[s:e][linked]], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)]), pa.int64()) for c in out], ["vec", "n", "hub"])
+            linked = np.flatnonzero(count)
+            out[0].append(node[s:e][linked]), out[1].append(count[linked])
+            out[2].append(np.array([hubs.get(v, v) for v in node[s:e][linked]], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)]), pa.int64()) for c in out], ["node", "n", "hub"])
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, seed: int = 2, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding; more are ignored).
 
     Vectors of one dimension are linked if their cosine reaches `threshold`. Null, empty and zero vectors and those with a null
-    or non-finite component are linked with nothing. Of rows that share a vec_id the least embedding counts, for each of them; a
-    null vec_id is a vector like others and sorts first. An empty table gives no rows.
+    or non-finite component are linked with nothing. Rows with equal vec_id and equal embedding are one vector and give equal
+    rows; rows that share a vec_id with different embeddings are vectors of their own. A null vec_id is an id that sorts first.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(id_key("vec_id").alias("vec"), F.col("embedding").cast("array<double>").alias("embedding"))
-    one = rows.groupBy("vec").agg(F.min("embedding").alias("embedding"))
-    bits = max(8, math.ceil(math.log2(max(2, rows.count()))) - 2)
+    e = F.col("embedding")
+    finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    usable = F.coalesce(e.isNotNull() & finite & F.exists(e, lambda v: v != 0), F.lit(False))
+    rows = vectors.select(id_key("vec_id").alias("vec"), e.cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("c1", F.when(usable, F.xxhash64("embedding"))).withColumn("c2", F.when(usable, F.xxhash64(F.lit(seed), "embedding")))
+    total = rows.count()
+    bits = max(8, math.ceil(math.log2(max(2, total))) - 2)
     tables = table_count(bits, threshold, miss)
-    coded = saved(one.mapInArrow(lambda it: _encode(it, bits, tables, seed), "vec long, x binary, q binary, step float, f float, keys array<long>"))
-    members = coded.select(F.explode("keys").alias("key"), "vec", "q", "step", "f")
-    kept = saved(clustered(members, "key").mapInArrow(lambda it: _open(it, threshold, 2 * block), "key long, vec long"))
-    blocks = kept.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("nb"))
-    blocks = blocks.withColumn("nb", F.when(F.col("nb") <= 2, F.lit(1)).otherwise(F.col("nb")))
-    placed = kept.join(blocks, "key").withColumn("blk", F.pmod(F.xxhash64("vec"), F.col("nb")))
-    tiles = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    tiles = tiles.select("key", "vec", "blk", "nb", (F.greatest("blk", "o") * F.col("nb") + F.least("blk", "o")).alias("tile"))
-    full = tiles.join(coded.select("vec", "x", "keys"), "vec")
-    found = saved(clustered(full, "key", "tile").mapInArrow(lambda it: _exact(it, threshold), "vec long, n long, hub long"))
-    counts = found.groupBy("vec").agg(F.sum("n").alias("n"))
-    named = components(found.select(F.col("vec").alias("a"), F.col("hub").alias("b")))
-    out = rows.select("vec").join(counts, "vec", "left").join(named.withColumnRenamed("node", "vec"), "vec", "left")
-    component = F.coalesce("component", "vec")
+    one = rows.where("c1 is not null").groupBy("c1", "c2").agg(F.min("vec").alias("least"), F.count_distinct("vec").alias("mult"), F.any_value("embedding").alias("embedding"))
+    one = saved(one.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they were saved
+    coded = saved(one.mapInArrow(lambda it: _encode(it, bits, tables, seed), "node long, dim int, x binary, code binary, f double, mult long, keys array<long>"))
+    members = coded.select(F.explode("keys").alias("key"), "node", "dim", "code")
+    placed = tiled(members, "key", "node", block, coded.count() * tables)
+    kept = saved(clustered(placed, "key", "tile").mapInArrow(lambda it: _open(it, threshold, miss), "key long, tile long, blk long, nb long, node long"))
+    full = kept.join(coded.select("node", "x", "code", "f", "mult", "keys"), "node")
+    found = saved(clustered(full, "key", "tile").mapInArrow(lambda it: _exact(it, threshold, seed), "node long, n long, hub long"))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    named = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    owned = one.select("c1", "c2", "node", "least", "mult").join(named, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    owned = saved(owned.withColumn("n", F.coalesce("n", F.lit(0)) + F.col("mult") - 1).select("c1", "c2", "least", "n", "component"))
+    firsts = owned.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n_"))
+    by_class = looked_up(owned, firsts, "component", total).select("c1", "c2", "n", "first")
+    out = rows.select("vec", "c1", "c2").join(by_class, ["c1", "c2"], "left")
+    first = F.coalesce("first", "vec")
     return out.select(
         from_key("vec").alias("vec_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.when(component != F.lit(-(2**63)), component).alias("component_id"),
-        (component == F.col("vec")).alias("kept"),
+        F.when(first != F.lit(-(2**63)), first).alias("component_id"),
+        (first == F.col("vec")).alias("kept"),
     )
 
 

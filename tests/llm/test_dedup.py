@@ -140,10 +140,10 @@ def test_near_embeddings(spark, block):
 
 
 def test_odd_embeddings(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, key string, n int")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed.near_embeddings(df).collect()), key=str)
-    alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
+    alone = [(i, 0, i, True) for i in (1, 3, 4, 5, 6, 7, 8, 9)]  # 1: a used id with another vector
     assert got == sorted([(1, 2, None, False), (1, 2, None, False), (2, 2, None, False), (None, 2, None, True), *alone], key=str)
     assert embed.near_embeddings(df.where("false")).count() == 0
 
@@ -155,10 +155,34 @@ def test_estimates_are_unbiased_and_bounded():
     off = r.normal(size=(4000, 64))
     off -= (off @ x)[:, None] * x
     y = 0.6 * x + 0.8 * off / np.linalg.norm(off, axis=1, keepdims=True)
-    q, step, f = embed.Coder(64, 8, 1, 5).code(np.vstack([x, y]))
-    est = embed.estimates(q, step, f)[0, 1:]
+    coder = embed.Coder(64, 8, 1, 5)
+    code, f = coder.code(np.vstack([x, y]))
+    est = embed.estimates((x @ coder.first.T)[None, :], code, f)[0, 1:]
     assert abs(est.mean() - 0.6) < 0.01
-    assert (np.abs(est - 0.6) <= embed.bounds(f, 64, step.max())[1:]).mean() > 0.999
+    assert (np.abs(est - 0.6) <= embed.bounds(f, 64)[1:]).mean() > 0.999
+
+
+def test_codes_of_near_vectors_differ_in_few_places():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = r.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    coder = embed.Coder(64, 8, 1, 5)
+    differ = np.bitwise_count(coder.code(x)[0] ^ coder.code(y)[0]).sum(1)
+    assert (differ > embed.most_differences(64, 0.95, 1e-3)).mean() <= 2e-3
+    few = coder.code(np.vstack([x[:50], y[:3]]))[0]
+    want = [any((np.bitwise_count(few[i] ^ few[j]).sum() <= 16) for j in range(53) if j != i) for i in range(53)]
+    assert embed.near_codes(few, 16).tolist() == want
+
+
+def test_equal_vectors_are_one_class(spark):
+    r = np.random.default_rng(9)
+    base, near = np.ones(16), np.ones(16) + 0.05 * r.normal(size=16)
+    rows = [(i, base.tolist()) for i in range(5000)] + [(5000 + i, near.tolist()) for i in range(3)] + [(5003, (-base).tolist())]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embed.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (5002, 0) for i in range(5003)} | {5003: (0, 5003)}
 
 
 def test_query_7_digest(spark):
