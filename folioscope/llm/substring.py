@@ -1,9 +1,11 @@
 """Repeated passages: prefix-partitioned suffix trees over sampled suffixes.
 
-A passage of `window` words that stands in two documents holds the same runs of PREFIX words in both, and of them the one with
-the least hash at the same place. Only suffixes that begin at such a run are kept (about one in twenty), and of them only those
-whose run stands in two documents. That run is the prefix by which suffixes are dealt out, so all suffixes under one prefix meet
-in one group of a size that fits in memory; a prefix with more suffixes is made longer, up to the whole window.
+A passage of `window` words that stands in two documents holds the same runs of words of the first of LENGTHS in both, and of them
+the one with the least hash at the same place. Only suffixes that begin at such a run are kept (about one in twenty), and of them
+only those whose run stands in two documents. That run is the prefix by which suffixes are dealt out, so all suffixes under one
+prefix meet in one group. A prefix with more suffixes than fit is made longer, to the next of LENGTHS, until its groups fit: to
+the right as far as a window reaches, and to the left from there. At full length the window is its own prefix; what is left
+of its tree is one leaf, whose least document is an aggregate that needs no group in one place.
 
 Of each group the tree is built as sorted suffixes with the longest common prefixes of neighbours: the suffixes under one node
 of depth d are a run in which no neighbour shares less than d words. The words before the prefix are a second tree, over reversed
@@ -17,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, runs, saved
+from .base import WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, looked_up, runs, saved
 
-PREFIX = 12
+#: Words of a prefix; the window is the last length.
+LENGTHS = (12, 24)
+#: Documents under one prefix, above which it is made longer.
+MOST = 4_096
 
 
 def anchors(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,46 +45,78 @@ def anchors(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.nda
     return g[place[first]].view(np.int64), place[first], first, last
 
 
-def _prefixes(batches, window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def longer(h: np.ndarray, found: tuple[np.ndarray, ...], window: int, prefix: int, length: int) -> tuple[np.ndarray, ...]:
+    """The runs of `found` (as from anchors) under prefixes of `length` words in place of `prefix` words.
+
+    Windows with room for the words behind stay together; in each other one the prefix is made of the window's last words.
+    """
+    _, place, first, last = found
+    room = np.maximum(first, place + length - window)  # the first window that has room behind the place
+    whole = room <= last
+    alone = [np.arange(f, min(r, t + 1)) for f, r, t in zip(first, room, last, strict=True)]
+    single = np.concatenate([*alone, np.empty(0, np.int64)]).astype(np.int64)
+    place = np.concatenate([place[whole], single + window - length])
+    return grams(h, length)[place].view(np.int64), place, np.concatenate([room[whole], single]), np.concatenate([last[whole], single])
+
+
+def _levels(h: np.ndarray, window: int, lengths: tuple[int, ...], hot: list[list[int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows under the prefixes of each length; those of the next length come from prefixes in `hot`."""
+    found = anchors(h, window, lengths[0])
+    yield found
+    for prefix, length, keys in zip(lengths, lengths[1:], hot, strict=False):
+        here = np.isin(found[0], np.array(keys, np.int64))
+        found = longer(h, tuple(x[here] for x in found), window, prefix, length)
+        yield found
+
+
+def _by_level(wanted: list[dict], n: int) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(n)]
+    for x in wanted:
+        out[x["level"]].append(x["prefix"])
+    return out
+
+
+def _prefixes(batches, window: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The distinct prefixes of the last length, of documents with the hot ones of the lengths before."""
     cache = WordHash()
     for b in batches:
         out = [[], [], []]
-        for doc, h, text in arrow_rows([b]):
-            a = np.unique(anchors(cache.of((text or b"").split()), window, prefix)[0])
+        for doc, h, text, *hot in arrow_rows([b]):
+            *_, found = _levels(cache.of((text or b"").split()), window, lengths, _by_level(hot[0], len(lengths)) if hot else [])
+            a = np.unique(found[0])
             out[0].append(a), out[1].append(np.full(len(a), doc)), out[2].append(np.full(len(a), h))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64)) for c in out], ["prefix", "doc", "h"])
 
 
-_SUFFIX = pa.schema([("prefix", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("left", pa.int32()), ("words", pa.binary())])
+_SUFFIX = pa.schema([("level", pa.int32()), ("prefix", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("left", pa.int32()), ("words", pa.binary())])
 
 
-def _suffixes(batches, window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches, window: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Suffixes at prefixes that stand in two documents, with the words of their windows; equal ones of a document are one row."""
     cache = WordHash()
-    for doc, h, text, wanted in arrow_rows(batches):
+    for doc, h, text, hot, fit, _ in arrow_rows(batches):
         words = text.split()
-        a, place, first, last = anchors(cache.of(words), window, prefix)
+        hot, fit = _by_level(hot, len(lengths)), _by_level(fit, len(lengths))
         rows: dict[tuple, list[int]] = {}
-        for k in np.flatnonzero(np.isin(a, np.array(wanted, np.int64))):
-            key = (int(a[k]), int(place[k] - first[k]), b" ".join(words[first[k] : last[k] + window]))
-            rows.setdefault(key, []).append(int(place[k]))
+        for level, (a, place, first, last) in enumerate(_levels(cache.of(words), window, lengths, hot)):
+            for k in np.flatnonzero(np.isin(a, np.array(fit[level], np.int64))):
+                key = (level, int(a[k]), int(place[k] - first[k]), b" ".join(words[first[k] : last[k] + window]))
+                rows.setdefault(key, []).append(int(place[k]))
         if rows:
             keys = list(rows)
-            columns = ([k[0] for k in keys], [doc] * len(keys), [h] * len(keys), list(rows.values()), [k[1] for k in keys], [k[2] for k in keys])
+            columns = ([k[0] for k in keys], [k[1] for k in keys], [doc] * len(keys), [h] * len(keys), list(rows.values()), [k[2] for k in keys], [k[3] for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SUFFIX.types, strict=True)], schema=_SUFFIX)
 
 
-def _leaves(batches, window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Under prefixes with very many suffixes, the windows themselves: prefixes of full length, two hashes as their key."""
+def _leaves(batches, window: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Where windows stand that are prefixes of full length and repeats."""
     cache = WordHash()
-    for doc, h, text, wanted in arrow_rows(batches):
-        hashes = cache.of(text.split())
-        a, _, first, last = anchors(hashes, window, prefix)
-        full = grams(hashes, window).view(np.int64)
-        for k in np.flatnonzero(np.isin(a, np.array(wanted, np.int64))):
-            at = np.arange(first[k], last[k] + 1)
+    for doc, h, text, hot, _, gone in arrow_rows(batches):
+        if gone:
+            *_, (a, _, first, _) = _levels(cache.of(text.split()), window, (*lengths, window), _by_level(hot, len(lengths)))
+            at = first[np.isin(a, np.array(gone, np.int64))]
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a[k])), pa.array(full[at]), pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(at)], ["prefix", "full", "doc", "h", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, h)), pa.array(at), pa.array(at + window)], ["doc", "h", "start", "end"])
 
 
 def _common(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,41 +167,55 @@ def repeats_in(prefix_: np.ndarray, doc: np.ndarray, left: np.ndarray, contexts:
     return most, np.where(most >= 0, window - least, -1)
 
 
-def _repeats(batches, window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _repeats(batches, window: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
-    for t in runs(batches, ["prefix"], 8_192):
-        contexts = [cache.of(x.split()) for x in t["words"].to_pylist()]
-        before, behind = repeats_in(t["prefix"].to_numpy(), t["doc"].to_numpy(), t["left"].to_numpy().astype(np.int64), contexts, window, prefix)
-        hit = np.flatnonzero(before >= 0)
-        at = t["at"].combine_chunks().take(pa.array(hit)) if len(hit) else None
-        if at is not None:
-            each = np.diff(at.offsets.to_numpy())
-            who, where = np.repeat(hit, each), at.flatten().to_numpy().astype(np.int64)
-            columns = (t["doc"].to_numpy()[who], t["h"].to_numpy()[who], where - before[who], where + behind[who])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "h", "start", "end"])
-
-
-def repeated_spans(keyed: DataFrame, window: int = 50, prefix: int = PREFIX, most: int = 50_000) -> DataFrame:
+    for whole in runs(batches, ["level", "prefix"], 8_192):
+        levels = whole["level"].to_numpy()
+        for level in np.unique(levels):
+            t = whole.filter(pa.array(levels == level))
+            contexts = [cache.of(x.split()) for x in t["words"].to_pylist()]
+            before, behind = repeats_in(t["prefix"].to_numpy(), t["doc"].to_numpy(), t["left"].to_numpy().astype(np.int64), contexts, window, lengths[level])
+            hit = np.flatnonzero(before >= 0)
+            if len(hit):
+                at = t["at"].combine_chunks().take(pa.array(hit))
+                who, where = np.repeat(hit, np.diff(at.offsets.to_numpy())), at.flatten().to_numpy().astype(np.int64)
+                columns = (t["doc"].to_numpy()[who], t["h"].to_numpy()[who], where - before[who], where + behind[who])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "h", "start", "end"])
+
+
+def repeated_spans(keyed: DataFrame, window: int = 50, lengths: tuple[int, ...] = LENGTHS, most: int = MOST) -> DataFrame:
     """(doc, h, start, end): spans of words covered by windows that also start in a smaller document.
 
-    keyed: doc (long, never null), h (a hash of the text) and text (binary). most: documents under one prefix, above which its
-    suffixes are dealt out by the whole window instead.
+    keyed: doc (long, never null), h (a hash of the text) and text (binary). lengths: words of prefixes, ascending, `window` at
+    most; most: documents under one prefix, above which it is made longer.
     """
-    found = keyed.mapInArrow(lambda it: _prefixes(it, window, prefix), "prefix long, doc long, h long")
-    same = Window.partitionBy("prefix")
-    shared = found.select("*", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"), F.count("*").over(same).alias("n"))
-    shared = saved(shared.where("lo < hi").groupBy("doc", "h", (F.col("n") > most).alias("hot")).agg(F.collect_list("prefix").alias("wanted")))
-
-    def part(hot: bool) -> DataFrame:
-        return keyed.join(shared.where(F.col("hot") == hot).drop("hot"), ["doc", "h"]).select("doc", "h", "text", "wanted")
-
-    suffixes = part(False).mapInArrow(lambda it: _suffixes(it, window, prefix), "prefix long, doc long, h long, at array<int>, left int, words binary")
-    spans = clustered(suffixes, "prefix").mapInArrow(lambda it: _repeats(it, window, prefix), "doc long, h long, start long, end long")
-    if shared.where("hot").limit(1).count():
-        leaves = part(True).mapInArrow(lambda it: _leaves(it, window, prefix), "prefix long, full long, doc long, h long, start long")
-        lo = leaves.groupBy("prefix", "full").agg(F.min("doc").alias("lo"))
-        more = leaves.join(lo, ["prefix", "full"]).where("doc > lo")
-        spans = spans.unionByName(more.select("doc", "h", "start", (F.col("start") + window).alias("end")))
+    steps = (*lengths, window)
+    entry = F.struct(F.col("level"), F.col("prefix"))
+    docs, wanted = keyed, None
+    for level in range(len(steps)):
+        found = saved(docs.mapInArrow(lambda it, n=level + 1: _prefixes(it, window, steps[:n]), "prefix long, doc long, h long"))
+        stats = found.groupBy("prefix").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n_")).where("lo < hi")
+        leaf = level == len(lengths)
+        stats = stats.select("prefix", "n_", "lo", (F.lit(not leaf) & (F.col("n_") > most)).alias("hot"))
+        shared = looked_up(found, stats, "prefix", found.count()).withColumn("level", F.lit(level))
+        if leaf:
+            shared = shared.where("doc > lo")
+        shared = saved(shared.select("doc", "h", "level", "prefix", "hot"))
+        wanted = shared if wanted is None else wanted.unionByName(shared)
+        if leaf or not shared.where("hot").limit(1).count():
+            break
+        hot = wanted.where("hot").groupBy("doc", "h").agg(F.collect_list(entry).alias("hot"))
+        docs = keyed.join(hot, ["doc", "h"]).select("doc", "h", "text", "hot")
+    full = F.col("level") == len(lengths)
+    lists = wanted.groupBy("doc", "h").agg(
+        F.collect_list(F.when(F.col("hot"), entry)).alias("hot"), F.collect_list(F.when(~F.col("hot") & ~full, entry)).alias("fit"), F.collect_list(F.when(full, F.col("prefix"))).alias("gone")
+    )
+    part = keyed.join(lists, ["doc", "h"]).select("doc", "h", "text", "hot", "fit", "gone")
+    schema = "level int, prefix long, doc long, h long, at array<int>, left int, words binary"
+    suffixes = part.mapInArrow(lambda it: _suffixes(it, window, lengths), schema)
+    spans = clustered(suffixes, "level", "prefix").mapInArrow(lambda it: _repeats(it, window, lengths), "doc long, h long, start long, end long")
+    if level == len(lengths):
+        spans = spans.unionByName(part.mapInArrow(lambda it: _leaves(it, window, lengths), "doc long, h long, start long, end long"))
     return spans
 
 
@@ -182,7 +233,7 @@ def _keep(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = PREFIX, most: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, lengths: tuple[int, ...] = LENGTHS, most: int = MOST) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row of `docs` (doc_id and text; more are ignored).
 
     Words are runs without ASCII white space, unchanged. A word goes if a window of `window` words around it also starts in a
@@ -190,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, prefix: int = PREFIX, most
     space. A null text has no words. Repeated rows give repeated results; an empty table gives none.
     """
     keyed = docs.select(id_key().alias("doc"), F.col("text").cast("binary").alias("text")).select("doc", F.xxhash64("text").alias("h"), "text")
-    spans = repeated_spans(keyed, window, prefix, most)
+    spans = repeated_spans(keyed, window, lengths, most)
     by_doc = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     by_doc = by_doc.select("doc", "h", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     # the same rows dealt out by the same keys as for the suffixes, so Spark shuffles the texts once

@@ -86,11 +86,11 @@ def plain_removal(rows, window):
     return {d: sorted(v) for d, v in out.items()}
 
 
-@pytest.mark.parametrize("window, prefix, most", [(50, 12, 50_000), (20, 6, 50_000), (20, 6, 1), (8, 8, 50_000)])
-def test_repeated_passages(copies, window, prefix, most):
+@pytest.mark.parametrize("window, lengths, most", [(50, (12, 24), 10**6), (50, (12, 24), 1), (20, (6,), 10**6), (20, (6, 8, 13), 3), (20, (6, 8, 13), 1), (8, (8,), 10**6), (8, (8,), 1)])
+def test_repeated_passages(copies, window, lengths, most):
     want = plain_removal([(r.doc_id, r.text) for r in copies.collect()], window)
     got = {}
-    for r in substring.remove_repeats(copies, window, prefix, most).collect():
+    for r in substring.remove_repeats(copies, window, lengths, most).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.kept_text))
     assert got == want and sum(v[0][1] for v in got.values()) > 500
 
