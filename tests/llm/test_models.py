@@ -1,6 +1,9 @@
 """Quality trees, language network and decontamination."""
 
+import math
 import random
+import time
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -130,10 +133,78 @@ def test_leaks_with_substitutions_are_found_and_nothing_else(spark, most):
     assert {r.doc_id for r in decontam.clean(docs, items, most_tokens=most).collect()} == set(range(200)) - set(want)
 
 
+@pytest.mark.parametrize("n", [*range(3, 30)])
+def test_no_allowed_substitutions_escape_the_masks(n):
+    """Every way to replace words in one window of an item that leaves enough of them equal."""
+    w = min(n, decontam.WINDOW)
+    free = w - math.ceil(decontam.SHARE * w)
+    item = [f"w{i}" for i in range(n)]
+    index = decontam.Index([(1, 0, " ".join(item))], decontam.MASKS, decontam.WINDOW, decontam.SHARE, 3)
+    cache = decontam.WordHash()
+    at = (n - w) // 2
+    for gone in combinations(range(w), free):
+        words = [b"x"] * 3 + [b"y" if i in gone else item[at + i].encode() for i in range(w)] + [b"z"]
+        found = list(index.overlaps(cache.of(words)))
+        assert [(i, d - k) for i, d, k, *_ in found] == [(1, 3 - at)]
+    words = [b"y" if i in range(free + 1) else item[at + i].encode() for i in range(w)]
+    assert not list(index.overlaps(cache.of(words)))
+
+
+def every_overlap(text, item, window=decontam.WINDOW, share=decontam.SHARE):
+    """All diagonals, all windows."""
+    h, t = decontam.tokens(text), decontam.tokens(item)
+    w = min(window, len(t))
+    best = []
+    for d in range(w - len(t), len(h) - w + 1) if w >= decontam.SHORTEST else ():
+        a, b = max(0, -d), min(len(t), len(h) - d)
+        equal = [t[i] == h[i + d] for i in range(a, b)]
+        best += [d for i in range(len(equal) - w + 1) if sum(equal[i : i + w]) >= share * w - 1e-9]
+    return set(best)
+
+
+def test_query_1_against_brute_force(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randrange(12)}" for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 12, 13, 14, 30])))) for i in range(30)]
+    docs = []
+    for d in range(40):
+        words = [f"w{r.randrange(12)}" for _ in range(r.randint(0, 60))]
+        for _ in range(2):
+            part = [w if r.random() < 0.85 else "sub" for w in r.choice(items)[1].split()]
+            words[(k := r.randrange(len(words) + 1)) : k] = part
+        docs.append((d, " ".join(words)))
+    want = {(d, i, k) for d, x in docs for i, t in items for k in every_overlap(x, t)}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.MOST_TOKENS, 20):
+        found = decontam.overlaps(df, bench, most_tokens=most).collect()
+        assert {(x.doc_id, x.item_id, x.doc_start - x.item_start) for x in found} == want
+    assert {x.doc_id for x in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+
+
+def test_query_1_digest(spark):
+    out = decontam.op1_decontamination(spark, "/root/testdata/sf0.001").collect()
+    docs, items = ({x[0]: x.text for x in spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").collect()} for t in ("documents", "benchmark"))
+    want = set()
+    for i, t in items.items():
+        words = decontam.tokens(t)
+        for d, x in docs.items():
+            # two substitutions cut 13 tokens into three parts, one of which has four tokens or more: a shared triple
+            if {*zip(words, words[1:], words[2:])} & {*zip(h := decontam.tokens(x), h[1:], h[2:])} and every_overlap(x, t):
+                want.add((d, i))
+    assert {(x.doc_id, x.item_id) for x in out} == want
+
+
+def test_one_word_over_and_over():
+    index = decontam.Index([(1, 0, "a " * 20_000)], decontam.MASKS, decontam.WINDOW, decontam.SHARE, 3)
+    began = time.process_time()
+    h = decontam.WordHash().of([b"a"] * 20_000)
+    assert len(index.diagonals(h)) >= 2 * 20_000 - 26
+    assert next(index.overlaps(h))[0] == 1 and time.process_time() - began < 60
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (None, "another text under a used id"), (5, "another text under a used id")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.overlaps(odd_docs, items).collect()}
-    assert found == {(7, -1), (7, 5)}
+    assert found == {(7, -1), (7, 5), (4, 3)}
     assert decontam.overlaps(no_docs, items).count() == 0 and decontam.overlaps(odd_docs, items.where("false")).count() == 0
     kept = decontam.clean(odd_docs, items)
-    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 2
