@@ -174,7 +174,9 @@ def tiled(rows: DataFrame, key: str, node: str, block: int, total: int, size: Co
     pair of blocks, and each block by itself, is a tile; (tile div nb, tile mod nb) are its blocks.
     """
     sums = rows.groupBy(key).agg(F.count("*").alias("n_"), F.sum(F.lit(1) if size is None else size).alias("s_")).where("n_ > 1")
-    table = sums.select(key, "n_", F.ceil(F.col("s_") / F.lit(block)).cast("long").alias("nb"))
-    placed = looked_up(rows, table, key, total).withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")))
+    table = saved(sums.select(key, "n_", F.ceil(F.col("s_") / F.lit(block)).cast("long").alias("nb")))
+    large = table.where(F.col("nb") > 1).limit(1).count()
+    placed = looked_up(rows, table, key, total) if large else rows.join(table.select(key, "nb"), key)
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")))
     pairs = placed.withColumn("o_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     return pairs.withColumn("tile", F.greatest("blk", "o_") * F.col("nb") + F.least("blk", "o_")).drop("o_")

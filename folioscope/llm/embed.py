@@ -2,15 +2,15 @@
 
 1. Equal vectors form one class, whatever their ids; classes are the nodes of all steps but the last.
 2. A unit vector x is rotated by a seeded orthogonal matrix; the signs of the result are its code c (entries +-1/sqrt(D)), and
-   f = <c, Rx> is stored with it. For any unit q, <c, Rq> / f estimates <x, q> without bias, with an error of about
-   sqrt((1 - f^2) / f^2 / (D - 1)); EPSILON such errors are the confidence bound.
+   f = <c, Rx> is stored with it. For any unit q, <c, Rq> / f estimates s = <x, q> without bias, with an error of about
+   sqrt((1 - s^2) (1 - f^2) / f^2 / (D - 1)); EPSILON such errors are the confidence bound.
 3. Signs after further rotations, cut into `bits`, are the keys of `tables` hash tables. bits grows with log2 of the number of
    vectors, so that buckets stay small, and tables so that a pair at the threshold is missed with probability `miss` at most.
-4. The tables hold codes alone, a bit a dimension. A member of a bucket stays if some other member's code differs from its own
-   in no more places than a pair at the threshold does, but for a tenth of `miss`.
+4. The tables hold codes alone, CODE signs of the first and further rotations. A member of a bucket stays if some other member's
+   code differs from its own in no more places than a pair at the threshold does, but for a tenth of `miss`.
 5. Members that stay get their vectors. In each bucket, estimates from codes and factors are compared with the threshold: pairs
-   whose upper bounds, either way round, are below it are done with; the cosines of the others are computed in double precision,
-   in the first table alone that holds the pair. Each bucket gives counts, and links to the least member of its groups.
+   whose upper bound is below it are done with; the cosines of the others are computed in double precision, in the first table
+   alone that holds the pair. Each bucket gives counts, and links to the least member of its groups.
 6. Connected components of those links.
 
 Buckets of any size are dealt out as tiles of two blocks in both steps.
@@ -32,6 +32,8 @@ from .minhash import _star, led
 
 EPSILON = 4.0
 BLOCK = 2048
+#: Signs of a code in the tables, at least; more of them tell near vectors from others more sharply.
+CODE = 256
 
 
 def rotation(dim: int, seed: int, number: int = 0) -> np.ndarray:
@@ -45,6 +47,10 @@ def table_count(bits: int, threshold: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-p)))
 
 
+def code_size(dim: int) -> int:
+    return dim * max(1, -(-CODE // dim))
+
+
 def most_differences(dim: int, threshold: float, miss: float) -> int:
     """The least number of places such that codes of a pair at the threshold differ in more with probability `miss` at most."""
     p, tail = math.acos(threshold) / math.pi, 1.0
@@ -59,15 +65,16 @@ class Coder:
     """Codes, factors and table keys of unit vectors of one dimension."""
 
     def __init__(self, dim: int, bits: int, tables: int, seed: int) -> None:
-        self.first = rotation(dim, seed)
-        need = -(-bits * tables // dim)
-        self.planes = np.concatenate([rotation(dim, seed, k + 1) for k in range(need)])[: bits * tables]
+        self.first, self.size = rotation(dim, seed), code_size(dim)
+        need = -(-(bits * tables + self.size - dim) // dim)
+        planes = np.concatenate([rotation(dim, seed, k + 1) for k in range(max(1, need))])
+        self.more, self.planes = planes[: self.size - dim], planes[self.size - dim :][: bits * tables]
         self.dim, self.bits, self.tables = dim, bits, tables
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signs of the rotated vectors, eight to a byte, and the factors f."""
+        """Signs under the first rotation, then under the others, eight to a byte, and the factors f of the first."""
         r = x @ self.first.T
-        return np.packbits(r >= 0, axis=1), np.abs(r).sum(axis=1) / math.sqrt(self.dim)
+        return np.packbits(np.hstack([r, x @ self.more.T]) >= 0, axis=1), np.abs(r).sum(axis=1) / math.sqrt(self.dim)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A key per table, with the table's number and the dimension mixed in."""
@@ -79,9 +86,9 @@ class Coder:
         return h.view(np.int64)
 
 
-def bounds(f: np.ndarray, dim: int, epsilon: float = EPSILON) -> np.ndarray:
-    """Half width of the confidence interval of the estimate from a code with factor f."""
-    return epsilon * np.sqrt(np.maximum(0, 1 - f**2) / f**2 / max(1, dim - 1))
+def bounds(f: np.ndarray, dim: int, s: float = 0.0, epsilon: float = EPSILON) -> np.ndarray:
+    """Half width of the confidence interval of the estimate of an inner product s from a code with factor f."""
+    return epsilon * np.sqrt((1 - s * s) * np.maximum(0, 1 - f**2) / f**2 / max(1, dim - 1))
 
 
 def estimates(rotated: np.ndarray, code: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -155,7 +162,7 @@ def _open(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
         for a, b in _tiles(t):
             d = int(dim[a])  # the dimension is part of the key
             if d not in most:
-                most[d] = most_differences(d, threshold, miss / 10)
+                most[d] = most_differences(code_size(d), threshold, miss / 10)
             keep[a:b] = near_codes(np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1), most[d])
         yield t.filter(pa.array(keep)).select(["key", "tile", "blk", "nb", "node"]).combine_chunks().to_batches()[0] if keep.any() else _NONE
 
@@ -168,13 +175,11 @@ def links_in(x: np.ndarray, rotated: np.ndarray, code: np.ndarray, f: np.ndarray
 
     block: only pairs across blocks are looked at.
     """
-    m, half = len(x), bounds(f, x.shape[1])
+    m, half = len(x), bounds(f, x.shape[1], threshold)  # of a pair at the threshold; above it, the interval is narrower
     table = int(np.flatnonzero((keys == key).all(axis=0))[0])
     near = np.zeros((m, m), bool)
     for at in range(0, m, 512):
-        up = estimates(rotated[at : at + 512], code, f) + half[None, :] >= threshold
-        up &= estimates(rotated, code[at : at + 512], f[at : at + 512]).T + half[at : at + 512, None] >= threshold
-        a, b = np.nonzero(up)
+        a, b = np.nonzero(estimates(rotated[at : at + 512], code, f) + half[None, :] >= threshold)
         a, b = (v[a + at < b] for v in (a + at, b))
         if block is not None:
             a, b = (v[block[a] != block[b]] for v in (a, b))

@@ -159,7 +159,7 @@ def test_estimates_are_unbiased_and_bounded():
     code, f = coder.code(np.vstack([x, y]))
     est = embed.estimates((x @ coder.first.T)[None, :], code, f)[0, 1:]
     assert abs(est.mean() - 0.6) < 0.01
-    assert (np.abs(est - 0.6) <= embed.bounds(f, 64)[1:]).mean() > 0.999
+    assert (np.abs(est - 0.6) <= embed.bounds(f, 64, 0.6)[1:]).mean() > 0.999
 
 
 def test_codes_of_near_vectors_differ_in_few_places():
@@ -171,7 +171,7 @@ def test_codes_of_near_vectors_differ_in_few_places():
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
     coder = embed.Coder(64, 8, 1, 5)
     differ = np.bitwise_count(coder.code(x)[0] ^ coder.code(y)[0]).sum(1)
-    assert (differ > embed.most_differences(64, 0.95, 1e-3)).mean() <= 2e-3
+    assert (differ > embed.most_differences(embed.code_size(64), 0.95, 1e-3)).mean() <= 2e-3
     few = coder.code(np.vstack([x[:50], y[:3]]))[0]
     want = [any((np.bitwise_count(few[i] ^ few[j]).sum() <= 16) for j in range(53) if j != i) for i in range(53)]
     assert embed.near_codes(few, 16).tolist() == want
