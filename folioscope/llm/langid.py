@@ -7,19 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import documents
 from .quality import held_out
 
 WINDOW, WIDTHS, FILTERS, BYTE_DIM = 256, (2, 3, 4, 5), 12, 8
-#: Documents that the network is trained on at most, by a hash of the id, and windows of each.
-MOST_FIT, MOST_WINDOWS = 6_000, 6
+#: Documents that the network is trained on at most, by a hash of the id, and windows of each; languages it knows at most, the most
+#: frequent ones, and documents of each of them at least, if there are so many.
+MOST_FIT, MOST_WINDOWS, MOST_LANGS, LEAST_EACH = 6_000, 6, 256, 20
 _REACH = max(WIDTHS)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode category L; signs like a half or a squared are not."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def windows(text: bytes) -> np.ndarray:
     """The whole text in windows of WINDOW bytes, ASCII letters lower-cased, the last one padded with blanks.
 
@@ -101,13 +107,21 @@ class ByteNet:
 
 
 def fit_languages(docs: DataFrame, most: int = MOST_FIT, most_windows: int = MOST_WINDOWS, seed: int = 4) -> ByteNet | None:
-    """A network from at most `most` documents with text and lang, those with the least seeded hash of their id; None without any.
+    """A network from documents with text and lang, of each language those with the least seeded hash of their id; None without any.
 
-    Of each document at most `most_windows` windows are used, spread evenly; languages weigh equally.
+    The MOST_LANGS most frequent languages share `most` documents evenly, but LEAST_EACH for each; the bound holds for rows,
+    whatever ids repeat. Of each document at most `most_windows` windows are used, spread evenly; languages weigh equally.
     """
     usable = docs.where("text is not null and lang is not null and text <> ''")
-    ids = usable.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)  # a proven bound: `most` rows
-    rows = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    if not langs:
+        return None
+    each = max(LEAST_EACH, most // len(langs))
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    mine = Window.partitionBy("lang")
+    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", h.alias("h")).withColumn("n", F.row_number().over(mine.orderBy("h", "doc_id"))).where(F.col("n") <= each)
+    ids = ids.select(F.col("lang").alias("lang_"), F.col("doc_id").alias("id_")).distinct()
+    rows = usable.join(F.broadcast(ids), (F.col("lang") == F.col("lang_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -116,9 +130,8 @@ def fit_languages(docs: DataFrame, most: int = MOST_FIT, most_windows: int = MOS
                 w = w[np.unique(np.linspace(0, len(w) - 1, most_windows).astype(int))]
                 yield pa.RecordBatch.from_pydict({"doc_id": [doc], "lang": [lang], "x": [w.tobytes()]}, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())]))
 
-    got = rows.mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"])
-    if not len(got):
-        return None
+    cut = rows.mapInArrow(run, "doc_id long, lang string, x binary").withColumn("n", F.row_number().over(mine.orderBy(h, "doc_id", "x"))).where(F.col("n") <= each)
+    got = cut.select("doc_id", "lang", "x").toPandas().sort_values(["doc_id", "lang", "x"])
     langs = sorted(set(got["lang"]))
     each = [len(x) // WINDOW for x in got["x"]]
     x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(-1, WINDOW)
@@ -153,7 +166,7 @@ def predict_languages(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
                 size = 0
                 for i, text in enumerate(part["text"].to_pylist()):
-                    if net and text and _LETTER.search(text):
+                    if net and text and has_letter(text):
                         w = windows(text.encode())
                         for k in range(0, len(w), 4096):
                             held.append(w[k : k + 4096]), owner.append(i)

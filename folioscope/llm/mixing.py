@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .base import WORD, documents, saved
 
 EPOCHS, SEED = 3, 17
-_RESERVED = {"size", "source_size", "target", "taken", "src", "src_", "h_", "range_", "words", "before", "whole", "rest", "first"}
 
 
 def source_key(source: Column) -> Column:
@@ -50,14 +49,16 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     Sources by code point (null last) weigh `weights`, repeating. Every document is taken floor(target / source_size) times in
     whole; the rest of the target goes to documents in the order of a seeded hash of their id, each once in whole, until one
     document at the boundary is taken in part, so that each source takes its target to the word. Documents of size 0 take 0.
-    Columns of `docs` that have a name of a result or of a helper column are replaced. Equal doc_ids are ordered by size; equal rows are interchangeable. An empty table gives no rows.
+    Columns of `docs` that have a name of a result are replaced, all others stay. Equal doc_ids are ordered by size; equal rows are
+    interchangeable. An empty table gives no rows.
 
     The order inside a source is found by 4096 hash ranges: sums per range, a prefix sum over them, and a running sum inside each
     range, so a source that holds most rows is never sorted or gathered in one task, and rows are shuffled once.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _RESERVED]
-    rows = docs.select(*own, F.coalesce(size, F.lit(0)).cast("long").alias("size"), source_key(F.col("source")).alias("src_"), h.alias("h_"))
+    own = {f"c{i}_": c for i, c in enumerate(docs.columns)}  # so that no name clashes with a helper's
+    doc_id = next(k for k, c in own.items() if c == "doc_id")
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in own.items()), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source_key(F.col("source")).alias("src_"), h.alias("h_"))
     rows = rows.withColumn("range_", F.substring("h_", 1, 3))
     ranges = saved(rows.groupBy("src_", "range_").agg(F.sum("size").alias("words")))
     sizes = ranges.groupBy(F.col("src_").alias("src")).agg(F.sum("words").alias("source_size"))
@@ -68,11 +69,12 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     filled = filled.withColumn("whole", whole).withColumn("rest", (goal - F.col("whole") * F.col("source_size")).cast("long"))
     before = Window.partitionBy("src_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(filled, F.col("src_") == F.col("src")).drop("src")
-    inside = Window.partitionBy("src_", "range_").orderBy("h_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src_", "range_").orderBy("h_", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(ranges, ["src_", "range_"]).withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first")))
     both = joined.withColumn("taken", F.col("whole") * F.col("size") + extra)
-    return both.drop("src_", "h_", "range_", "words", "before", "whole", "rest", "first")
+    results = ("size", "source_size", "target", "taken")
+    return both.select(*(F.col(k).alias(c) for k, c in own.items() if c.lower() not in results), *results)
 
 
 def cut(text: Column, words: Column) -> Column:

@@ -121,14 +121,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, seed:
     labels: doc_id, quality (0 or 1; nulls are ignored, as are null ids and documents without a row in `docs`).
     """
     fit = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
-    fit = fit.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "y").limit(most)  # a proven bound: `most` rows
+    order = (F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "y")
+    fit = fit.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most)  # a proven bound: `most` rows
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(fit), "doc_id")
 
     def run(batches):
         for part, x in _features(batches):
             yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["y"], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y", "x"])
+    # an id that repeats on either side brings more rows than it had labels, so the bound is set once more
+    got = rows.mapInArrow(run, "doc_id long, y int, x binary").orderBy(*order, "x").limit(most).toPandas().sort_values(["doc_id", "y", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, STATISTICS)
     return fit_trees(x, got["y"].to_numpy(np.float64))
 

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import decontam, langid, quality
 
@@ -208,3 +209,25 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     assert decontam.overlaps(no_docs, items).count() == 0 and decontam.overlaps(odd_docs, items.where("false")).count() == 0
     kept = decontam.clean(odd_docs, items)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 2
+
+
+def test_und_is_what_has_no_letter(spark):
+    signs = ["½", "²³", "①⑫", "12 3_4", "٣", "Ⅷ", "!?", "", None]
+    docs = spark.createDataFrame([(i, f"plain words number {i}", "en") for i in range(30)] + [(100 + i, f"ganz andere Wörter {i}", "de") for i in range(30)], "doc_id long, text string, lang string")
+    net = langid.fit_languages(docs)
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*signs, "ª", "ß", "语", "½ x"])], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_languages(odd, net).collect()}
+    assert all(got[i] == ("und", 0) for i in range(len(signs))) and all(got[i][0] in net.langs for i in range(len(signs), len(got)))
+
+
+def test_fits_are_bounded_by_rows(spark, monkeypatch):
+    """A repeated id does not bring more rows to the driver than the bound; a rare language is learned all the same."""
+    ids = spark.range(20_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    docs = ids.withColumn("lang", F.lit("en")).unionByName(spark.createDataFrame([(7, "seltene Wörter", "de")], "doc_id long, text string, lang string"))
+    seen = []
+    monkeypatch.setattr(langid.ByteNet, "train", lambda self, x, y: seen.append((self.langs, len(x))) or self)
+    langid.fit_languages(docs, most=100)
+    assert seen[0][0] == ["de", "en"] and seen[0][1] <= 100
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y: len(x))
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), *((i, 1) for i in range(50, 400))], "doc_id long, quality int")
+    assert quality.fit_quality(docs, labels, most=100) == 100

@@ -77,9 +77,10 @@ def test_mix(spark, seed):
     scale = {s: r.choice([1, 3, 60]) for s in sources}
     rows = [(i, r.choice(sources), r.randint(0, 30) * 1) for i in range(400)]
     rows = [(i, s, n * scale[s]) for i, s, n in rows]
-    df = spark.createDataFrame([(*x, "k", 9) for x in rows], "doc_id long, source string, n long, target string, rest int")
+    names = ("words", "first", "before", "whole", "src", "src_", "h_", "range_", "c0_")
+    df = spark.createDataFrame([(*x, "k", 9, *names) for x in rows], "doc_id long, source string, n long, target string, rest int" + "".join(f", {c} string" for c in names))
     out = mixing.take(df, F.col("n")).collect()
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and all(x["rest"] == 9 and all(x[c] == c for c in names) for x in out)
     order = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
     sizes = {s: sum(n for _, x, n in rows if x == s) for s in order}
     want = filled(sizes, {s: 1 + i % 3 for i, s in enumerate(order)}, 3)
