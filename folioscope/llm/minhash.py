@@ -127,7 +127,7 @@ def _bucket_links(batches, floor: float) -> Iterator[pa.RecordBatch]:
     """Tentative links inside tiles of buckets whose signatures agree often enough."""
     for t in runs(batches, ["key", "tile"], 8_192):
         key, tile, doc = t["key"].to_numpy(), t["tile"].to_numpy(), t["doc"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), -1)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
         two = cut[:-1][np.diff(cut) == 2]
         same = (sig[two] == sig[two + 1]).mean(axis=1) >= floor
@@ -173,7 +173,7 @@ def _exact_links(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
         yield _links(found)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7, block: int = 1_500_000, bucket: int = 2_048) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 7, block: int = 1_500_000, bucket: int = 4_096) -> DataFrame:
     """(doc_key, n_shingles, component, class_id, text_group, text_id) for every row of `docs` (columns doc_id and text; more are ignored).
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of k-word shingles (ASCII letters lower-
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     least = sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc", "t", "n", "sig")).alias("r")).select("c1", "c2", "r.*")
     reps = saved(least.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they were saved
     classes = reps.count()
-    members = saved(reps.select(F.col("node").alias("doc"), "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long"))
-    low = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(_low_halves, "doc long, sig binary")
+    members = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(lambda it: _bands(it, bands, rows), "key long, doc long")
+    low = reps.select(F.col("node").alias("doc"), "sig").mapInArrow(_low_bytes, "doc long, sig binary")
     buckets = tiled(members, "key", "doc", bucket, classes * bands).select("key", "tile", "doc").join(low, "doc")
     near = clustered(buckets, "key", "tile").mapInArrow(lambda it: _bucket_links(it, floor), "a long, b long")
     clusters = components(near)
@@ -222,11 +222,11 @@ def text_id():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def _low_halves(batches) -> Iterator[pa.RecordBatch]:
-    """16 bits of each minimum: enough to tell whether two agree, at half the size."""
+def _low_bytes(batches) -> Iterator[pa.RecordBatch]:
+    """A byte of each minimum: two agree by chance in one of 256 cases, which only adds to an estimate, at a quarter of the size."""
     for b in batches:
         if b.num_rows:
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint16)
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b["doc"], pa.array([r.tobytes() for r in sig], pa.binary())], ["doc", "sig"])
 
 
