@@ -93,6 +93,14 @@ def adjacent(a: Column, b: Column) -> Column:
     return F.coalesce((x["ho"] != "") & same & (F.abs(x["n"] - y["n"]) == 1), F.lit(False))
 
 
+def adjacent_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): the distinct keys (ref_key) of which b is the next one after a, by an equality join."""
+    c = keys.select("ref_key").distinct().select("ref_key", _parts(F.col("ref_key")).alias("p")).where("p.n is not null")
+    left = c.select(F.col("ref_key").alias("a"), "p.ho", "p.prefix", "p.tail", (F.col("p.n") + 1).alias("n"))
+    right = c.select(F.col("ref_key").alias("b"), "p.ho", "p.prefix", "p.tail", "p.n")
+    return left.join(right, ["ho", "prefix", "tail", "n"]).where("ho <> ''").select("a", "b")
+
+
 def page_of(terms: DataFrame, pages: DataFrame, lengths: tuple[int, ...] = (40, 24, 12), shortest: int = 8, most: int = 200_000) -> DataFrame:
     """(tid, page_no): the first page that contains the first needle that any page contains; null without one.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -68,16 +70,26 @@ def golden_rows(questions: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("id", "board", reason.alias("reason"), F.coalesce(F.col("r.ref"), empty).alias("expected_ref_keys"), F.coalesce("expected_collections", empty).alias("expected_collections"))
 
 
-def definition_goldens(terms: DataFrame, templates: tuple[str, ...]) -> DataFrame:
-    """One question per term (section_key set, a term in its key, two characters or more), templates in turn by ref_key.
+def numbered(rows: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
+    """Adds the number of each row, from 0, in a global order, without gathering the rows in one task.
 
-    The turn is a global row number over the distinct terms, which a glossary has few of.
+    Rows are dealt out by ranges of `order` and numbered inside each; a prefix sum over one count per range gives the rest.
     """
-    t = terms.where("section_key is not null and instr(ref_key, ':') > 0 and length(term) >= 2")
-    w = Window.orderBy("ref_key")
-    n = F.row_number().over(w) - 1
-    q = F.element_at(F.array(*map(F.lit, templates)), (n % len(templates) + 1).cast("int"))
-    return t.withColumn("question", F.replace(q, F.lit("{term}"), F.col("term")))
+    # the number of the range is saved with the rows' place in it, so both come from one execution
+    spread = rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    inside = Window.partitionBy("range_").orderBy(*order)
+    place = spread.withColumn("place_", F.row_number().over(inside).cast("long") - 1).persist()
+    counts = place.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("begin_"))
+    return place.join(F.broadcast(begin), "range_").withColumn(name, F.col("begin_") + F.col("place_")).drop("range_", "place_", "begin_")
+
+
+def definition_goldens(terms: DataFrame, templates: tuple[str, ...]) -> DataFrame:
+    """One question per term (section_key set, a term in its key, two characters or more), templates in turn by ref_key."""
+    t = numbered(terms.where("section_key is not null and instr(ref_key, ':') > 0 and length(term) >= 2"), "ref_key", name="n_of_term")
+    q = F.element_at(F.array(*map(F.lit, templates)), (F.col("n_of_term") % len(templates) + 1).cast("int"))
+    return t.withColumn("question", F.replace(q, F.lit("{term}"), F.col("term"))).drop("n_of_term")
 
 
 def history(messages: DataFrame, n: int = 6) -> DataFrame:
@@ -93,34 +105,54 @@ def latency_by_node(trace: DataFrame) -> DataFrame:
 
 
 def attach_eval(trace: DataFrame, evals: DataFrame) -> DataFrame:
-    """Each evaluation goes to the last trace row (by seq) of its question that has none. trace: seq, question, eval."""
-    w = Window.partitionBy("question").orderBy(F.desc("seq"))
-    open_ = trace.where("eval is null").withColumn("n_", F.row_number().over(w)).where("n_ = 1").select("seq", "question")
-    new = open_.join(evals.select("question", F.col("eval").alias("new_eval")), "question").select("seq", "new_eval")
-    return trace.join(new, "seq", "left").withColumn("eval", F.coalesce("eval", "new_eval")).drop("new_eval")
+    """Evaluations go to the trace rows of their question that have none, the last row (by seq) first; trace: seq, question, eval.
+
+    Of several evaluations of one question (in the order of `at`, or of eval where there is no such column) each goes to the next
+    row back. Those without a row are dropped.
+    """
+    mine = Window.partitionBy("question")
+    open_ = trace.where("eval is null").select("seq", "question", F.row_number().over(mine.orderBy(F.desc("seq"))).alias("n_"))
+    order = "at" if "at" in evals.columns else "eval"
+    new = evals.select("question", F.col("eval").alias("new_eval"), F.row_number().over(mine.orderBy(order)).alias("n_"))
+    return trace.join(open_.join(new, ["question", "n_"]).select("seq", "new_eval"), "seq", "left").withColumn("eval", F.coalesce("eval", "new_eval")).drop("new_eval")
 
 
 def adaptive_batches(rows: DataFrame, group: str, most_tokens: int = 8192, most_rows: int = 32) -> DataFrame:
     """(id, group, tokens, batch): each group's texts from long to short in batches that fit a token budget.
 
     A text counts max(1, length // 2) tokens, most_tokens at most; a batch holds max(1, min(most_rows, most_tokens // its first
-    text's tokens)) texts. Batch by batch is a chain, so it runs in the order of length inside a group, over ids and lengths only.
+    text's tokens)) texts. Where batches begin is a chain over how many texts a group has of each size, at most `most_tokens`
+    counts a group; each text then finds its batch by its place among the texts of its size, in ranges of the id (a number).
     """
     size = F.least(F.greatest(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2), F.lit(1)), F.lit(most_tokens)).cast("long")
     short = rows.select("id", F.col(group).alias("grp"), size.alias("tokens"))
-    ordered = short.repartition("grp").sortWithinPartitions("grp", F.desc("tokens"), "id")
+    counts = short.groupBy("grp", "tokens").agg(F.count("*").alias("n"))
+    shape = counts.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct((-F.col("tokens")).alias("t"), "n"))).alias("sizes"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        grp, batch, left = None, -1, 0
         for b in batches:
-            out = []
-            for g, tok in zip(b["grp"].to_pylist(), b["tokens"].to_pylist(), strict=True):
-                if g != grp:
-                    grp, batch, left = g, -1, 0
-                if not left:
-                    batch, left = batch + 1, max(1, min(most_rows, most_tokens // tok))
-                left -= 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "batch"])
-
-    return ordered.mapInArrow(run, "id long, grp string, tokens long, batch long")
+            for grp, sizes in zip(b["grp"].to_pylist(), b["sizes"].to_pylist(), strict=True):
+                out, batch, left = [], -1, 0
+                for x in sizes:
+                    tok, n = -x["t"], x["n"]
+                    fit = max(1, min(most_rows, most_tokens // tok))
+                    # texts that still go into the open batch, then full batches of this size
+                    begin = min(left, n)
+                    out.append((grp, tok, batch, left, fit))
+                    full = -(-(n - begin) // fit)
+                    batch, left = batch + full, (left - n if not full else full * fit - (n - begin))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), *(pa.int64(),) * 4), strict=True)], ["grp", "tokens", "open", "room", "fit"])
+
+    plan = shape.mapInArrow(run, "grp string, tokens long, open long, room long, fit long")
+    # a text's place among those of its size: a running count inside ranges of ids, after a prefix sum over the ranges
+    ranged = short.withColumn("range_", F.floor(F.col("id") / 4096))
+    per = ranged.groupBy("grp", "tokens", "range_").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("grp", "tokens").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("grp", "tokens", "range_", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("grp", "tokens", "range_").orderBy("id")) - 1
+    a, b, c = ranged.withColumn("inside", inside).alias("a"), per.alias("b"), plan.alias("c")
+    same = lambda x, y, *names: reduce(and_, (F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names))  # noqa: E731  a null group is one
+    x = a.join(b, same("a", "b", "grp", "tokens", "range_")).join(c, same("a", "c", "grp", "tokens"))
+    x = x.select("a.id", "a.grp", "a.tokens", (F.col("before") + F.col("inside")).alias("place"), "open", "room", "fit")
+    later = F.col("open") + 1 + F.floor((F.col("place") - F.col("room")) / F.col("fit")).cast("long")
+    return x.select("id", "grp", "tokens", F.when(F.col("place") < F.col("room"), F.col("open")).otherwise(later).alias("batch"))

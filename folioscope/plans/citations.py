@@ -82,18 +82,21 @@ def ref_normalize(spark, d):
     return _texts(spark, d).select("l_orderkey", "l_linenumber", C.normalize_ref(F.col("t")).alias("s"))
 
 
-@query(f"WITH {_extracted(_STD, _TERM, _CH)} SELECT l_orderkey, l_linenumber, array_to_string(refs, '|') AS refs FROM ext WHERE l_orderkey % 12 NOT IN (6, 7, 11)")
+_OF = "array_to_string(list_filter(refs, lambda x: {0}regexp_matches(x, '^제\\d+장')), '|') AS refs"
+
+
+@query(f"WITH {_extracted(_STD, _TERM, _CH)} SELECT l_orderkey, l_linenumber, {_OF.format('NOT ')} FROM ext")
 def ref_extract_std(spark, d):
-    """All keys of texts that cite standards."""
-    t = _texts(spark, d).where("l_orderkey % 12 not in (6, 7, 11)")
-    return t.select("l_orderkey", "l_linenumber", F.array_join(C.extract_refs(F.col("t")), "|").alias("refs"))
+    """The keys of standards in every text, none in many."""
+    keys = F.filter(C.extract_refs(F.col("t")), lambda x: ~x.rlike(r"^제\d+장"))
+    return _texts(spark, d).select("l_orderkey", "l_linenumber", F.array_join(keys, "|").alias("refs"))
 
 
-@query(f"WITH {_extracted(_STD, _TERM, _CH)} SELECT l_orderkey, l_linenumber, array_to_string(refs, '|') AS refs FROM ext WHERE l_orderkey % 12 IN (6, 7, 11)")
+@query(f"WITH {_extracted(_STD, _TERM, _CH)} SELECT l_orderkey, l_linenumber, {_OF.format('')} FROM ext")
 def ref_extract_kgaap(spark, d):
-    """All keys of texts that cite chapters."""
-    t = _texts(spark, d).where("l_orderkey % 12 in (6, 7, 11)")
-    return t.select("l_orderkey", "l_linenumber", F.array_join(C.extract_refs(F.col("t")), "|").alias("refs"))
+    """The keys of chapters in every text, none in most."""
+    keys = F.filter(C.extract_refs(F.col("t")), lambda x: x.rlike(r"^제\d+장"))
+    return _texts(spark, d).select("l_orderkey", "l_linenumber", F.array_join(keys, "|").alias("refs"))
 
 
 # RE2 has no look-behind: the character before is captured instead, and the word end is ASCII there as it is in these texts.
@@ -101,24 +104,23 @@ _INTL = r"(?:^|[^-\w가-힣])(IFRS|IAS|IFRIC|SIC)\s*(\d{1,2})(?: |$)(?:[^\n]{0,1
 
 
 @query(f"""WITH base AS ({_BASE}), g AS (
-  SELECT l_orderkey, l_linenumber, {_all(_INTL, 1)} AS k, {_all(_INTL, 2)} AS n, {_all(_INTL, 3)} AS p FROM (SELECT *, t AS s FROM base) WHERE l_orderkey % 12 IN (8, 11)
+  SELECT l_orderkey, l_linenumber, {_all(_INTL, 1)} AS k, {_all(_INTL, 2)} AS n, {_all(_INTL, 3)} AS p FROM (SELECT *, t AS s FROM base)
 ), r AS (
   SELECT l_orderkey, l_linenumber, list_transform(range(1, len(k) + 1), lambda i: '제' || CASE k[i] WHEN 'IFRS' THEN '11' WHEN 'IAS' THEN '10' WHEN 'IFRIC' THEN '21' ELSE '20' END
     || lpad(CAST(CAST(n[i] AS INT) AS VARCHAR), 2, '0') || '호' || CASE WHEN p[i] <> '' THEN ' 문단 ' || p[i] ELSE '' END) AS a FROM g
 ) SELECT l_orderkey, l_linenumber, array_to_string({_distinct("a")}, '|') AS refs FROM r""")
 def ref_extract_intl(spark, d):
     """Citations in international notation under national numbers."""
-    t = _texts(spark, d).where("l_orderkey % 12 in (8, 11)")
-    return t.select("l_orderkey", "l_linenumber", F.array_join(C.extract_international(F.col("t")), "|").alias("refs"))
+    return _texts(spark, d).select("l_orderkey", "l_linenumber", F.array_join(C.extract_international(F.col("t")), "|").alias("refs"))
 
 
-_ENDS = "concat(substr('XBCAG', 1 + l_orderkey % 3, l_orderkey % 3), l_linenumber) AS a, concat(substr('XBCAG', 1 + l_orderkey % 3, l_orderkey % 3), l_linenumber + l_orderkey % 70 - 5) AS b"
+_ENDS = "concat(substr('XBCAG', 1 + l_orderkey % 3, l_orderkey % 3), l_linenumber) AS a, concat(substr('XBCAG', 1 + l_orderkey % 3, l_orderkey % 3), greatest(l_linenumber + l_orderkey % 70 - 5, 0)) AS b"
 
 
-@query(f"WITH e AS (SELECT l_orderkey, l_linenumber, {_ENDS} FROM lineitem WHERE l_linenumber + l_orderkey % 70 >= 5) SELECT l_orderkey, l_linenumber, array_to_string({_expand('a', 'b')}, '|') AS labels FROM e")
+@query(f"WITH e AS (SELECT l_orderkey, l_linenumber, {_ENDS} FROM lineitem) SELECT l_orderkey, l_linenumber, array_to_string({_expand('a', 'b')}, '|') AS labels FROM e")
 def ref_range_expand(spark, d):
     """Ranges of labels: ascending, reversed and too wide ones."""
-    e = table(spark, d, "lineitem").where("l_linenumber + l_orderkey % 70 >= 5").selectExpr("l_orderkey", "l_linenumber", *_ENDS.split(", concat(")[:1], "concat(" + _ENDS.split(", concat(")[1])
+    e = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_ENDS.split(", concat(")[:1], "concat(" + _ENDS.split(", concat(")[1])
     return e.select("l_orderkey", "l_linenumber", F.array_join(C.expand_range(F.col("a"), F.col("b")), "|").alias("labels"))
 
 
@@ -193,7 +195,7 @@ def nfkc_normalize(spark, d):
 
 
 # Answers: texts of conversations with brackets put into them.
-_ANSWER = "concat(substr(coalesce(text, ''), 1, 60), ' [제', 1000 + conv_id % 50, '호] 및  [D', turn % 3, ']', CASE WHEN turn % 4 = 1 THEN ' [D9]' ELSE '' END, CASE WHEN conv_id % 9 = 0 THEN ' 근거를 찾지 못함' ELSE '' END)"
+_ANSWER = "concat(coalesce(text, ''), ' [제', 1000 + conv_id % 50, '호] 및  [D', turn % 3, ']', CASE WHEN turn % 4 = 1 THEN ' [D9]' ELSE '' END, CASE WHEN conv_id % 9 = 0 THEN ' 근거를 찾지 못함' ELSE '' END)"
 _VALID = "array('D0', 'D1', '제1001호', '제1003호', '제1005호')"
 _VALID_SQL = "['D0', 'D1', '제1001호', '제1003호', '제1005호']"
 _ANS = f"a AS (SELECT conv_id, turn, {_ANSWER} AS t, {_VALID_SQL} AS valid FROM conversations), c AS (SELECT *, regexp_extract_all(t, '\\[([^\\[\\]]+)\\]', 1) AS cites FROM a)"

@@ -65,39 +65,39 @@ def golden_ref_stats(spark, d):
 _TEMPLATES = ("What is {term}?", "Define {term}.", "How is {term} defined?")
 
 
-@query("""WITH t AS (SELECT p_partkey, p_name AS term, concat('S:', p_brand, ':', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS ref_key FROM part WHERE p_partkey % 5 <> 0)
-SELECT p_partkey, replace(CASE (row_number() OVER (ORDER BY ref_key) - 1) % 3 WHEN 0 THEN 'What is {term}?' WHEN 1 THEN 'Define {term}.' ELSE 'How is {term} defined?' END, '{term}', term) AS question FROM t""")
+# Every fifth part is a standard's record, whose key names no term.
+_TERMS = "p_partkey, p_name AS term, CASE WHEN p_partkey % 5 = 0 THEN concat('S', p_brand) ELSE concat('S:', p_brand, ':', lpad(cast(p_partkey as varchar(20)), 9, '0')) END AS ref_key, 'S' AS section_key"
+
+
+@query(f"""WITH t AS (SELECT {_TERMS} FROM part)
+SELECT p_partkey, replace(CASE (row_number() OVER (ORDER BY ref_key) - 1) % 3 WHEN 0 THEN 'What is {{term}}?' WHEN 1 THEN 'Define {{term}}.' ELSE 'How is {{term}} defined?' END, '{{term}}', term) AS question
+FROM t WHERE section_key IS NOT NULL AND contains(ref_key, ':') AND length(term) >= 2""")
 def definition_golden_cycle(spark, d):
-    """A question per term, templates in turn."""
-    t = table(spark, d, "part").where("p_partkey % 5 <> 0").selectExpr("p_partkey", "p_name as term", "concat('S:', p_brand, ':', lpad(cast(p_partkey as string), 9, '0')) as ref_key", "'S' as section_key")
-    return R.definition_goldens(t, _TEMPLATES).select("p_partkey", "question")
+    """A question per term, templates in turn; records without a term in their key have none."""
+    table(spark, d, "part").createOrReplaceTempView("part_")
+    return R.definition_goldens(spark.sql(f"SELECT {_TERMS} FROM part_"), _TEMPLATES).select("p_partkey", "question")
 
 
 _KEY = "concat('제', 1001 + l_orderkey % 40, '호 문단 ', CASE WHEN l_orderkey % 3 = 0 THEN 'B' ELSE '' END, l_linenumber + l_orderkey % 7)"
-_NK = f"k AS (SELECT DISTINCT l_orderkey AS qid, {_KEY} AS ref_key FROM lineitem WHERE l_orderkey % 7 = 0), corpus AS (SELECT DISTINCT {_KEY} AS ref_key FROM lineitem WHERE l_orderkey % 7 <> 0)"
+_PART_KEY = "concat('제', 1001 + p_partkey % 40, '호 문단 ', CASE WHEN p_partkey % 3 = 0 THEN 'B' ELSE '' END, 1 + p_partkey % 11)"
+_NK = f"k AS (SELECT DISTINCT l_orderkey AS qid, {_KEY} AS ref_key FROM lineitem), corpus AS (SELECT DISTINCT {_PART_KEY} AS ref_key FROM part)"
 _P = "regexp_extract({0}, '^(제\\d+[호장])', 1) AS {1}ho, regexp_extract({0}, '문단 (\\D*)(\\d+)$', 1) AS {1}pre, CAST(regexp_extract({0}, '문단 (\\D*)(\\d+)$', 2) AS BIGINT) AS {1}n"
 
 
-def _keys(spark, d, where):
-    return table(spark, d, "lineitem").where(where).selectExpr("l_orderkey as qid", f"{_KEY} as ref_key").distinct()
-
-
 @query(f"""WITH {_NK}, p AS (SELECT qid, ref_key, {_P.format('ref_key', '')} FROM k),
 n AS (SELECT qid, ho || ' 문단 ' || pre || (n + s) AS ref_key FROM p, (SELECT unnest([-1, 1]) AS s))
 SELECT qid, ref_key FROM k UNION SELECT qid, ref_key FROM n WHERE ref_key IN (SELECT ref_key FROM corpus)""")
 def neighbor_expand(spark, d):
-    """Keys with the neighbours that the corpus has."""
-    return J.with_neighbors(_keys(spark, d, "l_orderkey % 7 = 0"), _keys(spark, d, "l_orderkey % 7 <> 0").select("ref_key"))
+    """Every order's keys with the neighbours that the parts have."""
+    keys = table(spark, d, "lineitem").selectExpr("l_orderkey as qid", f"{_KEY} as ref_key").distinct()
+    return J.with_neighbors(keys, table(spark, d, "part").selectExpr(f"{_PART_KEY} as ref_key"))
 
 
-@query(f"""WITH {_NK}, p AS (SELECT ref_key, {_P.format('ref_key', '')} FROM (SELECT DISTINCT ref_key FROM corpus))
+@query(f"""WITH p AS (SELECT ref_key, {_P.format('ref_key', '')} FROM (SELECT DISTINCT {_KEY} AS ref_key FROM lineitem))
 SELECT a.ref_key AS a, b.ref_key AS b FROM p a JOIN p b ON a.ho = b.ho AND a.pre = b.pre AND b.n = a.n + 1""")
 def adjacent_pairs(spark, d):
-    """Neighbouring keys of the corpus, each pair once."""
-    c = _keys(spark, d, "l_orderkey % 7 <> 0").select("ref_key").distinct().select("ref_key", J._parts(F.col("ref_key")).alias("p"))
-    left = c.select(F.col("ref_key").alias("a"), "p.ho", "p.prefix", "p.tail", (F.col("p.n") + 1).alias("n"))
-    right = c.select(F.col("ref_key").alias("b"), "p.ho", "p.prefix", "p.tail", "p.n")
-    return left.join(right, ["ho", "prefix", "tail", "n"]).where(J.adjacent(F.col("a"), F.col("b"))).select("a", "b")
+    """Neighbouring keys, each pair once."""
+    return J.adjacent_pairs(table(spark, d, "lineitem").selectExpr(f"{_KEY} as ref_key"))
 
 
 # A golden per order with up to four expected keys; hits are line items of the next orders.

@@ -12,8 +12,8 @@ from ..operators.scorers import judged
 from ..sources import html as H
 from .registry import query, table
 
-_TYPED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'term' WHEN 2 THEN 'audit_case' END AS record_type, substr(text, 1, 80) AS text,
- CASE WHEN doc_id % 8 = 1 THEN '' ELSE source END AS term, CASE WHEN doc_id % 3 = 0 THEN lang END AS question, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS answer, substr(text, 81, 40) AS body,
+_TYPED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'term' WHEN 2 THEN 'audit_case' END AS record_type, text,
+ CASE WHEN doc_id % 8 = 1 THEN '' ELSE source END AS term, CASE WHEN doc_id % 3 = 0 THEN lang END AS question, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS answer, text AS body,
  lang AS facts, source AS violation, CASE WHEN doc_id % 7 = 0 THEN lang END AS basis FROM documents"""
 
 
@@ -135,21 +135,25 @@ def json_broken_rate(spark, d):
 
 
 @query("""WITH t AS (SELECT event_id AS seq, concat('q', user_id) AS question, CASE WHEN event_id % 4 = 0 THEN 'old' END AS eval FROM events),
-l AS (SELECT question, max(seq) AS seq FROM t WHERE eval IS NULL GROUP BY question)
-SELECT t.seq, t.question, CASE WHEN l.seq IS NOT NULL AND CAST(substr(t.question, 2) AS BIGINT) % 2 = 0 THEN 'new' ELSE eval END AS eval FROM t LEFT JOIN l ON l.seq = t.seq AND l.question = t.question""")
+e AS (SELECT DISTINCT concat('q', user_id) AS question, unnest(CASE WHEN user_id % 3 = 0 THEN ['new1', 'new2'] ELSE ['new1'] END) AS eval FROM events WHERE user_id % 2 = 0),
+o AS (SELECT seq, question, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS n FROM t WHERE eval IS NULL),
+m AS (SELECT question, eval, row_number() OVER (PARTITION BY question ORDER BY eval) AS n FROM e)
+SELECT t.seq, t.question, coalesce(t.eval, m.eval) AS eval FROM t LEFT JOIN o ON o.seq = t.seq LEFT JOIN m ON m.question = o.question AND m.n = o.n""")
 def trace_eval_merge(spark, d):
-    """An evaluation goes to the last trace row of its question that has none."""
-    t = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question"), F.when(F.col("event_id") % 4 == 0, "old").alias("eval"))
-    e = table(spark, d, "events").where("user_id % 2 = 0").select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question"), F.lit("new").alias("eval")).distinct()
+    """Evaluations, two of some questions, go to the last trace rows of their question that have none."""
+    question = F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question")
+    t = table(spark, d, "events").select(F.col("event_id").alias("seq"), question, F.when(F.col("event_id") % 4 == 0, "old").alias("eval"))
+    new = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("new1"), F.lit("new2"))).otherwise(F.array(F.lit("new1")))
+    e = table(spark, d, "events").where("user_id % 2 = 0").select(question, F.explode(new).alias("eval")).distinct()
     return R.attach_eval(t, e)
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(role || ':' || substr(text, 1, 10), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history
+@query("""SELECT conv_id, turn, coalesce(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history
 FROM conversations WHERE role IN ('user', 'assistant')""")
 def history_last6(spark, d):
     """The six messages before each one."""
     m = table(spark, d, "conversations").where("role in ('user', 'assistant')").select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
-    h = F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.substring(x["content"], 1, 10)))
+    h = F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["content"], F.lit(""))))
     return R.history(m).select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), F.array_join(h, "|").alias("history"))
 
 

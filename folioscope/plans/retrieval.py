@@ -195,9 +195,7 @@ def self_leak_exclude(spark, d):
 @query(f"""WITH {_SIM} SELECT qid, id FROM sims WHERE coalesce(sim, 0) >= 0.3""")
 def score_threshold(spark, d):
     """Candidates at or above a similarity."""
-    q, c = _vectors(spark, d)
-    n = c.count()
-    return R.dense_candidates(q, c.withColumn("collection", F.lit("all")), n).where("coalesce(sim, 0) >= 0.3").select("qid", "id")
+    return R.dense_above(*_vectors(spark, d), 0.3).select("qid", "id")
 
 
 @query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM sims WHERE id <> qid),
