@@ -19,6 +19,11 @@ INTERNATIONAL_PREFIX = {"IFRS": "11", "IAS": "10", "IFRIC": "21", "SIC": "20"}
 WIDEST_RANGE = 50
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used; a lambda's body is evaluated expression by expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_ref(text: Column) -> Column:
     """Quotation marks of all kinds become ', wide and no-break spaces a space."""
     return F.translate(text, QUOTES_FROM, QUOTES_TO)
@@ -28,22 +33,28 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"(?U)\s+", " "), r"^ | $", "")
 
 
+LABEL = r"(?U)^(.*?)(\d+)(\D*)$"
+
+
 def split_label(label: Column) -> Column:
     """(prefix, n, tail) around the last run of digits; n is null without one."""
-    pattern = r"(?U)^(.*?)(\d+)(\D*)$"
     return F.struct(
-        F.regexp_extract(label, pattern, 1).alias("prefix"),
-        F.nullif(F.regexp_extract(label, pattern, 2), F.lit("")).cast("bigint").alias("n"),
-        F.regexp_extract(label, pattern, 3).alias("tail"),
+        F.regexp_extract(label, LABEL, 1).alias("prefix"),
+        F.nullif(F.regexp_extract(label, LABEL, 2), F.lit("")).cast("bigint").alias("n"),
+        F.regexp_extract(label, LABEL, 3).alias("tail"),
     )
 
 
 def expand_range(first: Column, last: Column) -> Column:
     """All labels of a range of up to WIDEST_RANGE labels with one prefix and tail; else its two ends."""
-    a, b = split_label(first), split_label(last)
-    fits = (a["prefix"] == b["prefix"]) & (a["tail"] == b["tail"]) & (a["n"] <= b["n"]) & (b["n"] - a["n"] + 1 <= WIDEST_RANGE)
-    filled = F.transform(F.sequence(a["n"], F.greatest(a["n"], F.least(b["n"], a["n"] + WIDEST_RANGE))), lambda n: F.concat(a["prefix"], n.cast("string"), a["tail"]))
-    return F.when(F.coalesce(fits, F.lit(False)), filled).otherwise(F.array(first, last))
+
+    def labels(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        fits = (a["prefix"] == b["prefix"]) & (a["tail"] == b["tail"]) & (a["n"] <= b["n"]) & (b["n"] - a["n"] + 1 <= WIDEST_RANGE)
+        filled = F.transform(F.sequence(a["n"], F.greatest(a["n"], F.least(b["n"], a["n"] + WIDEST_RANGE))), lambda n: F.concat(a["prefix"], n.cast("string"), a["tail"]))
+        return F.when(F.coalesce(fits, F.lit(False)), filled).otherwise(F.array(x["first"], x["last"]))
+
+    return bound(F.struct(first.alias("first"), last.alias("last"), split_label(first).alias("a"), split_label(last).alias("b")), labels)
 
 
 def ref_key(number: Column, para: Column | None = None, name: Column | None = None) -> Column:
@@ -76,21 +87,26 @@ def term_key(number: Column, term: Column) -> Column:
     return F.concat(section_key(number), F.lit(":"), clean_name(normalize_ref(term)))
 
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """One struct (g1..gn) per match; a group that took no part is ''."""
-    each = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)]
-    return F.arrays_zip(*each)
+def _matches(text: Column, pattern: str, n: int, use) -> Column:
+    """use(struct of g1..gn) of each match, one list; a group that took no part is ''.
+
+    The text is searched once. Groups are read from each match alone, where the pattern takes the same way as in the text: it
+    looks at nothing behind a match but the end of a number, which the end of the match is too.
+    """
+    groups = lambda m: F.struct(*(F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, n + 1)))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: bound(groups(m), use)))
 
 
 def _keys(m: Column, key) -> Column:
     """Keys of one match (number, name, paragraph, more paragraphs): title, paragraph, range and list, or the standard alone."""
     no, name, para, more = m["g1"], m["g2"], m["g3"], m["g4"]
+    empty = F.array().cast("array<string>")
     last = F.regexp_extract(more, r"(?U)^\s*[~∼]\s*(" + PARA + ")", 1)
     listed = F.regexp_extract_all(more, F.lit(r"(?U)[,，]\s*문단\s*(" + PARA + ")"), F.lit(1))
-    ranged = F.when(last != "", expand_range(para, last)).otherwise(F.array().cast("array<string>"))
-    paras = F.when(para != "", F.concat(F.array(para), ranged, listed)).otherwise(F.array().cast("array<string>"))
-    title = F.when(name != "", F.array(key(no, None, name))).otherwise(F.array().cast("array<string>"))
-    alone = F.when((name == "") & (para == ""), F.array(key(no, None, None))).otherwise(F.array().cast("array<string>"))
+    ranged = F.when(more != "", bound(last, lambda x: F.when(x != "", expand_range(para, x)).otherwise(empty))).otherwise(empty)
+    paras = F.when(para != "", F.concat(F.array(para), ranged, F.when(more != "", listed).otherwise(empty))).otherwise(empty)
+    title = F.when(name != "", F.array(key(no, None, name))).otherwise(empty)
+    alone = F.when((name == "") & (para == ""), F.array(key(no, None, None))).otherwise(empty)
     return F.concat(title, F.transform(paras, lambda p: key(no, p, None)), alone)
 
 
@@ -99,9 +115,9 @@ def extract_refs(*texts: Column) -> Column:
     parts = []
     for text in texts:
         t = normalize_ref(F.coalesce(text, F.lit("")))
-        parts.append(F.flatten(F.transform(_groups(t, STANDARD, 4), lambda m: _keys(m, ref_key))))
+        parts.append(_matches(t, STANDARD, 4, lambda m: _keys(m, ref_key)))
         parts.append(F.transform(F.regexp_extract_all(t, F.lit(TERM_SECTION), F.lit(1)), section_key))
-        parts.append(F.flatten(F.transform(_groups(t, CHAPTER, 4), lambda m: _keys(m, chapter_key))))
+        parts.append(_matches(t, CHAPTER, 4, lambda m: _keys(m, chapter_key)))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -122,7 +138,7 @@ def extract_international(*texts: Column) -> Column:
             F.when((name == "") & (para == ""), F.array(ref_key(no))).otherwise(empty),
         )
 
-    parts = [F.flatten(F.transform(_groups(normalize_ref(F.coalesce(t, F.lit(""))), INTERNATIONAL, 4), keys)) for t in texts]
+    parts = [_matches(normalize_ref(F.coalesce(t, F.lit(""))), INTERNATIONAL, 4, keys) for t in texts]
     return F.array_distinct(F.concat(*parts))
 
 

@@ -71,7 +71,7 @@ def looked_up_in_order(answers: DataFrame, records: DataFrame) -> DataFrame:
     return answers.select("rid").join(got, "rid", "left").select("rid", F.coalesce(verified, F.array().cast("array<struct<ref:string,text:string>>")).alias("verified"))
 
 
-def _parts(key: Column) -> Column:
+def key_parts(key: Column) -> Column:
     label = F.regexp_extract(key, r"문단 (.+)$", 1)
     s = split_label(label)
     return F.struct(F.regexp_extract(key, r"^(제\d+[호장])", 1).alias("ho"), s["prefix"].alias("prefix"), s["n"].alias("n"), s["tail"].alias("tail"))
@@ -79,23 +79,26 @@ def _parts(key: Column) -> Column:
 
 def with_neighbors(keys: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, ref_key): the keys of each query and those next to them (number one less or more) that the corpus has."""
-    p = keys.where(F.col("ref_key").rlike("문단 ")).select("qid", _parts(F.col("ref_key")).alias("p")).where("p.n is not null")
+    p = keys.where(F.col("ref_key").rlike("문단 ")).select("qid", key_parts(F.col("ref_key")).alias("p")).where("p.n is not null")
     near = p.select("qid", F.explode(F.array(F.col("p.n") - 1, F.col("p.n") + 1)).alias("n"), "p.ho", "p.prefix", "p.tail")
     near = near.select("qid", F.concat("ho", F.lit(" 문단 "), "prefix", F.col("n").cast("string"), "tail").alias("ref_key"))
     near = near.join(corpus.select("ref_key").distinct(), "ref_key", "left_semi")
     return keys.select("qid", "ref_key").unionByName(near.select("qid", "ref_key")).distinct()
 
 
-def adjacent(a: Column, b: Column) -> Column:
-    """Two paragraph keys of one standard, prefix and tail whose numbers differ by one; false for other keys."""
-    x, y = _parts(a), _parts(b)
+def next_to(x: Column, y: Column) -> Column:
+    """Parts of two paragraph keys of one standard, prefix and tail whose numbers differ by one; false for other keys."""
     same = (x["ho"] == y["ho"]) & (x["prefix"] == y["prefix"]) & (x["tail"] == y["tail"])
     return F.coalesce((x["ho"] != "") & same & (F.abs(x["n"] - y["n"]) == 1), F.lit(False))
 
 
+def adjacent(a: Column, b: Column) -> Column:
+    return next_to(key_parts(a), key_parts(b))
+
+
 def adjacent_pairs(keys: DataFrame) -> DataFrame:
     """(a, b): the distinct keys (ref_key) of which b is the next one after a, by an equality join."""
-    c = keys.select("ref_key").distinct().select("ref_key", _parts(F.col("ref_key")).alias("p")).where("p.n is not null")
+    c = keys.select("ref_key").distinct().select("ref_key", key_parts(F.col("ref_key")).alias("p")).where("p.n is not null")
     left = c.select(F.col("ref_key").alias("a"), "p.ho", "p.prefix", "p.tail", (F.col("p.n") + 1).alias("n"))
     right = c.select(F.col("ref_key").alias("b"), "p.ho", "p.prefix", "p.tail", "p.n")
     return left.join(right, ["ho", "prefix", "tail", "n"]).where("ho <> ''").select("a", "b")

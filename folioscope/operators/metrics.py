@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.refs import standard_of
-from .joins import adjacent
+from ..functions.refs import bound, standard_of
+from .joins import key_parts, next_to
 
 
 def without_own(ranked: DataFrame) -> DataFrame:
@@ -15,51 +15,85 @@ def without_own(ranked: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
 
 
-def got_at(ranked: DataFrame, k: int) -> DataFrame:
-    """(qid, got): the distinct ref_keys and section_keys of the first k hits."""
+def got(ranked: DataFrame) -> DataFrame:
+    """(qid, got): the distinct ref_keys and section_keys of each query's hits, with the best rank of each."""
     keys = F.explode(F.filter(F.array("ref_key", "section_key"), lambda x: F.coalesce(x, F.lit("")) != ""))
-    return ranked.where(F.col("rank") <= k).select("qid", keys.alias("k")).groupBy("qid").agg(F.sort_array(F.collect_set("k")).alias("got"))
+    best = ranked.select("qid", "rank", keys.alias("key")).groupBy("qid", "key").agg(F.min("rank").alias("rank"))
+    return best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("key", "rank"))).alias("got"))
 
 
-def scores(expected: Column, got: Column, k: int, normal=lambda x: x) -> Column:
+def parsed(keys: Column, normal=lambda x: x) -> Column:
+    """Keys with the form in which they are compared, their standard and the parts of their paragraph label."""
+    return F.transform(keys, lambda k: F.struct(normal(k).alias("key"), standard_of(k).alias("of"), key_parts(k).alias("p")))
+
+
+def scores(expected: Column, have: Column, k: int | Column) -> Column:
     """struct of exact, capped, relaxed, ho, hit, precision (doubles) and nhit; all 0 without expected keys.
 
-    normal maps a key to the form in which keys are compared (adjacency and standards use keys as they are).
+    expected and have are arrays from :func:`parsed`, k is how many hits were asked for.
     """
-    exp = F.coalesce(expected, F.array().cast("array<string>"))
-    have = F.coalesce(got, F.array().cast("array<string>"))
-    normed = F.transform(have, normal)
-    found = F.filter(exp, lambda e: F.array_contains(normed, normal(e)))
-    near = F.filter(exp, lambda e: ~F.array_contains(normed, normal(e)) & F.exists(have, lambda g: adjacent(e, g)))
-    ho = lambda a: F.array_distinct(F.filter(F.transform(a, standard_of), lambda x: x.isNotNull()))
-    n, nhit = F.size(exp), F.size(found)
+
+    def measured(x: Column) -> Column:
+        exp, got_ = x["exp"], x["got"]
+        keys = F.transform(got_, lambda g: g["key"])
+        found = lambda e: F.array_contains(keys, e["key"])
+        near = F.filter(exp, lambda e: ~found(e) & F.exists(got_, lambda g: next_to(e["p"], g["p"])))
+        ho = lambda a: F.array_distinct(F.filter(F.transform(a, lambda y: y["of"]), lambda y: y.isNotNull()))
+        return F.struct(
+            F.size(exp).alias("n"), F.size(F.filter(exp, found)).alias("nhit"), F.size(near).alias("near"),
+            F.size(F.array_intersect(ho(exp), ho(got_))).alias("ho"), F.size(ho(exp)).alias("of"),
+        )
+
     share = lambda a, b: F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(F.lit(0.0))
-    return F.struct(
-        share(nhit, n).alias("exact"),
-        share(nhit, F.least(n, F.lit(k))).alias("capped"),
-        share(nhit + F.lit(0.5) * F.size(near), n).alias("relaxed"),
-        share(F.size(F.array_intersect(ho(exp), ho(have))), F.size(ho(exp))).alias("ho"),
-        F.when(nhit > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("hit"),
-        (F.when(n > 0, nhit).otherwise(0) / F.lit(k)).alias("precision"),
-        nhit.cast("long").alias("nhit"),
-    )
+    size = F.lit(k) if isinstance(k, int) else k
+
+    def rated(m: Column) -> Column:
+        return F.struct(
+            share(m["nhit"], m["n"]).alias("exact"),
+            share(m["nhit"], F.least(m["n"], size)).alias("capped"),
+            share(m["nhit"] + F.lit(0.5) * m["near"], m["n"]).alias("relaxed"),
+            share(m["ho"], m["of"]).alias("ho"),
+            F.when(m["nhit"] > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("hit"),
+            (F.when(m["n"] > 0, m["nhit"]).otherwise(0) / size).alias("precision"),
+            m["nhit"].cast("long").alias("nhit"),
+        )
+
+    return bound(bound(F.struct(expected.alias("exp"), have.alias("got")), measured), rated)
 
 
 METRICS = ("exact", "capped", "relaxed", "ho", "hit", "precision")
 
 
 def evaluate(goldens: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (5, 10), normal=lambda x: x) -> DataFrame:
-    """One row per query and k with its metrics. goldens: qid, board, expected; ranked: qid, rank, ref_key, section_key."""
-    out = None
-    for k in ks:
-        rows = goldens.join(got_at(ranked, k), "qid", "left").select("qid", "board", F.lit(k).alias("k"), scores(F.col("expected"), F.col("got"), k, normal).alias("m"))
-        rows = rows.select("qid", "board", "k", "m.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """One row per query and k with its metrics. goldens: qid, board, expected; ranked: qid, rank, ref_key, section_key.
+
+    Hits are gathered and keys are taken apart once for all k. normal maps a key to the form in which keys are compared.
+    """
+    none = F.array().cast("array<string>")
+    rows = goldens.join(got(ranked.where(F.col("rank") <= max(ks))), "qid", "left").select(
+        "qid", "board", parsed(F.coalesce("expected", none), normal).alias("exp"),
+        F.coalesce(F.col("got.rank"), F.array().cast("array<int>")).alias("ranks"), parsed(F.coalesce(F.col("got.key"), none), normal).alias("have"),
+    )
+    each = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    kept = F.filter(F.col("have"), lambda x, i: F.get("ranks", i) <= F.col("k"))
+    return each.select("qid", "board", "k", scores(F.col("exp"), kept, F.col("k")).alias("m")).select("qid", "board", "k", "m.*")
+
+
+def refreshed(dump: DataFrame, goldens: DataFrame) -> DataFrame:
+    """A retrieval dump with the expected keys of today's goldens (qid, expected; of one qid the last by `at`, if there is such a
+    column); queries without a golden go. Its hits are evaluated again as they are."""
+    order = F.col("at") if "at" in goldens.columns else F.lit(0)
+    latest = goldens.groupBy("qid").agg(F.max_by("expected", order).alias("expected"))
+    return dump.drop("expected").join(latest, "qid")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """To decimals by the exact binary value, ties to even; round() goes by the shortest decimal form, ties up."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit("")).cast("double")
 
 
 def summarize(rows: DataFrame, digits: int = 4) -> DataFrame:
     """Means per k and board and over all boards (ALL), by one pass over grouping sets."""
-    means = [F.round(F.avg(m), digits).alias(m) for m in METRICS]
+    means = [rounded(F.avg(m), digits).alias(m) for m in METRICS]
     r = rows.rollup("k", "board").agg(F.count("*").alias("n"), *means, F.grouping_id().alias("g"))
     return r.where("g < 3").select("k", F.when(F.col("g") == 1, F.lit("ALL")).otherwise(F.col("board")).alias("scope"), "n", *METRICS)

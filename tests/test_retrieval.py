@@ -75,7 +75,7 @@ def test_neighbors(spark):
 
 def test_scores_without_expected_keys_are_zero(spark):
     df = spark.createDataFrame([([], ["제1001호 문단 1"]), (["제1001호 문단 1", "제1001호 문단 5"], ["제1001호 문단 1", "제1001호 문단 4"])], "e array<string>, g array<string>")
-    a, b = (r.m.asDict() for r in df.select(metrics.scores(F.col("e"), F.col("g"), 5).alias("m")).collect())
+    a, b = (r.m.asDict() for r in df.select(metrics.scores(metrics.parsed(F.col("e")), metrics.parsed(F.col("g")), 5).alias("m")).collect())
     assert set(a.values()) == {0}
     assert b == {"exact": 0.5, "capped": 0.5, "relaxed": 0.75, "ho": 1.0, "hit": 1.0, "precision": 0.2, "nhit": 1}
 
