@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import routing
 from ..functions import text as T
 from . import retrieval as R
 from .joins import looked_up_in_order
-from .scorers import context, rewritten, scorer
+from .scorers import context, judged, rewritten, scorer
 
 # The sentence of a refusal, the sidecar's threshold, the shapes of a router's and an audit row's fields.
 REFUSAL_TEXT = "근거를 찾지 못했습니다."
@@ -64,6 +65,32 @@ def audit_cases(queries: DataFrame, cases: DataFrame, rerank: Callable[..., Colu
     )
 
 
+#: Fixed wording: what a second attempt is told about its citations.
+CITATION_NOTE = "\n\n[검증 실패] 다음 식별자는 근거 목록에 없어 무효합니다: %s. 근거 목록에 실제로 있는 대괄호 식별자만 사용해 답변을 다시 작성하라."
+
+
+def split_by(rows: DataFrame, again: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows for which `again` is not true, and those for which it is; rows are kept, so that no model is called for a row twice."""
+    kept = rows.withColumn("again_", F.coalesce(again, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept.where("not again_").drop("again_"), kept.where("again_").drop("again_")
+
+
+def answered(rows: DataFrame, answer: Callable[[Column, Column], Column], strict: bool = False) -> DataFrame:
+    """Adds said to rows with question, refs and evidence (the context of a prompt).
+
+    Unless strict, an answer that cites what was not retrieved, and is no refusal, is asked for once more with a note of the
+    invalid citations; whatever is still invalid is stripped. Other answers are not asked for again.
+    """
+    first = rows.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.col("evidence")), F.lit(""))))
+    if strict:
+        return first
+    fine, wrong = split_by(first, T.needs_citation_retry(F.col("said"), F.col("refs")))
+    note = F.format_string(CITATION_NOTE, F.array_join(T.invalid_citations(F.col("said"), F.col("refs")), ", "))
+    second = wrong.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.concat("evidence", note)), F.lit(""))))
+    both = fine.unionByName(second)
+    return both.withColumn("said", T.strip_citations(F.col("said"), T.invalid_citations(F.col("said"), F.col("refs"))))
+
+
 def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame, models: Models, embed: Callable[[Column], Column], k: int = 8, per_coll: int = 12) -> DataFrame:
     """One row per question: rewritten, route, retrieved, retry, audit_cases, has_grounds, answer, used_refs, verified.
 
@@ -84,8 +111,9 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame,
     rows = q.join(got, "qid", "left").join(audit_cases(asked, cases, rerank), "qid", "left")
     empty = F.array().cast("array<string>")
     refs = F.coalesce(F.col("retrieved.ref"), empty)
-    said = models.answer(F.col("question"), context(refs, F.coalesce(F.col("retrieved.collection"), empty), F.coalesce(F.col("retrieved.text"), empty)))
-    gate = F.when(F.size(refs) > 0, T.answer_gate(said, refs, models.strict, F.lit(REFUSAL_TEXT)))
+    rows = rows.withColumn("refs", refs).withColumn("evidence", context(refs, F.coalesce(F.col("retrieved.collection"), empty), F.coalesce(F.col("retrieved.text"), empty)))
+    rows = answered(rows, models.answer, models.strict)
+    gate = F.when(F.size("refs") > 0, T.answer_gate(F.col("said"), F.col("refs"), models.strict, F.lit(REFUSAL_TEXT)))
     rows = rows.withColumn("g", gate).select(
         F.col("qid").alias("rid"), "question", "rewritten", "route", refs.alias("retrieved_refs"), T.retry_needed(F.coalesce(F.col("retrieved.score"), F.array().cast("array<double>")), F.col("rewritten") != F.col("question")).alias("retry"),
         F.coalesce("audit_cases", F.array().cast("array<struct<case_id:string,score:double>>")).alias("audit_cases"), F.coalesce("g.has_grounds", F.lit(False)).alias("has_grounds"),
@@ -95,6 +123,52 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame,
     return rows.join(looked_up_in_order(rows, records), "rid", "left").withColumnRenamed("rid", "qid")
 
 
+GROUNDING = 6000
+EVAL = "struct<faithfulness:double,unsupported:array<string>,answer_relevancy:double,relevancy_reason:string,judge_vendor:string,judge_model:string>"
+
+
+def judge_prompts(question: Column, answer: Column, grounding: Column) -> tuple[Column, Column]:
+    """What a judge is shown for faithfulness and for relevancy. The grounding is cut to GROUNDING characters."""
+    faithful = F.concat(F.lit("근거:\n"), T.clip(grounding, GROUNDING), F.lit("\n\n답변:\n"), answer)
+    return faithful, F.concat(F.lit("질문: "), question, F.lit("\n\n답변:\n"), answer)
+
+
+def judged_score(output: Column) -> Column:
+    """The score in a judge's JSON, held to 0 to 1; null if there is no object, no score or no number in it."""
+    return judged(F.get_json_object(T.json_object(output), "$.score").try_cast("double"))
+
+
+def judge_answers(trace: DataFrame, judge: Callable[[str, Column, int], Column], vendor: str, model: str) -> DataFrame:
+    """The trace (seq, question, answer, grounding, eval and more) with eval filled in where it is null.
+
+    judge(kind, prompt, attempt) is a column of outputs for kind "faithfulness" or "relevancy". An output without a usable score
+    is asked for once more, then its score is null; if neither score is there, eval stays null.
+    """
+    faithful, relevant = judge_prompts(*(F.coalesce(c, F.lit("")) for c in ("question", "answer", "grounding")))
+    done, rows = split_by(trace, F.col("eval").isNull())
+    for kind, prompt in (("faithfulness", faithful), ("relevancy", relevant)):
+        rows = rows.withColumn(kind, judge(kind, prompt, 0))
+        fine, again = split_by(rows, judged_score(F.col(kind)).isNull())
+        rows = fine.unionByName(again.withColumn(kind, judge(kind, prompt, 1)))
+    f, r = judged_score(F.col("faithfulness")), judged_score(F.col("relevancy"))
+    listed = F.from_json(F.get_json_object(T.json_object(F.col("faithfulness")), "$.unsupported"), "array<string>")
+    reason = F.get_json_object(T.json_object(F.col("relevancy")), "$.reason")
+    made = F.struct(
+        f.alias("faithfulness"), F.when(f.isNotNull(), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("unsupported"), r.alias("answer_relevancy"),
+        F.when(r.isNotNull(), F.coalesce(reason, F.lit(""))).otherwise("").alias("relevancy_reason"), F.lit(vendor).alias("judge_vendor"), F.lit(model).alias("judge_model"),
+    )
+    rows = rows.withColumn("eval", F.when(f.isNotNull() | r.isNotNull(), made)).drop("faithfulness", "relevancy")
+    return done.unionByName(rows)
+
+
+def models_of(registry: dict[str, dict[str, str]], node: str, local: str | None = None, vendor: str | None = None, default: str = "default") -> str:
+    """The model of a node: the local one if there is one, else that of the vendor's map, else that of the default map.
+
+    registry: vendor to node to model. An unknown vendor is an error, as is a node that its map lacks.
+    """
+    return local or registry[vendor or default][node]
+
+
 def next_history(answered: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, history) for the next turn: the old messages, then exactly the question and the answer."""
     both = questions.select("qid", "history").join(answered.select("qid", "question", "answer"), "qid")

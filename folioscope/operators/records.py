@@ -156,3 +156,46 @@ def adaptive_batches(rows: DataFrame, group: str, most_tokens: int = 8192, most_
     x = x.select("a.id", "a.grp", "a.tokens", (F.col("before") + F.col("inside")).alias("place"), "open", "room", "fit")
     later = F.col("open") + 1 + F.floor((F.col("place") - F.col("room")) / F.col("fit")).cast("long")
     return x.select("id", "grp", "tokens", F.when(F.col("place") < F.col("room"), F.col("open")).otherwise(later).alias("batch"))
+
+
+# The fields of a record that its metadata keep.
+BASE_FIELDS = ("doc_no", "source", "record_type")
+KEPT_FIELDS = ("ref_key", "section_key", "src_file", "standard_no", "standard_name", "para_no", "term", "title", "reply_date", "qa_source", "url")
+AUDIT_ONLY = ("case_id", "standard", "source_url", "audit_gap", "implication", "fiscal_year")
+
+
+def metadata(records: DataFrame, collection: Column) -> Column:
+    """A flat struct of a record's metadata: base fields never null, kept fields null where empty, attachments joined, the audit
+    fields only of audit cases. Fields that `records` has no column for are null."""
+    have = set(records.columns)
+    field = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string")
+    audit = F.coalesce(F.col("record_type") == "audit_case", F.lit(False)) if "record_type" in have else F.lit(False)
+    joined = F.nullif(F.array_join("attachments", " | "), F.lit("")) if "attachments" in have else F.lit(None).cast("string")
+    return F.struct(
+        collection.alias("collection"),
+        *(F.coalesce(field(c), F.lit("")).alias(c) for c in BASE_FIELDS),
+        *(field(c).alias(c) for c in KEPT_FIELDS),
+        (F.col("page_no").cast("int") if "page_no" in have else F.lit(None).cast("int")).alias("page_no"),
+        joined.alias("attachments"),
+        *(F.when(audit, field(c)).alias(c) for c in AUDIT_ONLY),
+        F.when(audit, F.col("standard_superseded").cast("boolean") if "standard_superseded" in have else F.lit(None).cast("boolean")).alias("standard_superseded"),
+    )
+
+
+def head_sample(rows: DataFrame, n: int, position: str = "lineno") -> DataFrame:
+    """The first n rows in file order."""
+    return rows.orderBy(position).limit(n)
+
+
+def now_iso() -> Column:
+    """The time of the query with its zone, to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def latency_ms(begin: Column, end: Column) -> Column:
+    return F.unix_millis(end) - F.unix_millis(begin)
+
+
+def collected(ids: DataFrame, key: str = "id") -> DataFrame:
+    """The state of a crawl as one row: its ids, sorted, and when. It is small and overwritten as a whole."""
+    return ids.agg(F.sort_array(F.collect_set(key)).alias("collected"), now_iso().alias("updated_at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import refs as C
 from ..functions import routing, text as T
 from ..functions.nfkc import nfkc_key
+from ..operators import answering as A
 from ..operators import joins as J
 from .registry import query, table
 
@@ -248,6 +249,44 @@ def used_refs_gate(spark, d):
     )
 
 
+_AGAIN = f"CASE WHEN NOT {_REFUSED} AND len({_BAD}) > 0 THEN '다시: [D1] [D9] ' || t ELSE t END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, regexp_replace({_ANSWER}, '^\\s+|\\s+$', '', 'g') AS t, {_VALID_SQL} AS valid FROM conversations),
+c AS (SELECT *, regexp_extract_all(t, '\\[([^\\[\\]]+)\\]', 1) AS cites FROM a),
+b AS (SELECT conv_id, turn, valid, {_AGAIN} AS t FROM c), e AS (SELECT *, regexp_extract_all(t, '\\[([^\\[\\]]+)\\]', 1) AS cites FROM b)
+SELECT conv_id, turn, {_STRIPPED} AS said FROM e""")
+def answer_second_attempt(spark, d):
+    """Answers with invalid citations are asked for once more; what is invalid then is stripped."""
+    rows = _answers(spark, d).select("conv_id", "turn", F.col("t").alias("question"), F.col("valid").alias("refs"), F.lit("근거").alias("evidence"))
+    model = lambda q, e: F.when(e.contains("검증 실패"), F.concat(F.lit("다시: [D1] [D9] "), T.strip(q))).otherwise(q)
+    return A.answered(rows, model).select("conv_id", "turn", "said")
+
+
+_PROMPTS = "'근거:' || chr(10) || substr(coalesce(text, ''), 1, 6000) || chr(10) || chr(10) || '답변:' || chr(10) || coalesce(text, '') AS pf, '질문: ' || role || chr(10) || chr(10) || '답변:' || chr(10) || coalesce(text, '') AS pr"
+# an output is broken if the prompt's length and the attempt sum to a multiple of 3, or in both attempts for multiples of 7
+_BROKEN = "(length({0}) % 7 = 0 OR (length({0}) % 3 = 0 AND (length({0}) + 1) % 3 = 0))"
+_SCORE = "CASE WHEN NOT {b} THEN CAST(least(length({p}) % 4, 1) AS DOUBLE) END"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_PROMPTS} FROM conversations),
+s AS (SELECT conv_id, turn, {_SCORE.format(b=_BROKEN.format('pf'), p='pf')} AS f, {_SCORE.format(b=_BROKEN.format('pr'), p='pr')} AS r FROM p)
+SELECT conv_id, turn, f AS faithfulness, CASE WHEN f IS NOT NULL THEN 'a|b' WHEN r IS NOT NULL THEN '' END AS unsupported, r AS relevancy, CASE WHEN r IS NOT NULL THEN 'why' WHEN f IS NOT NULL THEN '' END AS reason FROM s""")
+def judge_plan(spark, d):
+    """Two scores per answer by a judge whose outputs are broken now and then."""
+    c = table(spark, d, "conversations")
+    body = F.coalesce("text", F.lit(""))
+    trace = c.select("conv_id", "turn", F.col("role").alias("question"), body.alias("answer"), body.alias("grounding"), F.lit(None).cast(A.EVAL).alias("eval"))
+
+    def judge(kind, prompt, attempt):
+        n = F.length(prompt)
+        good = F.concat(F.lit('so: {"score": '), (n % 4).cast("string"), F.lit(', "unsupported": ["a", "b"], "reason": "why"}'))
+        return F.when(((n + attempt) % 3 == 0) | (n % 7 == 0), "no object").otherwise(good)
+
+    out = A.judge_answers(trace, judge, "v", "m")
+    return out.select("conv_id", "turn", "eval.faithfulness", F.array_join("eval.unsupported", "|").alias("unsupported"), F.col("eval.answer_relevancy").alias("relevancy"), F.col("eval.relevancy_reason").alias("reason"))
+
+
 # Questions and what a router asked for.
 _QUESTION = "concat(CASE o_orderkey % 5 WHEN 0 THEN '중소기업의 ' WHEN 1 THEN '상장법인의 ' WHEN 2 THEN '비상장 회사의 ' WHEN 3 THEN 'KIFRS와 일반기업 ' ELSE '' END, '회계처리 ', o_orderkey)"
 _ASKED = "CASE o_orderkey % 4 WHEN 0 THEN {a}'qa_kifrs', 'kgaap_standards'{z} WHEN 1 THEN {a}'kifrs_standards'{z} WHEN 2 THEN {a}'kgaap_standards', 'qa_kgaap'{z} ELSE {a}'other'{z} END"

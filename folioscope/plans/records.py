@@ -32,14 +32,13 @@ def embed_text_switch(spark, d):
     return _typed(spark, d).select("doc_id", T.embed_text(*map(F.col, names)).alias("embed_text"))
 
 
-@query(f"""SELECT doc_id, coalesce(record_type, '') AS record_type, nullif(term, '') AS term, nullif(answer, '') AS answer, array_to_string([lang2, source2], ' | ') AS attachments, CAST(doc_id % 2 AS BOOLEAN) AS superseded
-FROM (SELECT *, facts AS lang2, violation AS source2 FROM ({_TYPED}))""")
+@query(f"""SELECT doc_id, 'c' || doc_id % 3 AS collection, '' AS doc_no, coalesce(record_type, '') AS record_type, nullif(term, '') AS term, nullif(array_to_string([facts, violation], ' | '), '') AS attachments,
+CASE WHEN record_type = 'audit_case' THEN nullif(basis, '') END AS standard, CASE WHEN record_type = 'audit_case' THEN doc_id % 3 = 1 END AS superseded FROM ({_TYPED})""")
 def metadata_project(spark, d):
-    """Flat metadata: empty values as null, lists joined, base fields never null."""
-    return _typed(spark, d).select(
-        "doc_id", F.coalesce("record_type", F.lit("")).alias("record_type"), T.first_filled(F.col("term")).alias("term"), T.first_filled(F.col("answer")).alias("answer"),
-        F.array_join(F.array("facts", "violation"), " | ").alias("attachments"), (F.col("doc_id") % 2).cast("boolean").alias("superseded"),
-    )
+    """Flat metadata: empty values as null, lists joined, base fields never null, audit fields of audit cases only."""
+    records = _typed(spark, d).select("doc_id", "record_type", "term", F.array("facts", "violation").alias("attachments"), F.col("basis").alias("standard"), (F.col("doc_id") % 3 == 1).alias("standard_superseded"))
+    m = R.metadata(records, F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))
+    return records.select("doc_id", m.alias("m")).select("doc_id", "m.collection", "m.doc_no", "m.record_type", "m.term", "m.attachments", "m.standard", F.col("m.standard_superseded").alias("superseded"))
 
 
 @query(f"""SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS clipped, coalesce(nullif(term, ''), nullif(question, ''), CAST(doc_id AS VARCHAR)) AS display_id FROM ({_TYPED})""")

@@ -38,6 +38,29 @@ def test_questions_are_answered_once_with_verified_evidence(spark):
     assert [(m.role, m.content) for m in nxt[2]] == [("user", "x"), ("user", "and then"), ("assistant", "a")]
 
 
+def test_a_high_first_score_is_not_retried(spark):
+    df = spark.createDataFrame([(1, [0.6], False), (2, [0.3], False), (3, [0.3], True), (4, None, False)], "i int, s array<double>, done boolean")
+    good, low = A.split_by(df, A.T.retry_needed(F.coalesce("s", F.array().cast("array<double>")), F.col("done")))
+    assert {r.i for r in good.collect()} == {1, 3} and {r.i for r in low.collect()} == {2, 4}
+
+
+def test_second_attempt_only_for_invalid_citations(spark):
+    rows = spark.createDataFrame([(1, "fine answer with [A] cited", ["A"]), (2, "an answer with [X] cited", ["A"]), (3, "short [X]", ["A"])], "i int, question string, refs array<string>").withColumn("evidence", F.lit("e"))
+    model = lambda q, e: F.when(e.contains("X"), F.lit("now with [A] and [Y] cited")).otherwise(q)
+    assert {r.i: r.said for r in A.answered(rows, model).collect()} == {1: "fine answer with [A] cited", 2: "now with [A] and cited", 3: "short"}
+    assert {r.i: r.said for r in A.answered(rows, model, strict=True).collect()}[2] == "an answer with [X] cited"
+
+
+def test_judge_keeps_old_evaluations_and_odd_outputs_are_null(spark):
+    old = (0.5, [], None, "", "v", "m")
+    trace = spark.createDataFrame([(1, "q", "a", "g", old), (2, None, None, None, None), (3, "q", "broken", "g", None)], f"seq long, question string, answer string, grounding string, eval {A.EVAL}")
+    judge = lambda kind, p, attempt: F.when(p.contains("broken"), '{"score": "none"}').when(F.lit(attempt == 0), "{").otherwise('{"score": "1.5"}')
+    got = {r.seq: r.eval for r in A.judge_answers(trace, judge, "w", "n").collect()}
+    assert got[1].faithfulness == 0.5 and got[3] is None
+    assert (got[2].faithfulness, got[2].unsupported, got[2].answer_relevancy, got[2].relevancy_reason, got[2].judge_vendor) == (1.0, [], 1.0, "", "w")
+    assert A.models_of({"default": {"answer": "a"}, "x": {"answer": "b"}}, "answer") == "a" and A.models_of({"default": {}, "x": {"answer": "b"}}, "answer", local="l", vendor="x") == "l"
+
+
 def test_json_ok_and_retries(spark):
     df = spark.createDataFrame([("{}",), ('x {"a": 1}',), ("no",), ("{ }",)], "t string")
     assert [r[0] for r in df.select(A.json_ok(F.col("t"))).collect()] == [False, True, False, False]
