@@ -83,7 +83,7 @@ def answered(rows: DataFrame, answer: Callable[[Column, Column], Column], strict
     """
     first = rows.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.col("evidence")), F.lit(""))))
     if strict:
-        return first
+        return first.persist(StorageLevel.MEMORY_AND_DISK)
     fine, wrong = split_by(first, T.needs_citation_retry(F.col("said"), F.col("refs")))
     note = F.format_string(CITATION_NOTE, F.array_join(T.invalid_citations(F.col("said"), F.col("refs")), ", "))
     second = wrong.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.concat("evidence", note)), F.lit(""))))
@@ -100,7 +100,7 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame,
     """
     rerank = models.rerank or scorer("cosine")
     q = questions.withColumn("rewritten", F.when(F.size(F.coalesce("history", F.array())) > 0, rewritten(models.rewrite(F.col("question"), F.col("history")), F.col("question"))).otherwise(F.col("question")))
-    q = q.withColumn("route", route_of(models.route(F.col("rewritten")), F.col("rewritten")))
+    q = q.withColumn("route", route_of(models.route(F.col("rewritten")), F.col("rewritten"))).persist(StorageLevel.MEMORY_AND_DISK)  # models are called once
     asked = q.select("qid", F.col("rewritten").alias("qtext"), embed(F.col("rewritten")).alias("qvec"))
     order = q.select("qid", F.posexplode("route.collections").alias("pos", "collection")).withColumn("standards", F.endswith("collection", F.lit("standards")))
     slots = R.routed_search(asked, corpus.select("id", "collection", "vec", "text"), order, rerank, k=k, per_coll=per_coll)
