@@ -109,8 +109,8 @@ def rrf_fuse(spark, d):
 
 _HYBRID_DENSE = """
 qv AS (SELECT b.item_id AS qid, b.text AS qtext, CAST(e.embedding AS DOUBLE[]) AS qe FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-cv AS (SELECT doc_id AS id, lang, text, CAST(e.embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings e ON e.vec_id = doc_id),
-hs AS (SELECT qid, id, lang, list_dot_product(qe, e) / sqrt(list_dot_product(qe, qe)) / sqrt(list_dot_product(e, e)) AS sim FROM qv, cv),
+cv AS (SELECT doc_id AS id, lang, text, CAST(e.embedding AS DOUBLE[]) AS e FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id),
+hs AS (SELECT qid, id, lang, list_dot_product(qe, e) / sqrt(list_dot_product(qe, qe)) / sqrt(list_dot_product(e, e)) AS sim FROM qv, cv WHERE e IS NOT NULL),
 hl AS (SELECT *, row_number() OVER (PARTITION BY qid, lang ORDER BY round(sim, 9) DESC, id) AS r FROM hs),
 dense AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM hl WHERE r <= 20)"""
 
@@ -119,11 +119,11 @@ def _hybrid_inputs(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("qtext")).join(e, "id")
-    return q.select(F.col("id").alias("qid"), "qtext", F.col("vec").alias("qvec")), docs.join(e, "id")
+    return q.select(F.col("id").alias("qid"), "qtext", F.col("vec").alias("qvec")), docs.join(e, "id", "left")
 
 
 @query(f"""WITH {_HYBRID_DENSE},
-{_bm25("WHERE id IN (SELECT vec_id FROM embeddings)").replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").lstrip()},
+{_bm25().lstrip()},
 other AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc),
 lists AS (
   SELECT qid, 0 AS list_no, id, rank FROM dense UNION ALL SELECT qid, 1, id, rank FROM other WHERE rank <= 20
@@ -136,7 +136,7 @@ t AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM t)
 SELECT qid, rank, id, lang AS collection, round(s, 6) AS score FROM r WHERE rank <= 5""")
 def hybrid_search(spark, d):
-    """Dense and lexical candidates over documents that have a vector, fused, then reranked by token overlap; the first 5."""
+    """Dense and lexical candidates, the dense ones of documents that have a vector, fused, then reranked by token overlap; the first 5."""
     q, corpus = _hybrid_inputs(spark, d)
     out = R.search(q, corpus, scorer("overlap"), per_coll=20, rerank_n=30, k=5)
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "id", "collection", F.round("score", 6).alias("score"))
