@@ -62,10 +62,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Through Spark's own file system, so that any shared store will do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over `documents`."""
-    docs, folder = documents(spark, sf_dir), shared_folder(spark, "pipeline")
+    """The rows of the last stage over `documents`.
+
+    The rows of a stage are deleted when those of the next one are written. The last stage writes its files before it returns and
+    reads nothing else afterwards.
+    """
+    docs, folder, before = documents(spark, sf_dir), shared_folder(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        at = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            _delete(spark, before)
+        before = at
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _delete(spark, folder)
+    return out
