@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .base import documents, looked_up, mixed, saved
 from .spans import LOWER, column_bytes, cut_out, portions, span_hashes, spans
 
-#: Words of a shard, 100 bytes of memory each.
-SHARD_WORDS = 1 << 22
+#: Words of a shard, some 80 bytes of memory each.
+SHARD_WORDS = 1 << 21
 #: Bits of the map of keys that may be frequent: 16 MB. A fuller map lets more rare phrases be counted exactly; it loses none.
 MAP_BITS = 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,9 +58,9 @@ class SuffixAutomaton:
         return np.flatnonzero(longest)
 
 
-def _shards(batches, seed: int, most: int) -> Iterator[tuple]:
-    """Shards of about `most` words: hashes (with the language), whether a word follows one in its piece, languages by row, and
-    a function that cuts out the words at some places."""
+def _shards(batches, seed: int, most: int, texts: bool) -> Iterator[list[tuple]]:
+    """Shards of about `most` words in parts: hashes (with the language), whether a word follows one in its piece, and if `texts` are
+    wanted the bytes, starts, ends, row and the rows' languages."""
     held, count = [], 0
     for p in portions(batches):
         raw, rows = column_bytes(p["text"])
@@ -75,7 +75,8 @@ def _shards(batches, seed: int, most: int) -> Iterator[tuple]:
         broken = np.cumsum(kind == 2, dtype=np.int32)[starts]
         joined = np.zeros(len(starts), bool)
         joined[1:] = (broken[1:] == broken[:-1]) & (row[1:] == row[:-1])
-        held.append((mixed(span_hashes(low, starts, ends) * _ODD + own[row]), joined, low, starts, ends, row, langs))
+        part = mixed(span_hashes(low, starts, ends) * _ODD + own[row]), joined
+        held.append((*part, low, starts.astype(np.int32), ends.astype(np.int32), row.astype(np.int32), langs) if texts else part)
         count += len(starts)
         if count >= most:
             yield held
@@ -91,7 +92,7 @@ def _pair_keys(h: np.ndarray) -> np.ndarray:
 
 def _upper_counts(batches, seed: int, most: int) -> Iterator[pa.RecordBatch]:
     """(key, n) of the words and word pairs of each shard. Two of one key only raise each other's count."""
-    for held in _shards(batches, seed, most):
+    for held in _shards(batches, seed, most, texts=False):
         h, joined = (np.concatenate([x[i] for x in held]) for i in (0, 1))
         held.clear()
         for keys in (h, _pair_keys(h)[joined]):
@@ -121,7 +122,7 @@ def _exact_counts(batches, seed: int, most: int, depth: int, shared: Broadcast)
         columns = [key, pa.array(shortest, pa.int32()), lang or nulls.cast(pa.string()), word or nulls.cast(pa.binary()), pa.array(n, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["key", "shortest", "lang", "word", "n"])
 
-    for held in _shards(batches, seed, most):
+    for held in _shards(batches, seed, most, texts=True):
         totals: dict[str, int] = {}
         for *_, row, langs in held:
             for i, n in zip(*np.unique(row, return_counts=True), strict=True):
