@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, id_key, from_key, saved, shared_folder
-from .spans import LOWER, column_bytes, gathered, portions, spans
+from .spans import LOWER, column_bytes, gathered, portions, span_hashes, spans
 from .tokens import Remembered
 
 #: Frequent units in the lexicon at most, and bytes of each.
@@ -67,14 +67,17 @@ class Merges:
     def piece(self, symbols: list[str]) -> list[int]:
         """The merges of one pre-token: always the lowest rank, of equal ones the leftmost."""
         symbols[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
-            least = min(found)
-            if least == none:
-                break
+        rank, none = self.ranks.get, len(self.ranks)
+        found = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while found and (least := min(found)) < none:
             at = found.index(least)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            new = symbols[at] + symbols[at + 1]
+            symbols[at : at + 2] = [new]
+            del found[at]
+            if at:
+                found[at - 1] = rank((symbols[at - 1], new), none)
+            if at < len(found):
+                found[at] = rank((new, symbols[at + 1]), none)
         return [self.ids[s] for s in symbols if s in self.ids]
 
     def pieces(self, long: list[str]) -> list[int]:
@@ -274,7 +277,7 @@ def units(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         odd[gathered(s[which], e[which] - s[which])] = True
         cuts &= ~odd
     starts, ends = spans(inside, rows, cuts)
-    high = np.zeros(len(raw) + 1, np.int64)
+    high = np.zeros(len(raw) + 1, np.int32)
     np.cumsum(raw >= 0x80, out=high[1:])
     special = odd[starts]
     unchanged = special | (high[ends] > high[starts])
@@ -284,19 +287,21 @@ def units(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return low, starts, ends, special
 
 
-def _unit_counts(batches, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
-
-    seen: Counter = Counter()
+def _unit_counts(batches, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(unit, n): those of a portion are told apart by hashes, as two of one hash could only move a count, and no id depends on it."""
+    seen: dict[bytes, int] = {}
 
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
     for p in portions(batches):
         raw, starts, ends, special = units(*column_bytes(p["text"]))
-        short = ~special & (ends - starts <= MOST_BYTES)
-        data = raw.tobytes()
-        seen.update(map(data.__getitem__, map(slice, starts[short].tolist(), ends[short].tolist())))
+        _, first, count = np.unique(span_hashes(raw, starts, ends), return_index=True, return_counts=True)
+        short = ~special[first] & (ends - starts <= MOST_BYTES)[first]
+        first, count, data = first[short], count[short], raw.tobytes()
+        for s, e, n in zip(starts[first].tolist(), ends[first].tolist(), count.tolist(), strict=True):
+            unit = data[s:e]
+            seen[unit] = seen.get(unit, 0) + n
         if len(seen) > most:
             yield rows()
             seen.clear()
@@ -385,7 +390,7 @@ class Encoder:
 
 def _encode(batches, lexicon: str, tokenizer: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(_lexicon(lexicon), _merges(tokenizer))
-    for p in portions(batches):
+    for p in portions(batches, 1 << 20):
         ids, at = encoder.ids(*column_bytes(p["text"]))
         if len(ids) >= 2**29:
             raise ValueError("a text of 2^29 ids or more")
