@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, looked_up, mixed, saved
+from .base import documents, looked_up, mixed, saved, shuffle_partitions
 from .spans import LOWER, column_bytes, cut_out, portions, span_hashes, spans
 
 #: Words of a shard, some 80 bytes of memory each.
@@ -169,7 +169,9 @@ def phrase_counts(docs: DataFrame, depth: int = 4, least: int = 30, most_words:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     for seed in range(8):
-        upper = rows.mapInArrow(lambda it, seed=seed: _upper_counts(it, seed, most_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        shards = rows.mapInArrow(lambda it, seed=seed: _upper_counts(it, seed, most_words), "key long, n long")
+        # keys of a shard are distinct already, so a map of them before the shuffle would only fill memory
+        upper = shards.repartition(shuffle_partitions(spark), "key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         bit = F.col("key").bitwiseAND(F.lit(2**map_bits - 1))
         parts = upper.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
         bits = np.zeros(2**map_bits // 8, np.uint8)
