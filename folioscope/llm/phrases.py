@@ -33,14 +33,14 @@ class SuffixAutomaton:
     positions. Nodes of the same end positions are one state; `states` gives the longest of each, which stands for the others.
     """
 
-    def __init__(self, words: np.ndarray, joined: np.ndarray, depth: int) -> None:
-        """words: a code of each place; joined: whether a phrase may go on from the place before."""
+    def __init__(self, words: np.ndarray, reach: np.ndarray, depth: int) -> None:
+        """words: a code of each place; reach: the words of the longest phrase that may end there."""
         _, first, code, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
         self.levels = [{"end": first, "count": count, "link": np.zeros(len(first), np.int64), "shortest": np.ones(len(first), np.int32)}]
         left, width = code, len(first)
         ends = np.arange(len(words))
         for d in range(2, depth + 1):
-            longer = joined[ends - d + 2]
+            longer = reach[ends] >= d
             ends, code = ends[longer], code[longer]
             below = self.levels[-1]
             _, first, inverse, count = np.unique(code * width + left[ends - d + 1], return_index=True, return_inverse=True, return_counts=True)
@@ -85,25 +85,50 @@ def _shards(batches, seed: int, most: int, texts: bool) -> Iterator[list[tuple]]
         yield held
 
 
-def _pair_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of each word and the one before; the first is of no use."""
-    return mixed(np.roll(h, 1) * _ODD ^ h)
+def _key(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of each word together with what ends before it; the first is of no use."""
+    return mixed(np.roll(before, 1) * _ODD ^ h)
 
 
-def _upper_counts(batches, seed: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the words and word pairs of each shard. Two of one key only raise each other's count."""
+def _frequent(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _triples(bits: np.ndarray, h: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a place ends a pair that may be frequent, and two of them in a row; and the keys of three words."""
+    pair = _key(h, h)
+    two = joined & _frequent(bits, pair)
+    three = two.copy()
+    three[1:] &= two[:-1]
+    three[:1] = False
+    return two, three, _key(pair, h)
+
+
+def _upper_counts(batches, seed: int, most: int, shared: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the words and word pairs of each shard; with a map of those that are frequent, of three words in which both
+    pairs are. Two of one key only raise each other's count."""
     for held in _shards(batches, seed, most, texts=False):
         h, joined = (np.concatenate([x[i] for x in held]) for i in (0, 1))
         held.clear()
-        for keys in (h, _pair_keys(h)[joined]):
+        if shared is None:
+            groups = [h, _key(h, h)[joined]]
+        else:
+            _, three, keys = _triples(shared.value, h, joined)
+            groups = [keys[three]]
+        for keys in groups:
             u, n = np.unique(keys, return_counts=True)
             for at in range(0, len(u), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], ["key", "n"])
 
 
-def _frequent(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def _reach(bits: np.ndarray, h: np.ndarray, joined: np.ndarray, depth: int) -> np.ndarray:
+    """The words of the longest phrase that ends at each place and has only words, pairs and triples that may be frequent."""
+    two, three, keys = _triples(bits, h, joined)
+    three &= _frequent(bits, keys)
+    place = np.arange(len(h))
+    since = place - np.maximum.accumulate(np.where(three, -1, place))  # triples in a row
+    return np.minimum(depth, np.where(three, 2 + since, 1 + two))
 
 
 def _fixed(values: np.ndarray) -> pa.BinaryArray:
@@ -129,14 +154,14 @@ def _exact_counts(batches, seed: int, most: int, depth: int, shared: Broadcast)
                 totals[langs[i]] = totals.get(langs[i], 0) + int(n)
         yield rows(pa.array([b""] * len(totals), pa.binary()), [0] * len(totals), list(totals.values()), pa.array(list(totals), pa.string()))
         h, joined = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        joined &= _frequent(bits, _pair_keys(h))
+        reach = _reach(bits, h, joined, depth)
         some = np.flatnonzero(_frequent(bits, h))
         if not len(some):
             continue
-        words, joined = h[some], joined[some]
-        joined[0] = False
-        joined[1:] &= np.diff(some) == 1
-        tree = SuffixAutomaton(words, joined, depth)
+        words = h[some]
+        run = np.arange(len(some)) - some  # equal for neighbours in the text
+        since = np.arange(len(some)) - np.maximum.accumulate(np.where(np.diff(run, prepend=run[0] + 1) != 0, np.arange(len(some)), 0))
+        tree = SuffixAutomaton(words, np.minimum(reach[some], 1 + since), depth)
         single = tree.levels[0]
         base = 0
         for _, _, low, starts, ends, row, langs in held:
@@ -159,29 +184,44 @@ def _shared_hashes(counted: DataFrame) -> DataFrame:
     return counted.where("word is not null").groupBy("key").count().where("count > 1")
 
 
+def _map(upper: DataFrame, least: int, map_bits: int) -> np.ndarray:
+    """A bit for each key, modulo 2^map_bits, whose counts add up to `least`."""
+    # keys of a shard are distinct already, so a map of them before the shuffle would only fill memory
+    sums = upper.repartition(shuffle_partitions(upper.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bit = F.col("key").bitwiseAND(F.lit(2**map_bits - 1))
+    parts = sums.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(max(2**map_bits // 8, 4096), np.uint8)
+    for r in parts.collect():  # 2^map_bits / 2^15 rows of 4 KB at most
+        bits[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits[: 2**map_bits // 8]
+
+
 def phrase_counts(docs: DataFrame, depth: int = 4, least: int = 30, most_words: int = SHARD_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
     """(key, lang, word, n): every phrase of at most `depth` words with n >= `least` occurrences; see :func:`_exact_counts`.
 
-    A first pass sums counts of hashed words and word pairs. Those that reach `least` set bits of a map of 2^`map_bits`, which is
-    all that is broadcast; a phrase of frequent words and pairs alone is counted in the second pass, exactly. Words are told apart
-    by 64-bit hashes; if two words of any count share one, all is done again under another seed.
+    A first pass sums counts of hashed words and word pairs, a second one those of three words. Those that reach `least` set bits of
+    a map of 2^`map_bits`, which is all that is broadcast; phrases of such words, pairs and triples alone are counted in the last
+    pass, exactly. Words are told apart by 64-bit hashes; if two words share one, all is done again under another seed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+    def upper(seed: int, shared: Broadcast | None) -> DataFrame:
+        return rows.mapInArrow(lambda it: _upper_counts(it, seed, most_words, shared), "key long, n long")
+
+    def exact(seed: int, shared: Broadcast) -> DataFrame:
+        states = rows.mapInArrow(lambda it: _exact_counts(it, seed, most_words, depth, shared), "key binary, shortest int, lang string, word binary, n long")
+        lengths = states.withColumn("m", F.explode(F.expr("sequence(shortest, cast(length(key) / 8 as int))")))
+        return lengths.select(F.expr("substring(key, length(key) - 8 * m + 1)").alias("key"), "lang", "word", "n").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+
     for seed in range(8):
-        shards = rows.mapInArrow(lambda it, seed=seed: _upper_counts(it, seed, most_words), "key long, n long")
-        # keys of a shard are distinct already, so a map of them before the shuffle would only fill memory
-        upper = shards.repartition(shuffle_partitions(spark), "key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        bit = F.col("key").bitwiseAND(F.lit(2**map_bits - 1))
-        parts = upper.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        bits = np.zeros(2**map_bits // 8, np.uint8)
-        for r in parts.collect():  # 2^map_bits / 2^15 rows of 4 KB at most
-            bits[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)[: max(0, len(bits) - (r.at - 1) * 4096)]
+        bits = _map(upper(seed, None), least, map_bits)
+        if depth > 2:
+            shared = spark.sparkContext.broadcast(bits)
+            bits = bits | _map(upper(seed, shared), least, map_bits)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(bits)
-        exact = rows.mapInArrow(lambda it, seed=seed, shared=shared: _exact_counts(it, seed, most_words, depth, shared), "key binary, shortest int, lang string, word binary, n long")
-        lengths = exact.withColumn("m", F.explode(F.expr("sequence(shortest, cast(length(key) / 8 as int))")))
-        exact = lengths.select(F.expr("substring(key, length(key) - 8 * m + 1)").alias("key"), "lang", "word", "n").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
-        counted = saved(exact.where((F.col("n") >= least) | F.col("lang").isNotNull()))
+        counted = saved(exact(seed, shared).where((F.col("n") >= least) | F.col("lang").isNotNull()))
         shared.unpersist()
         if not _shared_hashes(counted).limit(1).count():
             return counted.where((F.col("n") >= least) | (F.length("key") == 0))
