@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import retry_needed
+from ..operators import dense_index
 from ..operators import retrieval as R
 from ..operators.metrics import without_own
 from ..operators.scorers import scorer
+from ..operators.shared import shared_folder
 from .registry import query, table
 
 # Queries of vector search: every vector whose id is divisible by 50.
@@ -41,6 +43,27 @@ def dense_global_topk(spark, d):
     return R.dense_topk(*_vectors(spark, d), k=20, per_collection=False).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
+def _index(spark, d):
+    q, c = _vectors(spark, d)
+    return q, dense_index.build_index(c, shared_folder(spark, "dense-index"))
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM sims)
+SELECT qid, id, rank, round(sim, 6) AS sim FROM r WHERE rank <= 20""")
+def dense_index_topk(spark, d):
+    """The 20 nearest vectors of all labels, read from the cells of an inverted file that can hold them."""
+    r = dense_index.index_topk(*_index(spark, d), k=20, exact=True)
+    return r.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+@query()
+def dense_index_probed(spark, d):
+    """20 near vectors out of as few cells as hold 0.95 of the 20 nearest for rows of the corpus; some of the nearest may be missed."""
+    q, index = _index(spark, d)
+    r = dense_index.index_topk(q, index, k=20, probes=dense_index.probes_for(_vectors(spark, d)[1], index, 20))
+    return r.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[^ \t\n\r.,;:!?()]+')"
 
 
