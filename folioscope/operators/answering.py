@@ -18,10 +18,12 @@ from ..functions import text as T
 from . import retrieval as R
 from .joins import looked_up_in_order
 from .scorers import context, judged, rewritten, scorer
+from .shared import saved
 
 # The sentence of a refusal, the sidecar's threshold, the shapes of a router's and an audit row's fields.
 REFUSAL_TEXT = "근거를 찾지 못했습니다."
 AUDIT_THRESHOLD = 0.6
+RETRY_THRESHOLD = 0.6
 ROUTE_SCHEMA = "collections array<string>, qtype string"
 
 
@@ -65,8 +67,8 @@ def audit_cases(queries: DataFrame, cases: DataFrame, rerank: Callable[..., Colu
     )
 
 
-#: Fixed wording: what a second attempt is told about its citations.
-CITATION_NOTE = "\n\n[검증 실패] 다음 식별자는 근거 목록에 없어 무효합니다: %s. 근거 목록에 실제로 있는 대괄호 식별자만 사용해 답변을 다시 작성하라."
+#: What a second attempt is told about its citations.
+CITATION_NOTE = "\n\n앞선 답변의 인용 가운데 제시된 근거에서 찾을 수 없는 것: %s. 위에 제시된 근거의 식별자만 대괄호로 인용하여 새로 답변해 주세요."
 
 
 def split_by(rows: DataFrame, again: Column) -> tuple[DataFrame, DataFrame]:
@@ -91,21 +93,66 @@ def answered(rows: DataFrame, answer: Callable[[Column, Column], Column], strict
     return both.withColumn("said", T.strip_citations(F.col("said"), T.invalid_citations(F.col("said"), F.col("refs"))))
 
 
+def retrieved_again(asked: DataFrame, retrieve: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame], threshold: float = RETRY_THRESHOLD, passes: int = 1) -> DataFrame:
+    """The hits of `asked` by `retrieve`, with those of questions whose first score is low found once more for other words.
+
+    asked: qid, retried (already asked in other words) and whatever retrieve needs; retrieve(asked) gives hits with qid, slot and
+    score; again(low) gives the low questions anew. A question is low if it was not retried and its score in the first slot, 0 without
+    hits, is below the threshold. Its first hits are dropped, also where the new ones are worse; other questions' hits are not touched.
+    Hits and the low questions, which alone are asked again, are saved between passes, so each pass is a plan of its own and a lost
+    executor repeats no model's work. After `passes` passes nothing is low. The result has the hits and pass (0: as first asked).
+    """
+    hits = saved(retrieve(asked))
+    done = [hits.withColumn("pass", F.lit(0))]
+    for n in range(1, passes + 1):
+        first = hits.groupBy("qid").agg(F.min_by("score", "slot").alias("first_score"))
+        low = asked.where(~F.coalesce("retried", F.lit(False))).join(first, "qid", "left").where(F.coalesce("first_score", F.lit(0.0)) < threshold).drop("first_score")
+        low = saved(low)
+        if low.isEmpty():
+            break
+        asked = saved(again(low).withColumn("retried", F.lit(n == passes)))
+        hits = saved(retrieve(asked))
+        done = [d.join(low.select("qid"), "qid", "left_anti") for d in done] + [hits.withColumn("pass", F.lit(n))]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame, models: Models, embed: Callable[[Column], Column], k: int = 8, per_coll: int = 12) -> DataFrame:
-    """One row per question: rewritten, route, retrieved, retry, audit_cases, has_grounds, answer, used_refs, verified.
+    """One row per question: rewritten, route, retrieved_refs, retry, audit_cases, has_grounds, answer, used_refs, verified.
 
     questions: qid, question, history (messages; null on a first turn); corpus: id, collection, coll_pos, lineno, ref_key, doc_no,
-    text, vec; cases: id, case_id, text, vec. A question with history is rewritten before it is routed; the answer is given to the
-    question as asked. Evidence and audit cases are joined, so each question is answered once.
+    text, vec; cases: id, case_id, text, vec. A question with history is rewritten before it is routed. One without, whose first
+    hit scores low, is rewritten then and retrieved for once more over the same route (retry says so); audit cases are those of
+    its last wording. The answer is given to the question as asked. Evidence and audit cases are joined, so each question is answered once.
     """
     rerank = models.rerank or scorer("cosine")
-    q = questions.withColumn("rewritten", F.when(F.size(F.coalesce("history", F.array())) > 0, rewritten(models.rewrite(F.col("question"), F.col("history")), F.col("question"))).otherwise(F.col("question")))
-    q = q.withColumn("route", route_of(models.route(F.col("rewritten")), F.col("rewritten"))).persist(StorageLevel.MEMORY_AND_DISK)  # models are called once
-    asked = q.select("qid", F.col("rewritten").alias("qtext"), embed(F.col("rewritten")).alias("qvec"))
+    follows = F.size(F.coalesce("history", F.array())) > 0
+    q = questions.withColumn("rewritten", F.when(follows, rewritten(models.rewrite(F.col("question"), F.col("history")), F.col("question"))).otherwise(F.col("question")))
+    q = saved(q.withColumn("route", route_of(models.route(F.col("rewritten")), F.col("rewritten"))))  # models are called once
     order = q.select("qid", F.posexplode("route.collections").alias("pos", "collection")).withColumn("standards", F.endswith("collection", F.lit("standards")))
-    slots = R.routed_search(asked, corpus.select("id", "collection", "vec", "text"), order, rerank, k=k, per_coll=per_coll)
-    hits = slots.join(corpus.select("id", "ref_key", "doc_no", "text", "vec"), "id").join(asked, "qid")
-    hits = hits.withColumn("score", rerank(F.col("qtext"), F.col("text"), F.col("qvec"), F.col("vec")))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        worded = asked.select("qid", F.col("rewritten").alias("qtext"), embed(F.col("rewritten")).alias("qvec"))
+        slots = R.routed_search(worded, corpus.select("id", "collection", "vec", "text"), order.join(asked.select("qid"), "qid", "left_semi"), rerank, k=k, per_coll=per_coll)
+        found = slots.join(corpus.select("id", "ref_key", "doc_no", "text", "vec"), "id").join(worded, "qid")
+        return found.withColumn("score", rerank(F.col("qtext"), F.col("text"), F.col("qvec"), F.col("vec"))).select("qid", "slot", "id", "collection", "ref_key", "doc_no", "text", "score")
+
+    reworded = []
+
+    def again(low: DataFrame) -> DataFrame:
+        other = saved(low.withColumn("rewritten", rewritten(models.rewrite(F.col("question"), F.col("history")), F.col("question"))))
+        reworded.append(other)
+        return other
+
+    hits = retrieved_again(q.select("qid", "question", "history", "rewritten", (F.col("rewritten") != F.col("question")).alias("retried")), retrieve, again)
+    if reworded:
+        last = reworded[0].select("qid", F.col("rewritten").alias("reworded_"))
+        q = q.join(last, "qid", "left").withColumn("retry", F.col("reworded_").isNotNull()).withColumn("rewritten", F.coalesce("reworded_", "rewritten")).drop("reworded_")
+    else:
+        q = q.withColumn("retry", F.lit(False))
+    asked = q.select("qid", F.col("rewritten").alias("qtext"), embed(F.col("rewritten")).alias("qvec"))
     shown = T.display_id(F.col("ref_key"), F.col("doc_no"), F.col("id").cast("string"))
     got = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("slot", shown.alias("ref"), "collection", "text", "score"))).alias("retrieved"))
     rows = q.join(got, "qid", "left").join(audit_cases(asked, cases, rerank), "qid", "left")
@@ -115,7 +162,7 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, cases: DataFrame,
     rows = answered(rows, models.answer, models.strict)
     gate = F.when(F.size("refs") > 0, T.answer_gate(F.col("said"), F.col("refs"), models.strict, F.lit(REFUSAL_TEXT)))
     rows = rows.withColumn("g", gate).select(
-        F.col("qid").alias("rid"), "question", "rewritten", "route", refs.alias("retrieved_refs"), T.retry_needed(F.coalesce(F.col("retrieved.score"), F.array().cast("array<double>")), F.col("rewritten") != F.col("question")).alias("retry"),
+        F.col("qid").alias("rid"), "question", "rewritten", "route", refs.alias("retrieved_refs"), "retry",
         F.coalesce("audit_cases", F.array().cast("array<struct<case_id:string,score:double>>")).alias("audit_cases"), F.coalesce("g.has_grounds", F.lit(False)).alias("has_grounds"),
         F.coalesce("g.text", F.lit(REFUSAL_TEXT)).alias("answer"), F.coalesce("g.used_refs", empty).alias("used_refs"),
     )

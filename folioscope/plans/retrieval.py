@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import retry_needed
-from ..operators import dense_index
+from ..operators import dense_index, lexical_index
 from ..operators import retrieval as R
+from ..operators.answering import retrieved_again
 from ..operators.metrics import without_own
 from ..operators.scorers import scorer
 from ..operators.shared import shared_folder
@@ -94,6 +95,16 @@ def bm25_topk(spark, d):
     return R.bm25_topk(*_texts(spark, d), k=10).select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@query(f"""WITH {_bm25()}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc)
+SELECT qid, id, rank, round(score, 4) AS score FROM r WHERE rank <= 10""")
+def postings_topk(spark, d):
+    """The 10 best documents of each question by BM25, out of a stored index."""
+    q, docs = _texts(spark, d)
+    index = lexical_index.build_postings(docs.select("id", "text"), shared_folder(spark, "postings"))
+    r = lexical_index.postings_topk(q, index, 10)
+    return r.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH {_bm25()}, scoped AS (
   SELECT b.item_id AS qid, d.doc_id AS id, coalesce(score, 0) AS score
   FROM benchmark b JOIN documents d ON d.lang = CASE b.item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END
@@ -229,3 +240,27 @@ def retry_predicate(spark, d):
     r = without_own(R.dense_topk(*_vectors(spark, d), 2, per_collection=False).withColumns({"doc_no": F.col("id"), "own_doc": F.col("qid")}))
     top = r.where("rank = 1").groupBy("qid").agg(F.collect_list("sim").alias("s"))
     return top.select("qid", retry_needed(F.col("s"), F.col("qid") % 100 == 0, 0.45).alias("retry"))
+
+
+@query(f"""WITH {_SIM},
+other AS (SELECT v.vec_id AS qid, w.e FROM v JOIN v w ON w.vec_id = v.vec_id + 1 WHERE v.vec_id % 50 = 0),
+osims AS (SELECT o.qid, v.vec_id AS id, list_dot_product(o.e, v.e) / sqrt(list_dot_product(o.e, o.e)) / sqrt(list_dot_product(v.e, v.e)) AS sim FROM other o JOIN v ON v.vec_id <> o.qid),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM sims WHERE id <> qid),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank FROM osims),
+low AS (SELECT q.vec_id AS qid FROM v q LEFT JOIN r ON r.qid = q.vec_id AND r.rank = 1 WHERE q.vec_id % 50 = 0 AND q.vec_id % 100 <> 0 AND coalesce(r.sim, 0) < 0.45)
+SELECT qid, rank AS slot, id, round(sim, 6) AS score, 0 AS pass FROM r WHERE rank <= 8 AND qid NOT IN (SELECT qid FROM low)
+UNION ALL SELECT qid, rank, id, round(sim, 6), 1 FROM o WHERE rank <= 8 AND qid IN (SELECT qid FROM low)""")
+def second_retrieval(spark, d):
+    """The 8 nearest other vectors; where the first is not near, those of a rewriting, for which the next vector stands in."""
+    q, c = _vectors(spark, d)
+    asked = q.withColumn("retried", F.col("qid") % 100 == 0)
+
+    def retrieve(asked):
+        r = R.dense_topk(asked.select("qid", "qvec"), c, 9, per_collection=False)
+        own = without_own(r.withColumns({"doc_no": F.col("id"), "own_doc": F.col("qid")}))
+        return own.where("rank <= 8").select("qid", F.col("rank").cast("long").alias("slot"), "id", F.col("sim").alias("score"))
+
+    def again(low):
+        return low.drop("qvec").join(c.select((F.col("id") - 1).alias("qid"), F.col("vec").alias("qvec")), "qid")
+
+    return retrieved_again(asked, retrieve, again, threshold=0.45).select("qid", "slot", "id", F.round("score", 6).alias("score"), "pass")

@@ -29,7 +29,9 @@ def test_questions_are_answered_once_with_verified_evidence(spark):
     )
     out = {r.qid: r for r in A.answer_questions(q, corpus, cases, models, embed, k=4, per_coll=2).collect()}
     assert len(out) == 3
-    assert out[1].rewritten == "what is a lease" and out[2].rewritten == "and then rewritten"
+    # the first hit of question 1 scores low, so it is rewritten and retrieved for once more; question 2 was rewritten for its history
+    assert out[1].rewritten == "what is a lease rewritten" and out[2].rewritten == "and then rewritten"
+    assert {q: r.retry for q, r in out.items()} == {1: True, 2: False, 3: True} and out[1].question == "what is a lease"
     assert list(out[1].route.collections)[0] == "qa_kifrs" and len(out[1].route.collections) == 4
     assert len(out[1].retrieved_refs) == 4 and out[1].has_grounds and list(out[1].used_refs) == [out[1].retrieved_refs[0]]
     assert [v.ref for v in out[1].verified] == list(out[1].used_refs)
@@ -44,6 +46,25 @@ def test_a_high_first_score_is_not_retried(spark):
     assert {r.i for r in good.collect()} == {1, 3} and {r.i for r in low.collect()} == {2, 4}
 
 
+def test_low_questions_alone_are_retrieved_again(spark):
+    asked = spark.createDataFrame([(1, "good", False), (2, "low", False), (3, "low", True), (4, "none", False), (5, "worse", False), (6, "low", None)], "qid long, word string, retried boolean")
+    hits = {"good": [(1, 0.6), (2, 0.1)], "low": [(1, 0.59), (2, 0.9)], "none": [], "worse": [(1, 0.5)], "low again": [(1, 0.2)], "none again": [(1, 0.3), (2, 0.1)], "worse again": []}
+    table = spark.createDataFrame([(w, s, f"{w}-{s}", x) for w, rows in hits.items() for s, x in rows], "word string, slot long, id string, score double")
+    seen = []
+
+    def retrieve(q):
+        seen.append(sorted(r.word for r in q.collect()))
+        return q.join(table, "word").select("qid", "slot", "id", "score")
+
+    got = A.retrieved_again(asked, retrieve, lambda low: low.withColumn("word", F.concat("word", F.lit(" again"))))
+    rows = {q: sorted((r.slot, r.id, r["pass"]) for r in got.collect() if r.qid == q) for q in range(1, 7)}
+    assert seen == [["good", "low", "low", "low", "none", "worse"], ["low again", "low again", "none again", "worse again"]]
+    assert rows[1] == [(1, "good-1", 0), (2, "good-2", 0)] and rows[3] == [(1, "low-1", 0), (2, "low-2", 0)]
+    assert rows[2] == rows[6] == [(1, "low again-1", 1)] and rows[4] == [(1, "none again-1", 1), (2, "none again-2", 1)] and rows[5] == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 30  # what was retrieved is read, not planned again
+
+
 def test_second_attempt_only_for_invalid_citations(spark):
     rows = spark.createDataFrame([(1, "fine answer with [A] cited", ["A"]), (2, "an answer with [X] cited", ["A"]), (3, "short [X]", ["A"])], "i int, question string, refs array<string>").withColumn("evidence", F.lit("e"))
     model = lambda q, e: F.when(e.contains("X"), F.lit("now with [A] and [Y] cited")).otherwise(q)
