@@ -1,13 +1,13 @@
 """A stored lexical index: postings in blocks with their greatest weights, so that a query skips blocks that cannot reach its k best.
 
-Documents are dealt into parts by a hash of the id and inside a part into blocks. A part is a partition folder with one file of one
-row group, sorted by term, so a task has a whole part at a time, Parquet's page index leads it to the terms that are asked for, and
-scores are added up where the postings lie. What is shuffled is k rows a query and task.
+Documents are indexed where they lie: each task cuts its documents into blocks and writes the postings of all of them, its part, sorted
+by term as one file of one row group. So building shuffles no postings, a task of a search has a whole part at a time, Parquet's page
+index leads it to the terms that are asked for, and scores are added up in place. What is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,22 +18,22 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from .shared import saved
 
-#: Documents of a block and blocks of a part, on average.
-BLOCK, BLOCKS = 1024, 64
+#: Documents of a block.
+BLOCK = 1024
 #: Questions that one pass over the index answers.
 MOST_QUESTIONS = 2_000
 
 
 _SCHEMAS = {
-    "postings": "term string, block int, best double, ids array<long>, weights array<double>, part int",
+    "postings": "part int, block int, term string, n int, best double, ids array<long>, weights array<double>",
     "terms": "term string, idf double",
-    "documents": "id long, dl int",
+    "documents": "id long",
 }
 
 
 @dataclass
 class LexicalIndex:
-    """postings: part, term, block, best, ids, weights; terms: term, idf; documents: id. Weights are without the idf."""
+    """postings: part, block, term, n, best, ids, weights; terms: term, idf; documents: id. Weights are without the idf."""
 
     folder: str
 
@@ -41,33 +41,67 @@ class LexicalIndex:
         return spark.read.schema(_SCHEMAS[table]).parquet(f"{self.folder}/{table}")
 
 
-def build_postings(corpus: DataFrame, folder: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokenize=tokens, block: int = BLOCK, blocks: int = BLOCKS) -> LexicalIndex:
-    """Writes the index of `corpus` (id long, text) below `folder`: texts are tokenised once.
+def _postings(batches, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """A row a term of each block of `size` documents: rows of (id, w) come, w the words of a document."""
+    from pyspark import TaskContext
+
+    part, block = TaskContext.get().partitionId(), 0
+    ids: list[int] = []
+    lengths: list[int] = []
+    words: list[str] = []
+
+    def rows() -> pa.RecordBatch:
+        codes: dict[str, int] = {}
+        code = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+        dl = np.array(lengths, np.int64)
+        pair, tf = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), dl), return_counts=True)
+        term, doc = np.divmod(pair, len(ids))
+        w = weight(tf, dl[doc])
+        first = np.searchsorted(term, np.arange(len(codes)))
+        offsets = pa.array(np.append(first, len(term)).astype(np.int32))
+        n = np.diff(np.append(first, len(term)))
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.array(ids, np.int64)[doc], w))
+        same = (pa.array(np.full(len(codes), x, np.int32)) for x in (part, block))
+        best = np.maximum.reduceat(w, first) if len(first) else w
+        return pa.RecordBatch.from_arrays([*same, pa.array(list(codes), pa.string()), pa.array(n.astype(np.int32)), pa.array(best), *lists], ["part", "block", "term", "n", "best", "ids", "weights"])
 
-    A term in over half of the documents has `epsilon` times the mean idf of the vocabulary in place of a negative one. A posting list
-    has at most about `block` documents, whatever the term, as it is cut by blocks of documents.
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part_of = b.slice(at, 64)
+            for i, w in zip(part_of["id"].to_pylist(), part_of["w"].to_pylist(), strict=True):
+                ids.append(i), lengths.append(len(w or ())), words.extend(w or ())
+                if len(ids) == size or len(words) >= 1000 * size:
+                    yield rows()
+                    ids.clear(), lengths.clear(), words.clear()
+                    block += 1
+    if ids:
+        yield rows()
+
+
+def build_postings(corpus: DataFrame, folder: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokenize=tokens, block: int = BLOCK) -> LexicalIndex:
+    """Writes the index of `corpus` (id long, text) below `folder`, ids being distinct.
+
+    A first pass counts words, a second one writes postings; document frequencies are sums over blocks. A term in over half of the
+    documents has `epsilon` times the mean idf of the vocabulary in place of a negative one. A posting list has at most `block`
+    documents, whatever the term, and a block fewer where they are very long.
     """
     spark = corpus.sparkSession
     words = corpus.select("id", tokenize(F.col("text")).alias("w"))
-    tf = saved(words.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
-    documents = tf.groupBy("id").agg(F.max("dl").alias("dl"))
-    documents.write.parquet(f"{folder}/documents")
-    sizes = spark.read.parquet(f"{folder}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
     n, avgdl = sizes.n, sizes.avgdl or 1.0
+    corpus.select("id").write.parquet(f"{folder}/documents")
+
+    def weight(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+    rows = words.mapInArrow(lambda it: _postings(it, weight, block), _SCHEMAS["postings"])
+    rows.sortWithinPartitions("term", "block").write.option("parquet.block.size", 1 << 30).parquet(f"{folder}/postings")
+    index = LexicalIndex(folder)
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = saved(tf.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", raw))
+    terms = saved(index.read(spark, "postings").groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", raw))
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
-    terms.select("term", F.when(F.col("idf") < 0, F.lit(mean * epsilon)).otherwise(F.col("idf")).alias("idf")).sort("term").write.parquet(f"{folder}/terms")
-    parts = max(1, -(-n // (block * blocks)))
-    per_part = max(1, -(-n // (parts * block)))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    placed = tf.where("term is not null").select(
-        F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)).cast("int").alias("part"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(per_part)).cast("int").alias("block"), "term", "id", weight.alias("w")
-    )
-    lists = placed.groupBy("part", "block", "term").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("p"), F.max("w").alias("best"))
-    rows = lists.select("part", "term", "block", "best", F.col("p.id").alias("ids"), F.col("p.w").alias("weights"))
-    rows.repartition(parts, "part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").option("parquet.block.size", 1 << 30).parquet(f"{folder}/postings")
-    return LexicalIndex(folder)
+    terms.select("term", F.when(F.col("idf") < 0, F.lit(mean * epsilon)).otherwise(F.col("idf")).alias("idf")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    return index
 
 
 class _Best:
