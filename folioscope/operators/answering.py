@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import routing
 from ..functions import text as T
@@ -73,7 +72,7 @@ CITATION_NOTE = "\n\n앞선 답변의 인용 가운데 제시된 근거에서 
 
 def split_by(rows: DataFrame, again: Column) -> tuple[DataFrame, DataFrame]:
     """Rows for which `again` is not true, and those for which it is; rows are kept, so that no model is called for a row twice."""
-    kept = rows.withColumn("again_", F.coalesce(again, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = saved(rows.withColumn("again_", F.coalesce(again, F.lit(False))))
     return kept.where("not again_").drop("again_"), kept.where("again_").drop("again_")
 
 
@@ -85,7 +84,7 @@ def answered(rows: DataFrame, answer: Callable[[Column, Column], Column], strict
     """
     first = rows.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.col("evidence")), F.lit(""))))
     if strict:
-        return first.persist(StorageLevel.MEMORY_AND_DISK)
+        return saved(first)
     fine, wrong = split_by(first, T.needs_citation_retry(F.col("said"), F.col("refs")))
     note = F.format_string(CITATION_NOTE, F.array_join(T.invalid_citations(F.col("said"), F.col("refs")), ", "))
     second = wrong.withColumn("said", T.strip(F.coalesce(answer(F.col("question"), F.concat("evidence", note)), F.lit(""))))

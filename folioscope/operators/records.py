@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def record_id(file: Column, lineno: Column) -> Column:
     return F.concat_ws(":", F.regexp_replace(file, r"\.jsonl$", ""), lineno.cast("string"))
@@ -21,10 +23,11 @@ def only_new(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame
 
 
 def upsert(existing: DataFrame, rows: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """The union with the latest version of each id."""
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    both = existing.unionByName(rows, allowMissingColumns=True)
-    return both.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
+    """The union with the latest version of each id; of equal versions a new row before an existing one, then the greatest as JSON."""
+    both = existing.withColumn("new_", F.lit(0)).unionByName(rows.withColumn("new_", F.lit(1)), allowMissingColumns=True)
+    whole = F.to_json(F.struct(*(c for c in both.columns if c != "new_")))
+    w = Window.partitionBy(key).orderBy(F.desc(version), F.desc("new_"), F.desc(whole))
+    return both.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_", "new_")
 
 
 def latest_by_position(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -46,11 +49,21 @@ def board_stats(records: DataFrame) -> DataFrame:
 
 
 def guard(rows: DataFrame, threshold: float = 0.3, least: int = 20) -> DataFrame:
-    """(board, tripped_at): the first row (by seq) at which, with at least `least` rows seen, fallbacks exceed the threshold."""
-    w = Window.partitionBy("board").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = rows.withColumn("n", F.count("*").over(w)).withColumn("f", F.sum(F.col("fallback").cast("int")).over(w))
-    trip = F.min(F.when((F.col("n") >= least) & (F.col("f") / F.col("n") > threshold), F.col("seq")))
-    return run.groupBy("board").agg(trip.alias("tripped_at"))
+    """(board, tripped_at): the first row (by seq) at which, with at least `least` rows seen, fallbacks exceed the threshold.
+
+    Rows are dealt out by ranges of board and seq, so one huge board is many tasks: counts of the ranges before and running counts
+    inside a range make the running counts of the board. Which range a row is in is saved with it.
+    """
+    flags = rows.select("board", "seq", F.coalesce(F.col("fallback").cast("int"), F.lit(0)).alias("f"))
+    dealt = saved(flags.repartitionByRange("board", "seq").withColumn("range_", F.spark_partition_id()))
+    before = Window.partitionBy("board").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = dealt.groupBy("board", "range_").agg(F.count("*").alias("n_"), F.sum("f").alias("f_"))
+    sums = sums.select(F.col("board").alias("b_"), F.col("range_").alias("r_"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n_", "f_")))
+    inside = Window.partitionBy("board", "range_").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = dealt.withColumn("n", F.count("*").over(inside)).withColumn("s", F.sum("f").over(inside))
+    both = run.join(sums, F.col("board").eqNullSafe(F.col("b_")) & (F.col("range_") == F.col("r_"))).select("board", "seq", (F.col("n") + F.col("n_")).alias("n"), (F.col("s") + F.col("f_")).alias("s"))
+    trip = F.min(F.when((F.col("n") >= least) & (F.col("s") / F.col("n") > threshold), F.col("seq")))
+    return both.groupBy("board").agg(trip.alias("tripped_at"))
 
 
 def golden_rows(questions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -78,7 +91,7 @@ def numbered(rows: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
     # the number of the range is saved with the rows' place in it, so both come from one execution
     spread = rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
     inside = Window.partitionBy("range_").orderBy(*order)
-    place = spread.withColumn("place_", F.row_number().over(inside).cast("long") - 1).persist()
+    place = saved(spread.withColumn("place_", F.row_number().over(inside).cast("long") - 1))
     counts = place.groupBy("range_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     begin = counts.select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("begin_"))
