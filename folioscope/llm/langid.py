@@ -119,7 +119,10 @@ def fit_languages(docs: DataFrame, most: int = MOST_FIT, most_windows: int = MOS
     each = max(LEAST_EACH, most // len(langs))
     h = F.xxhash64(F.lit(seed), "doc_id")
     mine = Window.partitionBy("lang")
-    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", h.alias("h")).withColumn("n", F.row_number().over(mine.orderBy("h", "doc_id"))).where(F.col("n") <= each)
+    # a language's ids go to many tasks first, so that the last ranking of one has SALTS * each rows at most
+    dealt = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id", h.alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    few = dealt.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("n") <= each)
+    ids = few.withColumn("n", F.row_number().over(mine.orderBy("h", "doc_id"))).where(F.col("n") <= each)
     ids = ids.select(F.col("lang").alias("lang_"), F.col("doc_id").alias("id_")).distinct()
     rows = usable.join(F.broadcast(ids), (F.col("lang") == F.col("lang_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi").select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
 
