@@ -210,7 +210,7 @@ def phrase_counts(docs: DataFrame, depth: int = 4, least: int = 30, most_words:
         return rows.mapInArrow(lambda it: _upper_counts(it, seed, most_words, shared), "key long, n long")
 
     def exact(seed: int, shared: Broadcast) -> DataFrame:
-        states = rows.mapInArrow(lambda it: _exact_counts(it, seed, most_words, depth, shared), "key binary, shortest int, lang string, word binary, n long")
+        states = rows.mapInArrow(lambda it: _exact_counts(it, seed, 2 * most_words, depth, shared), "key binary, shortest int, lang string, word binary, n long")
         lengths = states.withColumn("m", F.explode(F.expr("sequence(shortest, cast(length(key) / 8 as int))")))
         return lengths.select(F.expr("substring(key, length(key) - 8 * m + 1)").alias("key"), "lang", "word", "n").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
 
