@@ -17,6 +17,7 @@ WINDOW, WIDTHS, FILTERS, BYTE_DIM = 256, (2, 3, 4, 5), 12, 8
 #: Documents that the network is trained on at most, by a hash of the id, and windows of each; languages it knows at most, the most
 #: frequent ones, and documents of each of them at least, if there are so many.
 MOST_FIT, MOST_WINDOWS, MOST_LANGS, LEAST_EACH = 6_000, 6, 256, 20
+SALTS = 256  # parts that the ids of one language are ranked in, before those left are ranked together
 _REACH = max(WIDTHS)
 _LETTER = re.compile(r"[^\W\d_]")
 
