@@ -259,7 +259,7 @@ SELECT conv_id, turn, {_STRIPPED} AS said FROM e""")
 def answer_second_attempt(spark, d):
     """Answers with invalid citations are asked for once more; what is invalid then is stripped."""
     rows = _answers(spark, d).select("conv_id", "turn", F.col("t").alias("question"), F.col("valid").alias("refs"), F.lit("근거").alias("evidence"))
-    model = lambda q, e: F.when(e.contains("검증 실패"), F.concat(F.lit("다시: [D1] [D9] "), T.strip(q))).otherwise(q)
+    model = lambda q, e: F.when(e.contains(A.CITATION_NOTE.split("%s")[0]), F.concat(F.lit("다시: [D1] [D9] "), T.strip(q))).otherwise(q)
     return A.answered(rows, model).select("conv_id", "turn", "said")
 
 
