@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import joins as J
 from ..operators import records as R
 from ..operators import split as S
+from ..operators import split_lines as L
 from ..operators.scorers import judged
 from ..sources import html as H
 from .registry import query, table
@@ -230,6 +231,12 @@ def split_paragraphs(spark, d):
     return S.split_documents(_standard_texts(spark, d), "standard")
 
 
+@query()
+def split_paragraph_lines(spark, d):
+    """The same from numbered lines, a document's over many tasks."""
+    return L.split_lines(L.lines_of(_standard_texts(spark, d)))
+
+
 @query()
 def split_terms(spark, d):
     """Terms of standards."""
