@@ -26,13 +26,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group linked by 5-word shingles; equal rows become one. Blank texts stay.
 
-    Of near copies under one doc_id, or under none, one stays; texts under it that are no copies stay too.
+    Of near copies under one doc_id, or under none, one stays; texts under it that are no copies stay too. Of rows with equal doc_id and
+    text, the least by all other columns in their order stays, nulls first (maps go by their JSON).
     """
     found = near_duplicates(docs).where("doc_key = component")
     group = found.groupBy("doc_key", "text_group", F.when(F.col("text_group").isNull(), F.col("text_id")))
     kept = group.agg(F.min("text_id").alias("text__")).select(F.col("doc_key").alias("key__"), "text__")
     keyed = docs.withColumn("key__", id_key()).withColumn("text__", text_id())
-    return keyed.join(kept, ["key__", "text__"], "left_semi").dropDuplicates(["key__", "text"]).select(docs.columns)
+    keyed = keyed.withColumn("null__", F.col("text").isNull()).join(kept, ["key__", "text__"], "left_semi")
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name != "text"]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.groupBy("key__", "text__", "null__").agg(F.min_by(row, F.struct(*plain)).alias("row__")).select("row__.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
