@@ -43,14 +43,14 @@ def fill(sources: DataFrame, epochs: int) -> DataFrame:
     return s.select("src", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3), tie: Column | None = None) -> DataFrame:
     """The rows of `docs` (doc_id, source and what `size` needs; more are kept) with size, source_size, target and taken.
 
     Sources by code point (null last) weigh `weights`, repeating. Every document is taken floor(target / source_size) times in
     whole; the rest of the target goes to documents in the order of a seeded hash of their id, each once in whole, until one
     document at the boundary is taken in part, so that each source takes its target to the word. Documents of size 0 take 0.
-    Columns of `docs` that have a name of a result are replaced, all others stay. Equal doc_ids are ordered by size; equal rows are
-    interchangeable. An empty table gives no rows.
+    Columns of `docs` that have a name of a result are replaced, all others stay. Equal doc_ids are ordered by size, then by `tie`; rows
+    equal in these are interchangeable. An empty table gives no rows.
 
     The order inside a source is found by 4096 hash ranges: sums per range, a prefix sum over them, and a running sum inside each
     range, so a source that holds most rows is never sorted or gathered in one task, and rows are shuffled once.
@@ -58,7 +58,7 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     own = {f"c{i}_": c for i, c in enumerate(docs.columns)}  # so that no name clashes with a helper's
     doc_id = next(k for k, c in own.items() if c == "doc_id")
-    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in own.items()), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source_key(F.col("source")).alias("src_"), h.alias("h_"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in own.items()), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source_key(F.col("source")).alias("src_"), h.alias("h_"), *([] if tie is None else [tie.alias("tie_")]))
     rows = rows.withColumn("range_", F.substring("h_", 1, 3))
     ranges = saved(rows.groupBy("src_", "range_").agg(F.sum("size").alias("words")))
     sizes = ranges.groupBy(F.col("src_").alias("src")).agg(F.sum("words").alias("source_size"))
@@ -69,7 +69,7 @@ def take(docs: DataFrame, size: Column, epochs: int = EPOCHS, seed: int = SEED,
     filled = filled.withColumn("whole", whole).withColumn("rest", (goal - F.col("whole") * F.col("source_size")).cast("long"))
     before = Window.partitionBy("src_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(filled, F.col("src_") == F.col("src")).drop("src")
-    inside = Window.partitionBy("src_", "range_").orderBy("h_", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src_", "range_").orderBy("h_", doc_id, "size", *([] if tie is None else ["tie_"])).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(ranges, ["src_", "range_"]).withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first")))
     both = joined.withColumn("taken", F.col("whole") * F.col("size") + extra)
@@ -89,7 +89,8 @@ def mixed_documents(docs: DataFrame, epochs: int = EPOCHS, seed: int = SEED) ->
     the one cut document of a source with its first words (n_chars follows, where there is one). Documents without words go."""
     own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
     plain = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    taken = take(plain, F.regexp_count("text", F.lit(WORD)), epochs, seed).where("taken > 0")
+    every = F.md5(F.to_json(F.struct(*plain.columns)).cast("binary"))  # so that reruns cut the same one of rows under one doc_id
+    taken = take(plain, F.regexp_count("text", F.lit(WORD)), epochs, seed, tie=every).where("taken > 0")
     times = F.array_repeat("size", F.floor(F.col("taken") / F.col("size")).cast("int"))
     part = F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>"))
     rows = taken.withColumn("words_", F.explode(F.concat(times, part)))

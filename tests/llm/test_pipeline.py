@@ -37,3 +37,19 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs, tmp_pat
             assert k == "token_ids" or out.columns == docs.columns
             out.write.parquet(str(tmp_path / name / k))
             assert name == "odd" or spark.read.parquet(str(tmp_path / name / k)).count() == 0
+
+
+def test_rows_of_one_id_give_equal_rows_in_any_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} {i} " * 3, f"s{i % 2}", "en", 1) for i in range(6)] + [(2, f"{text} 2 " * 3, s, l, n) for s, l, n in (("s1", "en", 1), (None, "de", 2), ("s1", None, 1), ("s0", "en", 0))]
+    # texts of one size under one id, of which the mix may cut one
+    rows += [(9, " ".join(f"{c}{i}" for i in range(90)), "s2", "en", 1) for c in "abcdefg"]
+    found = []
+    for parts in (1, 7):
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string, source string, lang string, n_chars long").repartition(parts)
+            kept = cp.near_dedup(spark, docs, DATA)
+            found.append((sorted(map(repr, kept.collect())), sorted(map(repr, cp.mixing(spark, docs, DATA).collect()))))
+    assert all(f == found[0] for f in found)
+    # one group of near copies under ids 0 to 5 and 2 again; under id 9 nothing is a copy
+    assert len(found[0][0]) == 8
