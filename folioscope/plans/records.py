@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import exchanges as X
 from ..operators import joins as J
 from ..operators import records as R
 from ..operators import split as S
 from ..operators import split_lines as L
 from ..operators.scorers import judged
+from ..operators.shared import shared_folder
 from ..sources import html as H
+from ..streaming import conversations as C
 from .registry import query, table
 
 _TYPED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'term' WHEN 2 THEN 'audit_case' END AS record_type, text,
@@ -148,13 +151,42 @@ def trace_eval_merge(spark, d):
     return R.attach_eval(t, e)
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history
-FROM conversations WHERE role IN ('user', 'assistant')""")
+def _joined_history(rows):
+    h = F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["content"], F.lit(""))))
+    return rows.select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), F.array_join(h, "|").alias("history"))
+
+
+_HISTORY = """SELECT conv_id, turn, coalesce(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history
+FROM conversations WHERE role IN ('user', 'assistant')"""
+
+
+@query(_HISTORY)
 def history_last6(spark, d):
     """The six messages before each one."""
     m = table(spark, d, "conversations").where("role in ('user', 'assistant')").select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
-    h = F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["content"], F.lit(""))))
-    return R.history(m).select(F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), F.array_join(h, "|").alias("history"))
+    return _joined_history(R.history(m))
+
+
+@query(_HISTORY)
+def history_stream(spark, d):
+    """The same from a stream that keeps the last messages of each thread as state."""
+    rows = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")  # a pattern may be one file or a folder
+    rows = rows.where("role in ('user', 'assistant')")
+    m = rows.select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").cast("long").alias("seq"), "role", F.col("text").alias("content"))
+    at = shared_folder(spark, "history")
+    C.thread_history(m).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return _joined_history(spark.read.schema(C.HISTORY).parquet(f"{at}/rows").withColumn("thread", F.col("thread").cast("long")))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, CASE WHEN role = 'user' AND coalesce(lag(role) OVER w, '') <> 'user' THEN 1 ELSE 0 END AS b
+  FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM m)
+SELECT conv_id, min(turn) AS turn, string_agg(t, chr(10) ORDER BY turn) FILTER (role = 'user') AS question, string_agg(t, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS answer, count(*) AS messages FROM g GROUP BY conv_id, g""")
+def conversation_exchanges(spark, d):
+    """Conversations cut into exchanges by a table function over a table."""
+    X.register(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("conversations_")
+    return spark.sql("SELECT * FROM exchanges(TABLE(conversations_), 'conv_id', 'turn', 'role', 'text')")
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM pages)

@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.records import attach_eval
 
 HISTORY = "thread string, seq long, role string, content string, history array<struct<role:string,content:string>>"
+HELD = "held"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def thread_history(messages: DataFrame, n: int = 6) -> DataFrame:
-    """Each arriving message (thread, seq, role, content) with the last n of its thread before it, kept as state per thread.
+class _History(StatefulProcessor):
+    """A thread's last messages as list state, which may expire, and a timer that forgets a thread that has gone quiet."""
 
-    Inside a batch messages go by seq; a message that arrives in a later batch comes after those already seen.
-    """
+    def __init__(self, n: int, keep_ms: int | None, quiet_ms: int | None) -> None:
+        self.n, self.keep_ms, self.quiet_ms = n, keep_ms, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState(HELD, "role string, content string", self.keep_ms)
 
-    def step(key, frames, state: GroupState):
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        new = pd.concat(list(frames)).sort_values("seq")
-        rows = []
-        for m in new.itertuples(index=False):
-            rows.append((key[0], m.seq, m.role, m.content, [{"role": r, "content": c} for r, c in held[-n:]]))
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        due = list(self.handle.listTimers()) if self.quiet_ms is not None else []
+        held = deque([] if any(t <= now for t in due) else map(tuple, self.held.get()), self.n)
+        for m in sorted(rows, key=lambda m: (m.seq, m.role or "", m.content or "")):
+            yield Row(thread=key[0], seq=m.seq, role=m.role, content=m.content, history=[Row(role=r, content=c) for r, c in held])
             held.append((m.role, m.content))
-        held = held[-n:]
-        state.update(([r for r, _ in held], [c for _, c in held]))
-        yield pd.DataFrame(rows, columns=["thread", "seq", "role", "content", "history"])
+        if held:
+            self.held.put(list(held))
+        if self.quiet_ms is not None:
+            for t in due:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        return iter(())
+
+
+def thread_history(messages: DataFrame, n: int = 6, keep_ms: int | None = None, quiet_ms: int | None = None) -> DataFrame:
+    """Each arriving message (thread, seq, role, content) with the last n of its thread before it, kept as list state per thread.
+
+    Inside a batch messages go by seq, equal ones by role and content; a message that arrives in a later batch comes after those
+    already seen. A message is forgotten `keep_ms` after its batch or the last later one of its thread, a whole thread when nothing has
+    come for `quiet_ms`, both by processing time; by default nothing is. State is kept in RocksDB, which is set for the session. A
+    thread's messages of one batch are sorted in memory: bound batches at the source (maxFilesPerTrigger). With a limit, Spark looks for
+    due timers in batches without data too, so an AvailableNow run ends only where spark.sql.streaming.noDataMicroBatches.enabled is
+    false; timers then go off with the next batch.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return messages.groupBy("thread").transformWithState(_History(n, keep_ms, quiet_ms), HISTORY, "Append", "None" if keep_ms is None and quiet_ms is None else "ProcessingTime")
+
 
-    state = "roles array<string>, contents array<string>"
-    return messages.groupBy("thread").applyInPandasWithState(step, HISTORY, state, "append", GroupStateTimeout.NoTimeout)
+def held_messages(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """thread, role, content of what a stream of thread_history holds, in the order of its state, read from its checkpoint."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", HELD).load()
+    message = "list_element.value" if "value" in rows.schema["list_element"].dataType.names else "list_element"  # with an expiry or without
+    return rows.select("key.thread", f"{message}.role", f"{message}.content")
 
 
 def new_records(records: DataFrame, key: str = "id", time: str = "ts", late: str = "1 day") -> DataFrame:

@@ -14,6 +14,24 @@ def test_thread_history_goes_on_over_batches(spark, tmp_path):
         q.awaitTermination()
     got = {(r.thread, r.seq): [h.content for h in r.history] for r in spark.read.schema(C.HISTORY).json(str(tmp_path / "out")).collect()}
     assert got == {("t", 1): [], ("t", 2): ["a"], ("t", 3): ["a", "b"], ("u", 1): []}
+    # each batch was a query of its own, started again from the checkpoint; its state is a table
+    held = C.held_messages(spark, str(tmp_path / "cp")).collect()
+    assert sorted(map(tuple, held)) == [("t", "assistant", "b"), ("t", "user", "c"), ("u", "user", "x")]
+
+
+def test_quiet_threads_and_old_messages_are_forgotten(spark, tmp_path):
+    schema = "thread string, seq long, role string, content string"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for name, limits in (("quiet", {"quiet_ms": 1}), ("old", {"keep_ms": 1}), ("kept", {"quiet_ms": 10**9, "keep_ms": 10**9})):
+        for seq in (1, 2):
+            spark.createDataFrame([("t", seq, "user", None), ("once", 1, "user", "x")][: 3 - seq], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = C.thread_history(spark.readStream.schema(schema).parquet(str(tmp_path / name / "in")), **limits)
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = {(r.thread, r.seq): len(r.history) for r in spark.read.parquet(str(tmp_path / name / "out")).collect()}
+        held = C.held_messages(spark, str(tmp_path / name / "cp")).count()
+        assert (got, held) == ({("t", 1): 0, ("once", 1): 0, ("t", 2): int(name == "kept")}, 3 if name == "kept" else 1), name
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_trace_is_appended_clipped_and_merged(spark, tmp_path):
