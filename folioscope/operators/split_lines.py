@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import split as S
-from .shared import saved
+from .shared import saved, shared_folder
 
 LINES_A_BLOCK = 4096
 _MOST_TAIL = 1 << 16  # characters of plain lines that one row holds
 
 _EVENTS = (
     "doc_id long, number string, block long, n long, kind string, series string, num string, suffix string, label string, mark string, "
-    "rest string, line string, tail string, at boolean, bounds array<string>, exits array<string>, start string"
+    "rest int, line string, tail string, at boolean, bounds array<string>, exits array<string>, start string"
 )
 _NAMES = [c.split()[0] for c in _EVENTS.split(", ")]
-_TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _ARROW = [_TYPES[c.split()[1]] for c in _EVENTS.split(", ")]
 
 
@@ -142,10 +142,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 last[series] = step(last.get(series), series, num, suffix)
                 at = last[series] == num
-            row = [*base, "start", series, num, suffix, series + digits + suffix, None, rest, line, at]
+            row = [*base, "start", series, num, suffix, series + digits + suffix, None, len(line) - len(rest) + 1, line, at]
         elif item:
             close_row()
-            row = [*base, "item", None, None, None, None, item[1], item[2], line, None]
+            row = [*base, "item", None, None, None, None, item[1], len(line) - len(item[2]) + 1, line, None]
         elif row is None or tailed > _MOST_TAIL:
             close_row()
             row = [*base, "plain", None, None, None, None, None, None, line, None]
@@ -178,16 +178,23 @@ def _decided(group: pd.DataFrame) -> pd.DataFrame:
     return group.loc[at, ["doc_id", "series", "num", "suffix", "block", "n"]]
 
 
-def split_lines(lines: DataFrame, lines_a_block: int = LINES_A_BLOCK) -> DataFrame:
+def split_lines(lines: DataFrame, lines_a_block: int = LINES_A_BLOCK, in_order: bool = False) -> DataFrame:
     """The parts of ``split_standard`` with the line at which each begins: doc_id, n, ref_key, para_no, series, section, text.
 
     lines: doc_id long, number string (one a document), n (from 0 on, distinct in a document; gaps do no harm), line string. Null lines
     are blank. Lines without a doc_id belong to no document and are left out. An empty table gives no rows.
+
+    in_order: the lines of a document lie together and in order in one partition, as those of ``lines_of``, so they are read in place.
+    What is read is written to the shared folder as Parquet, of which later steps read the columns they need.
     """
     cut = lines.where("doc_id is not null").select(
         F.col("doc_id").cast("long"), F.col("number").cast("string"), F.floor(F.col("n") / lines_a_block).alias("block"), F.col("n").cast("long"), F.col("line").cast("string")
     )
-    rows = saved(cut.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "n").mapInArrow(_read, _EVENTS))
+    if not in_order:
+        cut = cut.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "n")
+    folder = shared_folder(lines.sparkSession, "lines")
+    cut.mapInArrow(_read, _EVENTS).write.parquet(folder)
+    rows = lines.sparkSession.read.parquet(folder)
 
     at = rows.where("kind = 'start' and at").select("doc_id", "series", "num", "suffix", "block", "n")
     long_docs = rows.where("block > 0").select("doc_id").distinct()
@@ -220,7 +227,7 @@ def split_lines(lines: DataFrame, lines_a_block: int = LINES_A_BLOCK) -> DataFra
     item = (F.col("kind") == "item") & (marked.isNull() | (F.col("mark") > marked))
     owned = owned.withColumn("item", item).withColumn("item_n", F.max(F.when(F.col("item"), F.col("n"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.col("n") == F.col("para")
-    said = F.concat_ws("\n", F.when(first | F.col("item"), F.col("rest")).otherwise(F.col("line")), "tail")
+    said = F.concat_ws("\n", F.when(first | F.col("item"), F.substring(F.col("line"), F.col("rest"), F.length("line"))).otherwise(F.col("line")), "tail")
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("said")))), lambda x: x["said"]), "\n")
     parts = owned.groupBy("doc_id", "para", "item_n").agg(
         F.trim(joined(said), F.lit("\n")).alias("text"), F.max(F.when(F.col("item"), F.col("mark"))).alias("mark"),

@@ -266,7 +266,7 @@ def split_paragraphs(spark, d):
 @query()
 def split_paragraph_lines(spark, d):
     """The same from numbered lines, a document's over many tasks."""
-    return L.split_lines(L.lines_of(_standard_texts(spark, d)))
+    return L.split_lines(L.lines_of(_standard_texts(spark, d)), in_order=True)
 
 
 @query()

@@ -52,8 +52,8 @@ def test_lines_equal_whole_documents(spark):
     docs = spark.createDataFrame([(i, t, str(1000 + i)) for i, t in enumerate(texts)], "doc_id long, text string, number string")
     want = [(i, *(p[c] for c in _ROW[1:])) for i, t in enumerate(texts) for p in S.split_standard(t, str(1000 + i))]
     assert len(want) > 300 and {x[3] for x in want} == {"본문", "B", "BC"}
-    for block in (7, 100, 4096):
-        rows = L.split_lines(L.lines_of(docs), block).orderBy("doc_id", "n").select(*_ROW).collect()
+    for block, in_order in ((7, False), (100, True), (4096, True)):
+        rows = L.split_lines(L.lines_of(docs), block, in_order).orderBy("doc_id", "n").select(*_ROW).collect()
         assert [tuple(x) for x in rows] == want, block
 
 
