@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and their SQL."""
 
-from . import citations, evaluation, records, retrieval  # noqa: F401
+from . import citations, evaluation, records, retrieval, storing  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

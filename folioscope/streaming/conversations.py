@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.buckets import BucketTable, attach_evals
 from ..operators.records import attach_eval
 
 HISTORY = "thread string, seq long, role string, content string, history array<struct<role:string,content:string>>"
@@ -89,3 +90,15 @@ def merge_evals(evals: DataFrame, trace_path: str, checkpoint: str):
         attach_eval(last.where(F.col("v") == newest).drop("v"), batch).write.mode("overwrite").parquet(f"{trace_path}/v={number + 1}")
 
     return evals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_evals_in_buckets(evals: DataFrame, traces: BucketTable, checkpoint: str):
+    """The same over a table of traces in buckets of the question: a batch reads and rewrites only the buckets of its questions.
+
+    A batch that runs twice attaches once. One stream writes to a table.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        attach_evals(traces, batch, number)
+
+    return evals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
