@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import PRECISE, kind_of, split_label
-from ..functions.text import without_blanks
 
 
 def citation_hits(cited: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -104,57 +100,6 @@ def adjacent_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, ["ho", "prefix", "tail", "n"]).where("ho <> ''").select("a", "b")
 
 
-def page_of(terms: DataFrame, pages: DataFrame, lengths: tuple[int, ...] = (40, 24, 12), shortest: int = 8, most: int = 200_000) -> DataFrame:
-    """(tid, page_no): the first page that contains the first needle that any page contains; null without one.
-
-    terms: tid, term, text; pages: page_no, text of one document. Needles are, without white space: the term followed by the
-    first characters of its text (first two lengths), then the first characters of the text. Those shorter than `shortest` are
-    skipped. One automaton over a block of at most `most` needles reads each page once, in place; a task reports each term's best
-    needle and page, so what is shuffled is a row per term and task at most.
-    """
-    t = terms.select("tid", without_blanks(F.col("term")).alias("term"), without_blanks(F.col("text")).alias("text"))
-    own = [F.when(F.col("term") != "", F.substring(F.concat("term", "text"), F.lit(1), F.length("term") + n)) for n in lengths[:2]]
-    needles = F.array(*own, *(F.substring("text", 1, n) for n in lengths))
-    n = t.select("tid", F.posexplode(needles).alias("pos", "needle")).where(F.length("needle") >= shortest)
-    bodies = pages.select("page_no", without_blanks(F.col("text")).alias("body"))
-    schema = "tid long, pos int, page_no long"
-    hits = terms.sparkSession.createDataFrame([], schema)
-    for block in _needle_blocks(n, most):
-        sent = terms.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            find = ahocorasick.Automaton()
-            for needle, owners in sent.value.items():
-                find.add_word(needle, owners)
-            find.make_automaton()
-            best: dict[int, tuple[int, int]] = {}
-            for b in batches:
-                for page, body in zip(b["page_no"].to_pylist(), b["body"].to_pylist(), strict=True):
-                    for _, owners in find.iter(body):
-                        for tid, pos in owners:
-                            if tid not in best or (pos, page) < best[tid]:
-                                best[tid] = (pos, page)
-            columns = [list(best), [p for p, _ in best.values()], [p for _, p in best.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["tid", "pos", "page_no"])
-
-        hits = hits.unionByName(bodies.where("page_no is not null").mapInArrow(run, schema))
-    best = hits.groupBy("tid").agg(F.min(F.struct("pos", "page_no")).alias("b")).select("tid", "b.page_no")
-    return terms.select("tid").join(best, "tid", "left")
-
-
-def _needle_blocks(needles: DataFrame, most: int) -> Iterator[dict[str, list[tuple[int, int]]]]:
-    held: dict[str, list[tuple[int, int]]] = {}
-    for r in needles.toLocalIterator():
-        held.setdefault(r.needle, []).append((r.tid, r.pos))
-        if len(held) == most:
-            yield held
-            held = {}
-    if held:
-        yield held
-
-
 def regression(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     """Rows that hit before and do not hit any more, by their place."""
     return before.where("hit").select(*keys).join(after.where("hit").select(*keys), list(keys), "left_anti")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import exchanges as X
-from ..operators import joins as J
 from ..operators import records as R
 from ..operators import split as S
 from ..operators import split_lines as L
+from ..operators.containment import page_of
 from ..operators.scorers import judged
 from ..operators.shared import shared_folder
 from ..sources import html as H
@@ -296,4 +296,4 @@ SELECT b.tid, h.page_no FROM b LEFT JOIN h ON h.tid = b.tid AND r = 1""")
 def substring_page_match(spark, d):
     """The first document that holds the beginning of a benchmark item."""
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("tid"), F.lit("").alias("term"), "text")
-    return J.page_of(terms, table(spark, d, "documents").select(F.col("doc_id").alias("page_no"), "text"))
+    return page_of(terms, table(spark, d, "documents").select(F.col("doc_id").alias("page_no"), "text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import joins, metrics
 from folioscope.operators import retrieval as R
+from folioscope.operators.containment import page_of
 from folioscope.operators.scorers import scorer
 
 
@@ -83,7 +84,7 @@ def test_scores_without_expected_keys_are_zero(spark):
 def test_page_of_prefers_earlier_needles(spark):
     t = spark.createDataFrame([(1, "term", "definition of it goes on"), (2, "", "short"), (3, None, "nowhere to be found")], "tid long, term string, text string")
     p = spark.createDataFrame([(1, "a definition of it goes on"), (2, "b term\n definition of it goes on"), (3, "")], "page_no long, text string")
-    assert {r.tid: r.page_no for r in joins.page_of(t, p).collect()} == {1: 2, 2: None, 3: None}
+    assert {r.tid: r.page_no for r in page_of(t, p).collect()} == {1: 2, 2: None, 3: None}
 
 
 def test_looked_up_in_order(spark):
