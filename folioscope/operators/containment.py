@@ -15,7 +15,7 @@ from ..functions.text import without_blanks
 from .shared import saved
 
 #: Lengths at which every place of a page is hashed; a needle is looked for by the longest that fits into it.
-ANCHORS = (40, 24, 12, 8, 4, 2, 1)
+ANCHORS = (12, 8, 4, 2, 1)
 #: Bits of a bitmap at least and at most (64 MB); up to some 30 million needles it stays sparse, with more it only spares less.
 _BITS = (1 << 20, 1 << 29)
 _SEGMENT = 1 << 19
@@ -43,7 +43,16 @@ class _Hashed:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: self.size], dtype=np.uint64)])
 
     def hashes(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        x = (self.sums[at + length] - self.sums[at]) * self.down[at] + np.atleast_1d(np.asarray(length, np.uint64)) * np.uint64(_BASE)
+        return self._mixed((self.sums[at + length] - self.sums[at]) * self.down[at], length)
+
+    def everywhere(self, length: int) -> np.ndarray:
+        """The hashes of this length at all places, in order."""
+        n = max(self.size - length + 1, 0)
+        return self._mixed((self.sums[length : length + n] - self.sums[:n]) * self.down[:n], length)
+
+    @staticmethod
+    def _mixed(x: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        x += np.atleast_1d(np.asarray(length, np.uint64)) * np.uint64(_BASE)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
@@ -68,8 +77,7 @@ class _Sieve:
     def found(self, t: _Hashed) -> Iterator[tuple[int, int]]:
         """(place, length) of all stretches of one text that may be needles."""
         for anchor, lengths in self.lengths.items():
-            at = np.arange(max(t.size - anchor + 1, 0))
-            at = at[self.passes(self.anchors, t.hashes(at, anchor))]
+            at = np.flatnonzero(self.passes(self.anchors, t.everywhere(anchor)))
             room = t.ends[np.searchsorted(t.ends, at, "right")] - at
             for n in lengths:
                 here = at[room >= n]
@@ -96,12 +104,14 @@ def _anchor(length: int, anchors: tuple[int, ...]) -> int:
     return next(a for a in anchors if a <= length)
 
 
-def _sieve(needles: DataFrame, longest: int) -> _Sieve:
-    """The bitmaps of the distinct needles, built in segments on the executors; their bounded bytes reach the driver."""
+def _sieve(needles: DataFrame) -> _Sieve:
+    """The bitmaps of the needles, built in segments on the executors; their bounded bytes and the set of lengths reach the driver."""
     lengths: dict[int, list[int]] = {}
-    for (n,) in sorted(map(tuple, needles.select(F.length("needle")).distinct().collect())):
+    about = needles.groupBy(F.length("needle").alias("length")).agg(F.count("*").alias("n")).collect()
+    for n in sorted(r.length for r in about):
         lengths.setdefault(_anchor(n, ANCHORS), []).append(n)
-    bits = min(max(_BITS[0], 1 << (16 * needles.count()).bit_length()), _BITS[1])
+    longest = max((r.length for r in about), default=0)
+    bits = min(max(_BITS[0], 1 << (16 * sum(r.n for r in about)).bit_length()), _BITS[1])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +129,7 @@ def _sieve(needles: DataFrame, longest: int) -> _Sieve:
         first = [pa.array([group["which"][0].as_py()], pa.int32()), pa.array([int(bit[0]) // _SEGMENT], pa.int64())]
         return pa.Table.from_arrays([*first, pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["which", "segment", "bytes"])
 
-    places = needles.mapInArrow(hashed, "which int, bit long").distinct()
+    places = needles.select("needle").mapInArrow(hashed, "which int, bit long").distinct()
     parts = places.groupBy("which", F.floor(F.col("bit") / _SEGMENT)).applyInArrow(folded, "which int, segment long, bytes binary")
     maps = np.zeros((2, bits // 8), np.uint8)
     for which, segment, held in parts.collect():
@@ -140,9 +150,7 @@ def page_of(terms: DataFrame, pages: DataFrame, lengths: tuple[int, ...] = (40,
     own = [F.when(F.col("term") != "", F.substring(F.concat("term", "text"), F.lit(1), F.length("term") + n)) for n in lengths[:2]]
     each = F.array(*own, *(F.substring("text", 1, n) for n in lengths))
     needles = saved(t.select("tid", F.posexplode(each).alias("pos", "needle")).where(F.length("needle") >= max(shortest, 1)))
-    distinct = needles.select("needle").distinct()
-    longest = needles.agg(F.max(F.length("needle"))).first()[0] or 0
-    sent = terms.sparkSession.sparkContext.broadcast(_sieve(distinct, longest))
+    sent = terms.sparkSession.sparkContext.broadcast(_sieve(needles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, best = sent.value, {}
