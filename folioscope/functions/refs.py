@@ -150,7 +150,7 @@ def all_refs(meta: Column, question: Column, answer: Column, related: Column, bo
 
 def standard_of(key: Column) -> Column:
     """The leading standard or chapter of a key; null without one."""
-    return F.nullif(F.regexp_extract(key, r"(?U)^(제\d+[호장])", 1), F.lit(""))
+    return bound(F.regexp_extract(key, r"(?U)^(제\d+[호장])", 1), lambda x: F.when(x != "", x))
 
 
 # Kinds of citations in the order in which they are tried, with their patterns.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.refs import PRECISE, kind_of, split_label
+from ..functions.refs import PRECISE, bound, kind_of, split_label
 
 
 def citation_hits(cited: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -68,9 +68,8 @@ def looked_up_in_order(answers: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def key_parts(key: Column) -> Column:
-    label = F.regexp_extract(key, r"문단 (.+)$", 1)
-    s = split_label(label)
-    return F.struct(F.regexp_extract(key, r"^(제\d+[호장])", 1).alias("ho"), s["prefix"].alias("prefix"), s["n"].alias("n"), s["tail"].alias("tail"))
+    ho = F.regexp_extract(key, r"^(제\d+[호장])", 1)
+    return bound(bound(F.regexp_extract(key, r"문단 (.+)$", 1), split_label), lambda s: F.struct(ho.alias("ho"), s["prefix"].alias("prefix"), s["n"].alias("n"), s["tail"].alias("tail")))
 
 
 def with_neighbors(keys: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import bound, standard_of
-from .joins import key_parts, next_to
+from .joins import key_parts
 
 
 def without_own(ranked: DataFrame) -> DataFrame:
@@ -16,15 +16,34 @@ def without_own(ranked: DataFrame) -> DataFrame:
 
 
 def got(ranked: DataFrame) -> DataFrame:
-    """(qid, got): the distinct ref_keys and section_keys of each query's hits, with the best rank of each."""
-    keys = F.explode(F.filter(F.array("ref_key", "section_key"), lambda x: F.coalesce(x, F.lit("")) != ""))
-    best = ranked.select("qid", "rank", keys.alias("key")).groupBy("qid", "key").agg(F.min("rank").alias("rank"))
-    return best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("key", "rank"))).alias("got"))
+    """(qid, got): the ref_keys and section_keys of each query's hits with their ranks, gathered by one shuffle; a key may repeat."""
+    keys = F.filter(F.array("ref_key", "section_key"), lambda x: F.coalesce(x, F.lit("")) != "")
+    rows = ranked.select("qid", F.struct("rank", keys.alias("keys")).alias("hit")).groupBy("qid").agg(F.collect_list("hit").alias("hits"))
+    flat = F.flatten(F.transform("hits", lambda h: F.transform(h["keys"], lambda x: F.struct(x.alias("key"), h["rank"].alias("rank")))))
+    return rows.select("qid", flat.alias("got"))
+
+
+# A paragraph's place: standard or chapter, prefix, number without leading zeros, tail. Neighbours differ in the number alone.
+_LINE = r"[\D&&[^\n\r\u0085\u2028\u2029]]"
+_PLACE = r"(?U)^(제[0-9]+[호장])(?s:.*?)문단 (.*?)0*(\d+)(" + _LINE + r"*)(?:\r\n|[\n\r\u0085\u2028\u2029])?$"
+
+
+def place(key: Column) -> Column:
+    """The place of a paragraph key as one string, by one search; null for other keys."""
+    at = F.regexp_replace(key, _PLACE, "\u0001$1\u0001$2\u0001$3\u0001$4")
+    return F.when(F.startswith(key, F.lit("제")) & F.contains(key, F.lit("문단 ")), bound(at, lambda x: F.when(F.startswith(x, F.lit("\u0001")), x)))
+
+
+def beside(key: Column) -> Column:
+    """The places next to a paragraph key's; none for other keys."""
+    some = lambda p: (p["ho"] != "") & p["n"].isNotNull()
+    at = lambda p, n: F.concat(F.lit("\u0001"), p["ho"], F.lit("\u0001"), p["prefix"], F.lit("\u0001"), n.cast("string"), F.lit("\u0001"), p["tail"])
+    return bound(key_parts(key), lambda p: F.when(some(p), F.array(at(p, p["n"] - 1), at(p, p["n"] + 1))).otherwise(F.array().cast("array<string>")))
 
 
 def parsed(keys: Column, normal=lambda x: x) -> Column:
-    """Keys with the form in which they are compared, their standard and the parts of their paragraph label."""
-    return F.transform(keys, lambda k: F.struct(normal(k).alias("key"), standard_of(k).alias("of"), key_parts(k).alias("p")))
+    """Keys with the form in which they are compared, their standard, their place among paragraphs, and what they are made of."""
+    return F.transform(keys, lambda k: F.struct(normal(k).alias("key"), standard_of(k).alias("of"), place(k).alias("at"), k.alias("whole")))
 
 
 def scores(expected: Column, have: Column, k: int | Column) -> Column:
@@ -35,9 +54,9 @@ def scores(expected: Column, have: Column, k: int | Column) -> Column:
 
     def measured(x: Column) -> Column:
         exp, got_ = x["exp"], x["got"]
-        keys = F.transform(got_, lambda g: g["key"])
+        keys, places = F.transform(got_, lambda g: g["key"]), F.transform(got_, lambda g: g["at"])
         found = lambda e: F.array_contains(keys, e["key"])
-        near = F.filter(exp, lambda e: ~found(e) & F.exists(got_, lambda g: next_to(e["p"], g["p"])))
+        near = F.filter(exp, lambda e: ~found(e) & F.arrays_overlap(beside(e["whole"]), F.filter(places, lambda y: y.isNotNull())))
         ho = lambda a: F.array_distinct(F.filter(F.transform(a, lambda y: y["of"]), lambda y: y.isNotNull()))
         return F.struct(
             F.size(exp).alias("n"), F.size(F.filter(exp, found)).alias("nhit"), F.size(near).alias("near"),
@@ -67,10 +86,11 @@ METRICS = ("exact", "capped", "relaxed", "ho", "hit", "precision")
 def evaluate(goldens: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (5, 10), normal=lambda x: x) -> DataFrame:
     """One row per query and k with its metrics. goldens: qid, board, expected; ranked: qid, rank, ref_key, section_key.
 
-    Hits are gathered and keys are taken apart once for all k. normal maps a key to the form in which keys are compared.
+    Hits are gathered and keys are taken apart once for all k. normal maps a key to the form in which keys are compared. Gathered hits
+    are far larger than the rows that they are estimated from, so the join names its kind: they are never broadcast.
     """
     none = F.array().cast("array<string>")
-    rows = goldens.join(got(ranked.where(F.col("rank") <= max(ks))), "qid", "left").select(
+    rows = goldens.join(got(ranked.where(F.col("rank") <= max(ks))).hint("merge"), "qid", "left").select(
         "qid", "board", parsed(F.coalesce("expected", none), normal).alias("exp"),
         F.coalesce(F.col("got.rank"), F.array().cast("array<int>")).alias("ranks"), parsed(F.coalesce(F.col("got.key"), none), normal).alias("have"),
     )
