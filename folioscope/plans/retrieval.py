@@ -115,8 +115,7 @@ def bm25_scoped_topk(spark, d):
     """The 10 best of one language's documents; statistics stay those of all."""
     q, docs = _texts(spark, d)
     lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("qid") % 4 + 1).cast("int"))
-    scope = q.select("qid", lang.alias("lang")).join(docs.select("id", "lang"), "lang").select("qid", "id")
-    return R.bm25_topk(q, docs, k=10, scope=scope).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    return R.bm25_topk(q.withColumn("within", F.array(lang)), docs.withColumnRenamed("lang", "within"), k=10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 _LISTS = """
@@ -153,7 +152,7 @@ def _hybrid_inputs(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("qtext")).join(e, "id")
-    return q.select(F.col("id").alias("qid"), "qtext", F.col("vec").alias("qvec")), docs.join(e, "id", "left")
+    return q.select(F.col("id").alias("qid"), "qtext", F.col("vec").alias("qvec")), docs, e
 
 
 @query(f"""WITH {_HYBRID_DENSE},
@@ -171,8 +170,8 @@ t AS (
 SELECT qid, rank, id, lang AS collection, round(s, 6) AS score FROM r WHERE rank <= 5""")
 def hybrid_search(spark, d):
     """Dense and lexical candidates, the dense ones of documents that have a vector, fused, then reranked by token overlap; the first 5."""
-    q, corpus = _hybrid_inputs(spark, d)
-    out = R.search(q, corpus, scorer("overlap"), per_coll=20, rerank_n=30, k=5)
+    q, corpus, vectors = _hybrid_inputs(spark, d)
+    out = R.search(q, corpus, scorer("overlap"), per_coll=20, rerank_n=30, k=5, vectors=vectors)
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "id", "collection", F.round("score", 6).alias("score"))
 
 
