@@ -67,7 +67,7 @@ def ref_key(number: Column, para: Column | None = None, name: Column | None = No
 def chapter_para(chapter: Column, para: Column) -> Column:
     """A short paragraph label gets its chapter in front; full and ambiguous ones stay."""
     no = chapter.cast("int").cast("string")
-    short = para.rlike(r"(?U)^\d+(?:[A-Z]|[⑴-⒇])*$") & ~F.startswith(para, F.concat(no, F.lit(".")))
+    short = ~F.contains(para, F.lit(".")) & para.rlike(r"(?U)^\d+(?:[A-Z]|[⑴-⒇])*$")
     return F.when(short, F.concat(no, F.lit("."), para)).otherwise(para)
 
 
@@ -87,13 +87,21 @@ def term_key(number: Column, term: Column) -> Column:
     return F.concat(section_key(number), F.lit(":"), clean_name(normalize_ref(term)))
 
 
+_MARK = "\u0001"
+
+
 def _matches(text: Column, pattern: str, n: int, use) -> Column:
     """use(struct of g1..gn) of each match, one list; a group that took no part is ''.
 
     The text is searched once. Groups are read from each match alone, where the pattern takes the same way as in the text: it
     looks at nothing behind a match but the end of a number, which the end of the match is too.
     """
-    groups = lambda m: F.struct(*(F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, n + 1)))
+    # one search of a match gives all its groups: they are put behind a mark each, and there is no mark in what is searched
+    marked = "".join(f"{_MARK}${i}" for i in range(1, n + 1))
+    split = lambda m: F.split(F.regexp_replace(m, pattern, marked), _MARK)
+    by_search = lambda m: F.struct(*(F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, n + 1)))
+    by_mark = lambda m: bound(split(m), lambda a: F.struct(*(F.get(a, F.lit(i)).alias(f"g{i}") for i in range(1, n + 1))))
+    groups = lambda m: F.when(F.contains(m, F.lit(_MARK)), by_search(m)).otherwise(by_mark(m))
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: bound(groups(m), use)))
 
 
@@ -111,13 +119,19 @@ def _keys(m: Column, key) -> Column:
 
 
 def extract_refs(*texts: Column) -> Column:
-    """Distinct keys in order: of each text all standards, then term sections, then chapters. Null and empty texts have none."""
-    parts = []
-    for text in texts:
-        t = normalize_ref(F.coalesce(text, F.lit("")))
-        parts.append(_matches(t, STANDARD, 4, lambda m: _keys(m, ref_key)))
-        parts.append(F.transform(F.regexp_extract_all(t, F.lit(TERM_SECTION), F.lit(1)), section_key))
-        parts.append(_matches(t, CHAPTER, 4, lambda m: _keys(m, chapter_key)))
+    """Distinct keys in order: of each text all standards, then term sections, then chapters. Null and empty texts have none.
+
+    A text is normalised once, and searched only for what its plain characters leave possible.
+    """
+    empty = F.array().cast("array<string>")
+
+    def found(t: Column) -> Column:
+        standards = F.when(F.contains(t, F.lit("호")), _matches(t, STANDARD, 4, lambda m: _keys(m, ref_key))).otherwise(empty)
+        terms = F.when(F.contains(t, F.lit("용어의 정의")), F.transform(F.regexp_extract_all(t, F.lit(TERM_SECTION), F.lit(1)), section_key)).otherwise(empty)
+        chapters = F.when(F.contains(t, F.lit("장")), _matches(t, CHAPTER, 4, lambda m: _keys(m, chapter_key))).otherwise(empty)
+        return F.concat(standards, terms, chapters)
+
+    parts = [bound(normalize_ref(F.coalesce(text, F.lit(""))), found) for text in texts]
     return F.array_distinct(F.concat(*parts))
 
 
@@ -167,10 +181,19 @@ PRECISE = ("장문단", "용어섹션", "문단")
 
 
 def kind_of(key: Column) -> Column:
-    out = F.lit("기타")
-    for name, pattern in reversed(KINDS):
-        out = F.when(key.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """The first kind whose pattern fits; chapters, standards and other keys are told apart first."""
+    kinds = dict(KINDS)
+
+    def among(*names: str) -> Column:
+        out = F.lit(names[-1])
+        for name in reversed(names[:-1]):
+            out = F.when(key.rlike(kinds[name]), F.lit(name)).otherwise(out)
+        return out
+
+    names = [name for name, _ in KINDS]
+    at = names.index("단독장") + 1
+    chapter, standard = key.rlike(kinds["단독장"]), key.rlike(kinds["단독호"])
+    return F.when(chapter, among(*names[:at])).when(standard, among(*names[at:])).otherwise("기타")
 
 
 def is_precise(kind: Column) -> Column:
