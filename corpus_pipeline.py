@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.base import documents, id_key, shared_folder
+from folioscope.llm.base import documents, id_key, let_go, shared_folder
 from folioscope.llm.decontam import clean
 from folioscope.llm.minhash import near_duplicates, text_id
 from folioscope.llm.mixing import mixed_documents
@@ -75,7 +75,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over `documents`.
 
-    The rows of a stage are deleted when those of the next one are written. The last stage writes its files before it returns and
+    The rows of a stage are deleted when those of the next one are written, its shuffle files when its own are. The last stage writes its files before it returns and
     reads nothing else afterwards.
     """
     docs, folder, before = documents(spark, sf_dir), shared_folder(spark, "pipeline"), None
@@ -86,6 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             _delete(spark, before)
         before = at
+        let_go(spark)
     out = STAGES[-1][1](spark, docs, sf_dir)
     _delete(spark, folder)
     return out

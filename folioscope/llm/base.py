@@ -59,6 +59,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects its garbage, and a driver that only plans many small jobs may never do that by itself, so that
+    their files would pile up to the end. Files of frames still in use stay.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

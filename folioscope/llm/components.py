@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import looked_up, saved
+from .base import let_go, looked_up, saved
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b of longs, in either order, self-links ignored).
 
     component is the smallest node that can be reached. Nulls are ignored; an empty table gives an empty one. Lineage is cut
-    with checkpoint() after each round, so a lost executor costs one round at most.
+    with checkpoint() after each round, so a lost executor costs one round at most; shuffle files of the rounds before are deleted.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     total = edges.count()
@@ -41,6 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = saved(_small_star(_large_star(edges, total), 2 * total))
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         total = mark[0]
+        let_go(edges.sparkSession)
         if mark == before:
             break
         before = mark

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, looked_up, mixed, runs, saved, tiled
+from .base import NULL_ID, WordHash, arrow_rows, clustered, documents, from_key, grams, id_key, let_go, looked_up, mixed, runs, saved, tiled
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -196,12 +196,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets = tiled(members, "key", "doc", bucket, classes * bands).select("key", "tile", "doc").join(low, "doc")
     near = clustered(buckets, "key", "tile").mapInArrow(lambda it: _bucket_links(it, floor), "a long, b long")
     clusters = components(near)
+    let_go(spark)  # the buckets' files
     # one text of each class in a tentative cluster, sent once, or to the tiles of a large cluster
     sized = saved(clusters.join(reps.select("node", "n", "doc", "t"), "node").withColumnRenamed("component", "cluster"))
     placed = tiled(sized, "cluster", "node", block, classes, F.col("n")).select("doc", "t", "cluster", "tile", "node")
     texts = keyed.join(placed, ["doc", "t"]).dropDuplicates(["doc", "t", "tile"]).select("cluster", "tile", F.col("node").alias("doc"), "text")
     exact = clustered(texts, "cluster", "tile").mapInArrow(lambda it: _exact_links(it, k, percent), "a long, b long")
     groups = components(exact).withColumnRenamed("component", "g")
+    let_go(spark)  # those of the texts in tiles
     named = reps.select("c1", "c2", "node", F.col("doc").alias("rep")).join(groups, "node", "left").select("c1", "c2", "rep", F.coalesce("g", "node").alias("g"))
     rows_in = sets.count()
     found = saved(sets.drop("sig").join(named, ["c1", "c2"], "left"))  # no class, no group: an empty set
@@ -211,6 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     tops = components(looked_up(owned, shared, "doc", rows_in).select(F.col("g").alias("a"), "b")).select(F.col("node").alias("g"), F.col("component").alias("top"))
     firsts = saved(named.groupBy("g").agg(F.min("rep").alias("rep")).join(tops, "g", "left").select("g", "rep", F.coalesce("top", "g").alias("top")))
     heads = looked_up(firsts.select("g", "top"), firsts.groupBy("top").agg(F.min("rep").alias("component"), F.count("*").alias("n_")), "top", classes).select("g", "component")
+    let_go(spark)
     out = found.join(heads, "g", "left")
     return out.select(
         F.col("doc").alias("doc_key"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), F.coalesce("rep", "doc").alias("class_id"), F.col("g").alias("text_group"), F.col("t").alias("text_id")
