@@ -230,18 +230,17 @@ class TokenFile:
         return np.frombuffer(self.file.read_at((end - start) * w, len(MAGIC) + start * w), self.dtype)
 
 
-class WordIds:
-    """Ids of whole texts by Tokenizer.encode, called once for each word that is not remembered.
+class Cores:
+    """Ids of words by Tokenizer.encode, in two generations of at most `most` words met last.
 
-    A word is what stands between ASCII white space. Cutting there changes nothing for a tokenizer that drops white space, splits
-    by a pattern that never crosses it and normalises without looking across it. Words of Latin-1 characters are encoded many at a
-    time, blanks between them, and the library's offsets tell whose ids are whose; others, whose normal form may have other
-    lengths, are texts of their own in a batch. Words are remembered for one task, so that idle worker processes hold none.
+    Words of Latin-1 characters are encoded many at a time, blanks between them, and the library's offsets tell whose ids are whose;
+    others, whose normal form may have other lengths, are texts of their own in a batch.
     """
 
-    def __init__(self, tokenizer: str, width: int, most: int = 250_000) -> None:
+    def __init__(self, tokenizer: str, width: int, most: int = 500_000) -> None:
         self.tokenizer, self.dtype = _tokenizer(tokenizer), np.dtype(f"<u{width}")
         self.most, self.new, self.old = most, {}, {}
+        self.plain = _cut_at_marks(tokenizer)
 
     def _together(self, words: list[bytes] | list[str], text: str) -> Iterator[bytes]:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -265,6 +264,47 @@ class WordIds:
             for (word, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
                 self.new[word] = np.array(e.ids, self.dtype).tobytes()
 
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word and the mark behind it, which have the ids of both one after the other."""
+        mark = b""
+        if self.plain:
+            if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
+                word, mark = word[:-1], word[-1:]
+            if word.isascii() and b"<" not in word:
+                word = word.lower()
+        return word, mark
+
+    def of(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, as bytes."""
+        if len(self.new) > self.most:  # what has not been met since the last turn goes
+            self.old, self.new = self.new, {}
+        parts = list(map(self.cut, words))
+        new = {x for part in parts for x in part}.difference(self.new)
+        known = new.intersection(self.old)
+        self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        self._learn(list(new - known))
+        get = self.new.__getitem__
+        return (get(core) + get(mark) if mark else get(core) for core, mark in parts)
+
+
+@functools.cache
+def _cores(tokenizer: str, width: int) -> Cores:
+    """One per worker process, so that later tasks know the words of earlier ones."""
+    return Cores(tokenizer, width)
+
+
+class WordIds:
+    """Ids of whole texts by Tokenizer.encode, called once for each word that is not remembered.
+
+    A word is what stands between ASCII white space. Cutting there changes nothing for a tokenizer that drops white space, splits
+    by a pattern that never crosses it and normalises without looking across it. Where :func:`_cut_at_marks` allows it, a word is
+    looked up without the comma or full stop behind an ASCII letter, and ASCII words in lower case. Words as they stand are remembered
+    for one task, what was encoded by the worker process.
+    """
+
+    def __init__(self, tokenizer: str, width: int, most: int = 250_000) -> None:
+        self.cores, self.most, self.new, self.old = _cores(tokenizer, width), most, {}, {}
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
         if len(self.new) > self.most:  # two generations: what has not been met since the last turn goes
@@ -273,7 +313,8 @@ class WordIds:
         new = set().union(*split).difference(self.new)
         known = new.intersection(self.old)
         self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        self._learn(list(new - known))
+        fresh = list(new - known)
+        self.new.update(zip(fresh, self.cores.of(fresh), strict=True))
         return (b"".join(map(self.new.__getitem__, words)) for words in split)
 
 
@@ -296,6 +337,18 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def _cut_at_marks(path: str) -> bool:
+    """Whether the tokenizer is of the kind that lower-cases after composing, and never keeps a letter and a mark together."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [[x["type"] for x in (spec[part] or {}).get(part + "s", (spec[part] or {}).get("pretokenizers", []))] for part in ("normalizer", "pre_tokenizer")]
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex") if kinds[1] else None
+    known = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: what the rule was derived from
+    added = all(x["content"].startswith("<") and not x["normalized"] and not re.search("[,.]", x["content"]) for x in spec["added_tokens"])
+    return known and added and kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+
+
 def id_width(tokenizer: str) -> int:
     return 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 2**16 else 4
 

@@ -117,3 +117,15 @@ def test_token_files(spark, odd_docs, no_docs):
 def test_query_5_digest(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     check(tokens.op5_token_files(spark, "/root/testdata/sf0.001").collect(), [(r.doc_id, r.text) for r in rows])
+
+
+def test_a_word_in_another_case_or_before_a_mark_is_not_encoded_again():
+    t = tokens._tokenizer(WORDS)
+    cores = tokens.Cores(WORDS, 2)
+    words = [b"Folio", b"folio", b"folio,", b"FOLIO."]
+    want = [np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in words]
+    assert list(cores.of(words)) == want and set(cores.new) == {b"folio", b",", b".", b""}
+    odd = ["J̌", "́.", "é,", "a<|endoftext|>b.", "a<|ENDoftext|>.", "IT'S.", "...a...", "a,,", "1.a.", "日a."]
+    want = [np.array(t.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in odd]
+    assert list(cores.of([w.encode() for w in odd])) == want
+    assert tokens._cores(WORDS, 2) is tokens._cores(WORDS, 2)
