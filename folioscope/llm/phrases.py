@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .base import documents, looked_up, mixed, saved, shuffle_partitions
 from .spans import LOWER, column_bytes, cut_out, portions, span_hashes, spans
 
-#: Words of a shard, some 80 bytes of memory each.
-SHARD_WORDS = 1 << 21
+#: Words of a shard, under 75 bytes of memory each.
+SHARD_WORDS = 5 << 20
+#: Places that are worked on at a time where whole shards need not be.
+STEP = 1 << 18
 #: Bits of the map of keys that may be frequent: 16 MB. A fuller map lets more rare phrases be counted exactly; it loses none.
 MAP_BITS = 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +26,27 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
+def _grouped(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of the distinct keys in their order, the number of each place's key among them, and their counts, as np.unique
+    gives them. keys: 0 to `below` - 1 as int64, which are overwritten where a key and its place fit into 64 bits."""
+    n, shift = len(keys), len(keys).bit_length()
+    if below << shift >= 1 << 63:
+        return tuple(x.astype(np.int32) for x in np.unique(keys, return_index=True, return_inverse=True, return_counts=True)[1:])
+    keys <<= shift
+    for at in range(0, n, STEP):
+        keys[at : at + STEP] |= np.arange(at, min(n, at + STEP))
+    keys.sort()
+    place = np.empty(n, np.int32)
+    np.bitwise_and(keys, (1 << shift) - 1, out=place, casting="unsafe")
+    keys >>= shift
+    new = np.ones(n, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new).astype(np.int32)
+    number = np.empty(n, np.int32)
+    number[place] = np.cumsum(new, dtype=np.int32) - 1
+    return place[starts], number, np.diff(starts, append=np.int32(n))
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton over word codes, of the phrases of at most `depth` words.
 
@@ -34,20 +57,24 @@ class SuffixAutomaton:
     """
 
     def __init__(self, words: np.ndarray, reach: np.ndarray, depth: int) -> None:
-        """words: a code of each place; reach: the words of the longest phrase that may end there."""
-        _, first, code, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
-        self.levels = [{"end": first, "count": count, "link": np.zeros(len(first), np.int64), "shortest": np.ones(len(first), np.int32)}]
+        """words: a code of each place, not negative; reach: the words of the longest phrase that may end there."""
+        first, code, count = _grouped(words.astype(np.int64), int(words.max(initial=0)) + 1)
+        self.levels = [{"end": first, "count": count, "link": np.zeros(len(first), np.int32), "shortest": np.ones(len(first), np.int32)}]
         left, width = code, len(first)
-        ends = np.arange(len(words))
+        ends = np.arange(len(words), dtype=np.int32)
         for d in range(2, depth + 1):
             longer = reach[ends] >= d
             ends, code = ends[longer], code[longer]
             below = self.levels[-1]
-            _, first, inverse, count = np.unique(code * width + left[ends - d + 1], return_index=True, return_inverse=True, return_counts=True)
+            keys = code.astype(np.int64)
+            keys *= width
+            keys += left[ends - (d - 1)]
+            first, number, count = _grouped(keys, width * len(below["end"]))
+            del keys
             link = code[first]
             shortest = np.where(below["count"][link] == count, below["shortest"][link], d).astype(np.int32)
             self.levels.append({"end": ends[first], "count": count, "link": link, "shortest": shortest})
-            code = inverse
+            code = number
 
     def states(self, d: int) -> np.ndarray:
         """The nodes of depth d that no longer node shares its end positions with."""
@@ -58,16 +85,20 @@ class SuffixAutomaton:
         return np.flatnonzero(longest)
 
 
-def _shards(batches, seed: int, most: int, texts: bool) -> Iterator[list[tuple]]:
-    """Shards of about `most` words in parts: hashes (with the language), whether a word follows one in its piece, and if `texts` are
-    wanted the bytes, starts, ends, row and the rows' languages."""
-    held, count = [], 0
-    for p in portions(batches):
+class _Shard:
+    """Hashes of about as many words as asked for (with the language), whether each follows the one before it in its piece, the words
+    of each language, and with a map of frequent words their hashes, languages and bytes, once for each portion that has them."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count, self.totals, self.named = 0, {}, []
+
+    def put(self, p: pa.RecordBatch, seed: int, bits: np.ndarray | None) -> None:
         raw, rows = column_bytes(p["text"])
         kind = _KIND[raw]
         starts, ends = spans(kind == 0, rows[:-1][rows[:-1] < len(raw)])
         if not len(starts):
-            continue
+            return
         low = LOWER[raw]
         row = np.searchsorted(rows, starts, "right") - 1
         langs = p["lang"].to_pylist()
@@ -75,14 +106,41 @@ def _shards(batches, seed: int, most: int, texts: bool) -> Iterator[list[tuple]]
         broken = np.cumsum(kind == 2, dtype=np.int32)[starts]
         joined = np.zeros(len(starts), bool)
         joined[1:] = (broken[1:] == broken[:-1]) & (row[1:] == row[:-1])
-        part = mixed(span_hashes(low, starts, ends) * _ODD + own[row]), joined
-        held.append((*part, low, starts.astype(np.int32), ends.astype(np.int32), row.astype(np.int32), langs) if texts else part)
-        count += len(starts)
-        if count >= most:
-            yield held
-            held, count = [], 0
-    if held:
-        yield held
+        h = mixed(span_hashes(low, starts, ends) * _ODD + own[row])
+        self.parts.append((h, joined))
+        self.count += len(h)
+        if bits is None:
+            return
+        for i, n in zip(*np.unique(row, return_counts=True), strict=True):
+            self.totals[langs[i]] = self.totals.get(langs[i], 0) + int(n)
+        some = np.flatnonzero(_frequent(bits, h))
+        some = some[np.unique(h[some], return_index=True)[1]]
+        self.named.append((h[some], pa.array([langs[i] for i in row[some]], pa.string()), cut_out(low, starts[some], ends[some])))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, and which of them follow another; they are handed over."""
+        whole = tuple(np.concatenate([x[i] for x in self.parts]) for i in (0, 1))
+        self.parts.clear()
+        return whole
+
+    def names(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Hashes of the frequent words in ascending order, with the language and the bytes of where each stands first."""
+        h, first = np.unique(np.concatenate([x[0] for x in self.named]), return_index=True)
+        lang, word = (pa.concat_arrays([x[i] for x in self.named]).take(pa.array(first)) for i in (1, 2))
+        self.named.clear()
+        return h, lang, word
+
+
+def _shards(batches, seed: int, most: int, bits: np.ndarray | None = None) -> Iterator[_Shard]:
+    """Shards of about `most` words, with words' names if a map of frequent ones is given."""
+    shard = _Shard()
+    for p in portions(batches):
+        shard.put(p, seed, bits)
+        if shard.count >= most:
+            yield shard
+            shard = _Shard()
+    if shard.count:
+        yield shard
 
 
 def _key(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -105,30 +163,58 @@ def _triples(bits: np.ndarray, h: np.ndarray, joined: np.ndarray) -> tuple[np.nd
     return two, three, _key(pair, h)
 
 
+def _overlapping(h: np.ndarray, joined: np.ndarray, before: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Both in slices of STEP places, with `before` places in front of them, or what there is; the third is how many."""
+    for at in range(0, len(h), STEP):
+        lo = max(0, at - before)
+        yield h[lo : at + STEP], joined[lo : at + STEP], at - lo
+
+
+def _sums(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the distinct keys, which are sorted in place."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new)
+    for at in range(0, len(starts), 1 << 17):
+        begin = starts[at : at + (1 << 17)]
+        end = starts[at + len(begin)] if at + len(begin) < len(starts) else len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[begin].view(np.int64)), pa.array(np.diff(begin, append=end))], ["key", "n"])
+
+
 def _upper_counts(batches, seed: int, most: int, shared: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """(key, n) of the words and word pairs of each shard; with a map of those that are frequent, of three words in which both
     pairs are. Two of one key only raise each other's count."""
-    for held in _shards(batches, seed, most, texts=False):
-        h, joined = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        held.clear()
+    for shard in _shards(batches, seed, most):
+        h, joined = shard.words()
+        keys, n = np.empty(len(h), np.uint64), 0
+        for part, follows, skip in _overlapping(h, joined, 3):
+            if shared is None:
+                found = _key(part, part)[skip:][follows[skip:]]
+            else:
+                _, three, key = _triples(shared.value, part, follows)
+                found = key[skip:][three[skip:]]
+            keys[n : n + len(found)] = found
+            n += len(found)
+        yield from _sums(keys[:n])
+        del keys
         if shared is None:
-            groups = [h, _key(h, h)[joined]]
-        else:
-            _, three, keys = _triples(shared.value, h, joined)
-            groups = [keys[three]]
-        for keys in groups:
-            u, n = np.unique(keys, return_counts=True)
-            for at in range(0, len(u), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], ["key", "n"])
+            yield from _sums(h)
 
 
 def _reach(bits: np.ndarray, h: np.ndarray, joined: np.ndarray, depth: int) -> np.ndarray:
     """The words of the longest phrase that ends at each place and has only words, pairs and triples that may be frequent."""
-    two, three, keys = _triples(bits, h, joined)
-    three &= _frequent(bits, keys)
-    place = np.arange(len(h))
-    since = place - np.maximum.accumulate(np.where(three, -1, place))  # triples in a row
-    return np.minimum(depth, np.where(three, 2 + since, 1 + two))
+    out = np.empty(len(h), np.int32)
+    at = 0
+    for part, follows, skip in _overlapping(h, joined, depth):
+        two, three, keys = _triples(bits, part, follows)
+        three &= _frequent(bits, keys)
+        place = np.arange(len(part))
+        since = place - np.maximum.accumulate(np.where(three, -1, place))  # triples in a row, up to `depth` of them
+        reach = np.minimum(depth, np.where(three, 2 + since, 1 + two))[skip:]
+        out[at : at + len(reach)] = reach
+        at += len(reach)
+    return out
 
 
 def _fixed(values: np.ndarray) -> pa.BinaryArray:
@@ -147,35 +233,29 @@ def _exact_counts(batches, seed: int, most: int, depth: int, shared: Broadcast)
         columns = [key, pa.array(shortest, pa.int32()), lang or nulls.cast(pa.string()), word or nulls.cast(pa.binary()), pa.array(n, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["key", "shortest", "lang", "word", "n"])
 
-    for held in _shards(batches, seed, most, texts=True):
-        totals: dict[str, int] = {}
-        for *_, row, langs in held:
-            for i, n in zip(*np.unique(row, return_counts=True), strict=True):
-                totals[langs[i]] = totals.get(langs[i], 0) + int(n)
+    for shard in _shards(batches, seed, most, bits):
+        totals = shard.totals
         yield rows(pa.array([b""] * len(totals), pa.binary()), [0] * len(totals), list(totals.values()), pa.array(list(totals), pa.string()))
-        h, joined = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        hashes, lang, word = shard.names()
+        h, joined = shard.words()
+        if not len(hashes):
+            continue
         reach = _reach(bits, h, joined, depth)
         some = np.flatnonzero(_frequent(bits, h))
-        if not len(some):
-            continue
-        words = h[some]
-        run = np.arange(len(some)) - some  # equal for neighbours in the text
-        since = np.arange(len(some)) - np.maximum.accumulate(np.where(np.diff(run, prepend=run[0] + 1) != 0, np.arange(len(some)), 0))
-        tree = SuffixAutomaton(words, np.minimum(reach[some], 1 + since), depth)
-        single = tree.levels[0]
-        base = 0
-        for _, _, low, starts, ends, row, langs in held:
-            mine = np.flatnonzero((some[single["end"]] >= base) & (some[single["end"]] < base + len(starts)))
-            at = some[single["end"][mine]] - base
-            lang = pa.array([langs[i] for i in row[at]], pa.string())
-            if len(mine):
-                yield rows(_fixed(words[single["end"][mine], None]), np.ones(len(mine), np.int32), single["count"][mine], lang, cut_out(low, starts[at], ends[at]))
-            base += len(starts)
+        words = np.concatenate([np.searchsorted(hashes, h[some[at : at + STEP]]).astype(np.int32) for at in range(0, len(some), STEP)])
+        del h, joined
+        follows = np.diff(some, prepend=-2) == 1  # the one before it in the text may be frequent too
+        place = np.arange(len(some), dtype=np.int32)
+        most_words = 1 + place - np.maximum.accumulate(np.where(follows, np.int32(0), place))
+        reach = np.minimum(reach[some], most_words).astype(np.int8)
+        del some, follows, place, most_words
+        tree = SuffixAutomaton(words, reach, depth)
+        yield rows(_fixed(hashes[:, None]), np.ones(len(hashes), np.int32), tree.levels[0]["count"], lang, word)
         for d in range(2, depth + 1):
             level, every = tree.levels[d - 1], tree.states(d)
             for at in range(0, len(every), 1 << 16):
                 s = every[at : at + (1 << 16)]
-                spelled = np.stack([words[level["end"][s] - k] for k in range(d - 1, -1, -1)], axis=1)
+                spelled = np.stack([hashes[words[level["end"][s] - k]] for k in range(d - 1, -1, -1)], axis=1)
                 yield rows(_fixed(spelled), np.maximum(level["shortest"][s], 2), level["count"][s])
 
 

@@ -112,3 +112,47 @@ def test_query_equals_its_sql(spark):
     want = con.sql(phrases.OP11_SQL)
     got = phrases.op11_collocations(spark, data).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) != []
+
+
+def test_keys_are_grouped_as_by_unique():
+    r = np.random.default_rng(4)
+    for below in (1, 7, 1 << 20, 1 << 60):  # the last does not fit beside its place
+        for n in (0, 1, 500):
+            keys = r.integers(0, below, n)
+            want = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)[1:]
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(phrases._grouped(keys.copy(), below), want, strict=True))
+
+
+def test_slices_do_not_change_counts(monkeypatch):
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"lang": [x or "und" for x, _ in texts(8, 200)], "text": [(t or "").encode() for _, t in texts(8, 200)]})
+    bits = np.random.default_rng(1).integers(0, 256, 1 << 13, np.uint8) | np.uint8(0x77)
+    shared = type("Shared", (), {"value": bits})
+
+    def found():
+        whole = [x for r in (phrases._upper_counts([b], 0, 1 << 22, None), phrases._upper_counts([b], 0, 1 << 22, shared), phrases._exact_counts([b], 0, 1 << 22, 4, shared)) for x in r]
+        return sorted(repr(row) for x in whole for row in x.to_pylist())
+
+    want = found()
+    monkeypatch.setattr(phrases, "STEP", 5)
+    assert found() == want
+
+
+def test_a_shard_takes_little_memory_a_word():
+    """Texts are not held until the shard is counted; 238 bytes a word were taken before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    vocabulary = np.array([f"word{i}" for i in range(3000)])
+    n = 1_500_000
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * 15, "text": [" ".join(vocabulary[r.zipf(1.3, n // 300) % 3000]).encode() for _ in range(15)]}) for _ in range(20)]
+    shared = type("Shared", (), {"value": np.full(1 << 13, 255, np.uint8)})
+    tracemalloc.start()
+    for _ in phrases._exact_counts(iter(batches), 0, n, 4, shared):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * n
