@@ -1,8 +1,9 @@
 """A stored lexical index: postings in blocks with their greatest weights, so that a query skips blocks that cannot reach its k best.
 
-Documents are indexed where they lie: each task cuts its documents into blocks and writes the postings of all of them, its part, sorted
-by term as one file of one row group. So building shuffles no postings, a task of a search has a whole part at a time, Parquet's page
-index leads it to the terms that are asked for, and scores are added up in place. What is shuffled is k rows a query and task.
+Documents are indexed where they lie: each task cuts its documents into blocks, a bounded number of which are a run, and writes the
+postings of all of them, its part, run by run and there sorted by term, as one file of one row group. So building shuffles no postings,
+a task of a search holds the asked postings of one run at a time, whatever its part's size, Parquet's page index leads it to the terms
+that are asked for, and scores are added up in place. What is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,14 @@ from .shared import saved
 
 #: Documents of a block.
 BLOCK = 1024
+#: Blocks of a run, and its words if that is less: what a search holds at a time.
+RUN_BLOCKS, RUN_WORDS = 16, 2_000_000
 #: Questions that one pass over the index answers.
 MOST_QUESTIONS = 2_000
 
 
 _SCHEMAS = {
-    "postings": "part int, block int, term string, n int, best double, ids array<long>, weights array<double>",
+    "postings": "part int, run int, block int, term string, n int, best double, ids array<long>, weights array<double>",
     "terms": "term string, idf double",
     "documents": "id long",
 }
@@ -33,7 +37,7 @@ _SCHEMAS = {
 
 @dataclass
 class LexicalIndex:
-    """postings: part, block, term, n, best, ids, weights; terms: term, idf; documents: id. Weights are without the idf."""
+    """postings: part, run, block, term, n, best, ids, weights; terms: term, idf; documents: id. Weights are without the idf."""
 
     folder: str
 
@@ -45,37 +49,48 @@ def _postings(batches, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], s
     """A row a term of each block of `size` documents: rows of (id, w) come, w the words of a document."""
     from pyspark import TaskContext
 
-    part, block = TaskContext.get().partitionId(), 0
-    ids: list[int] = []
-    lengths: list[int] = []
-    words: list[str] = []
+    part, run, block, in_run = TaskContext.get().partitionId(), 0, 0, 0
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, numbers of words, words
+    count = size_of_words = 0
 
     def rows() -> pa.RecordBatch:
-        codes: dict[str, int] = {}
-        code = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
-        dl = np.array(lengths, np.int64)
+        words = pa.concat_arrays([x for *_, x in held]).dictionary_encode()
+        codes, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        ids, dl = (np.concatenate([x[i] for x in held]) for i in (0, 1))
         pair, tf = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), dl), return_counts=True)
         term, doc = np.divmod(pair, len(ids))
         w = weight(tf, dl[doc])
         first = np.searchsorted(term, np.arange(len(codes)))
         offsets = pa.array(np.append(first, len(term)).astype(np.int32))
         n = np.diff(np.append(first, len(term)))
-        lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.array(ids, np.int64)[doc], w))
-        same = (pa.array(np.full(len(codes), x, np.int32)) for x in (part, block))
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[doc], w))
+        same = (pa.array(np.full(len(codes), x, np.int32)) for x in (part, run, block))
         best = np.maximum.reduceat(w, first) if len(first) else w
-        return pa.RecordBatch.from_arrays([*same, pa.array(list(codes), pa.string()), pa.array(n.astype(np.int32)), pa.array(best), *lists], ["part", "block", "term", "n", "best", "ids", "weights"])
+        return pa.RecordBatch.from_arrays([*same, codes.cast(pa.string()), pa.array(n.astype(np.int32)), pa.array(best), *lists], ["part", "run", "block", "term", "n", "best", "ids", "weights"])
 
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part_of = b.slice(at, 64)
-            for i, w in zip(part_of["id"].to_pylist(), part_of["w"].to_pylist(), strict=True):
-                ids.append(i), lengths.append(len(w or ())), words.extend(w or ())
-                if len(ids) == size or len(words) >= 1000 * size:
-                    yield rows()
-                    ids.clear(), lengths.clear(), words.clear()
-                    block += 1
-    if ids:
+    def closed() -> Iterator[pa.RecordBatch]:
+        nonlocal run, block, in_run, count, size_of_words
+        if in_run and (block % RUN_BLOCKS == 0 or in_run + size_of_words > RUN_WORDS):
+            run, in_run = run + 1, 0
         yield rows()
+        block, in_run = block + 1, in_run + size_of_words
+        held.clear()
+        count = size_of_words = 0
+
+    for b in batches:
+        lengths = pc.fill_null(pc.list_value_length(b["w"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, words, total = b["id"].to_numpy(), b["w"].flatten(), np.append(0, np.cumsum(lengths))
+        at = 0
+        while at < b.num_rows:
+            # up to the block's last document, or to the one that makes it long
+            long = int(np.searchsorted(total, total[at] + 1000 * size - size_of_words))
+            to = max(at + 1, min(b.num_rows, at + size - count, long))
+            held.append((ids[at:to], lengths[at:to], words.slice(total[at], total[to] - total[at])))
+            count, size_of_words, at = count + to - at, size_of_words + int(total[to] - total[at]), to
+            if count == size or size_of_words >= 1000 * size:
+                yield from closed()
+    if count:
+        yield from closed()
 
 
 def build_postings(corpus: DataFrame, folder: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokenize=tokens, block: int = BLOCK) -> LexicalIndex:
@@ -95,7 +110,7 @@ def build_postings(corpus: DataFrame, folder: str, k1: float = 1.5, b: float = 0
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
     rows = words.mapInArrow(lambda it: _postings(it, weight, block), _SCHEMAS["postings"])
-    rows.sortWithinPartitions("term", "block").write.option("parquet.block.size", 1 << 30).parquet(f"{folder}/postings")
+    rows.sortWithinPartitions("run", "term", "block").write.option("parquet.block.size", 1 << 30).parquet(f"{folder}/postings")
     index = LexicalIndex(folder)
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = saved(index.read(spark, "postings").groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", raw))
@@ -121,7 +136,7 @@ class _Best:
 
 
 def _score_part(lists: dict[int, dict[str, tuple]], asked: list[dict[str, float]], by_term: dict[str, list[int]], best: _Best) -> int:
-    """Scores one part's blocks for every question, those with the greatest bounds first; returns how many were skipped."""
+    """Scores one run's blocks for every question, those with the greatest bounds first; returns how many were skipped."""
     bounds: dict[int, list[tuple[float, int]]] = {}
     for block, terms in lists.items():
         sums: dict[int, float] = {}
@@ -150,17 +165,18 @@ def _search(batches, sent, k: int) -> Iterator[pa.RecordBatch]:
     for q, terms in enumerate(asked):
         for t in terms:
             by_term.setdefault(t, []).append(q)
-    best, part, lists = _Best(k), None, {}
+    best, run, lists = _Best(k), None, {}
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             rows = b.slice(at, 1024)
             ids, weights = rows["ids"], rows["weights"]
-            for i, (p, term, block, top) in enumerate(zip(*(rows[c].to_pylist() for c in ("part", "term", "block", "best")), strict=True)):
-                if p != part:
+            places = zip(*(rows[c].to_pylist() for c in ("part", "run")), strict=True)
+            for i, (now, term, block, top) in enumerate(zip(places, *(rows[c].to_pylist() for c in ("term", "block", "best")), strict=True)):
+                if now != run:
                     _score_part(lists, asked, by_term, best)
-                    part, lists = p, {}
-                if term in by_term:
-                    lists.setdefault(block, {})[term] = (top, ids[i].values.to_numpy(zero_copy_only=False), weights[i].values.to_numpy(zero_copy_only=False))
+                    run, lists = now, {}
+                if term in by_term:  # copies, as a view would keep its whole batch
+                    lists.setdefault(block, {})[term] = (top, np.array(ids[i].values), np.array(weights[i].values))
     _score_part(lists, asked, by_term, best)
     rows = [(qids[q], who, -s) for q, kept in best.of.items() for s, who in kept]
     columns = list(zip(*rows, strict=True)) or [()] * 3
@@ -194,7 +210,7 @@ def postings_topk(queries: DataFrame, index: LexicalIndex, k: int, tokenize: Col
     for qids, asked in _question_blocks(queries, index, tokenize, most):
         sent = spark.sparkContext.broadcast((qids, asked))
         terms = sorted({t for x in asked for t in x})
-        rows = postings.where(F.col("term").isin(terms)).select("part", "term", "block", "best", "ids", "weights")
+        rows = postings.where(F.col("term").isin(terms)).select("part", "run", "term", "block", "best", "ids", "weights")
         out = out.unionByName(rows.mapInArrow(lambda it, sent=sent: _search(it, sent, k), "qid long, id long, score double"))
     rest = queries.select("qid").distinct().crossJoin(F.broadcast(index.read(spark, "documents").select("id").orderBy("id").limit(2 * k)))  # 2k ids
     both = out.withColumn("hit", F.lit(True)).unionByName(rest.select("qid", "id", F.lit(0.0).alias("score"), F.lit(False).alias("hit")))

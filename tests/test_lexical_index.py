@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 from folioscope.operators import lexical_index as L
 from folioscope.operators import retrieval as R
@@ -60,3 +62,21 @@ def test_no_documents_and_no_questions(spark, texts):
     index = L.build_postings(docs.where("false"), shared_folder(spark, "t"))
     assert rows(L.postings_topk(q, L.LexicalIndex(index.folder), 3)) == []
     assert rows(L.postings_topk(q.where("false"), L.build_postings(docs, shared_folder(spark, "t")), 3)) == []
+
+
+def test_a_search_holds_one_run_at_a_time(spark, texts, monkeypatch):
+    q, docs = texts
+    words = docs.where("id < 400").coalesce(1).select("id", L.tokens("text").alias("w"))
+    batch = pa.Table.from_batches(words.toArrow().to_batches()).combine_chunks().to_batches()[0]
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    built = pa.Table.from_batches(L._postings([batch], lambda tf, dl: tf.astype(float), 10))
+    held = []
+    monkeypatch.setattr(L, "_score_part", lambda lists, *_: held.append(set(lists)))
+    asked = [{t: 1.0 for t in set(built["term"].to_pylist())}]
+    rows = built.sort_by([(c, "ascending") for c in ("run", "term", "block") if c in built.column_names]).to_batches()
+    assert not list(L._search(rows, type("Sent", (), {"value": ([1], asked)})(), 3))[0].num_rows
+    blocks = [b for b in held if b]
+    assert sorted(x for b in blocks for x in b) == list(range(40)) and max(map(len, blocks)) == L.RUN_BLOCKS
+    monkeypatch.setattr(L, "RUN_WORDS", 1)
+    few = pa.Table.from_batches(L._postings([batch], lambda tf, dl: tf.astype(float), 10))
+    assert few["run"].to_pylist() == few["block"].to_pylist()
