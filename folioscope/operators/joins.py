@@ -72,13 +72,22 @@ def key_parts(key: Column) -> Column:
     return bound(bound(F.regexp_extract(key, r"문단 (.+)$", 1), split_label), lambda s: F.struct(ho.alias("ho"), s["prefix"].alias("prefix"), s["n"].alias("n"), s["tail"].alias("tail")))
 
 
-def with_neighbors(keys: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, ref_key): the keys of each query and those next to them (number one less or more) that the corpus has."""
+#: Keys, before their neighbours are added, of a task that looks for repeated ones: some 100 bytes each in a hash map.
+KEYS_A_TASK = 500_000
+
+
+def with_neighbors(keys: DataFrame, corpus: DataFrame, most: int = KEYS_A_TASK) -> DataFrame:
+    """(qid, ref_key): the keys of each query and those next to them (number one less or more) that the corpus has, each once.
+
+    `keys` may repeat. They are counted first, as rows are dealt out at once, unsummed, to as many tasks as have about `most` keys each:
+    Spark would deal more rows to a task, or sum most of them up in vain before, the larger the input is.
+    """
     p = keys.where(F.col("ref_key").rlike("문단 ")).select("qid", key_parts(F.col("ref_key")).alias("p")).where("p.n is not null")
     near = p.select("qid", F.explode(F.array(F.col("p.n") - 1, F.col("p.n") + 1)).alias("n"), "p.ho", "p.prefix", "p.tail")
     near = near.select("qid", F.concat("ho", F.lit(" 문단 "), "prefix", F.col("n").cast("string"), "tail").alias("ref_key"))
     near = near.join(corpus.select("ref_key").distinct(), "ref_key", "left_semi")
-    return keys.select("qid", "ref_key").unionByName(near.select("qid", "ref_key")).distinct()
+    tasks = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // most))
+    return keys.select("qid", "ref_key").unionByName(near.select("qid", "ref_key")).repartition(tasks, "qid", "ref_key").distinct()
 
 
 def next_to(x: Column, y: Column) -> Column:

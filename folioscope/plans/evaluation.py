@@ -89,7 +89,7 @@ n AS (SELECT qid, ho || ' 문단 ' || pre || (n + s) AS ref_key FROM p, (SELECT
 SELECT qid, ref_key FROM k UNION SELECT qid, ref_key FROM n WHERE ref_key IN (SELECT ref_key FROM corpus)""")
 def neighbor_expand(spark, d):
     """Every order's keys with the neighbours that the parts have."""
-    keys = table(spark, d, "lineitem").selectExpr("l_orderkey as qid", f"{_KEY} as ref_key").distinct()
+    keys = table(spark, d, "lineitem").selectExpr("l_orderkey as qid", f"{_KEY} as ref_key")
     return J.with_neighbors(keys, table(spark, d, "part").selectExpr(f"{_PART_KEY} as ref_key"))
 
 
