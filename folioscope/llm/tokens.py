@@ -233,21 +233,33 @@ class TokenFile:
 class Cores:
     """Ids of words by Tokenizer.encode, in two generations of at most `most` words met last.
 
-    Words of Latin-1 characters are encoded many at a time, blanks between them, and the library's offsets tell whose ids are whose;
-    others, whose normal form may have other lengths, are texts of their own in a batch.
+    Words of Latin-1 characters are encoded many at a time, blanks between them; the bytes that ids stand for tell whose ids are whose,
+    or the library's offsets, which take it longer, where those do not add up to the words. Others, whose normal form may have other
+    lengths, are texts of their own in a batch.
     """
 
     def __init__(self, tokenizer: str, width: int, most: int = 500_000) -> None:
         self.tokenizer, self.dtype = _tokenizer(tokenizer), np.dtype(f"<u{width}")
         self.most, self.new, self.old = most, {}, {}
         self.plain = _cut_at_marks(tokenizer)
-
-    def _together(self, words: list[bytes] | list[str], text: str) -> Iterator[bytes]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        raw, w = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
-        begin = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e.ids))
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cut = [0, *(w * np.searchsorted(begin, end)).tolist()]
+        self.sizes = _token_bytes(tokenizer) if self.plain else None
+
+    def _together(self, words: list[bytes], text: str) -> Iterator[bytes]:
+        cut = None
+        if self.sizes is not None:
+            (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(e.ids, self.dtype)
+            at, end = np.append(0, np.cumsum(self.sizes[ids])), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            cut = np.searchsorted(at, end)
+            if at[-1] != end[-1] or (at[cut] != end).any():
+                cut = None
+        if cut is None:
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            ids = np.array(e.ids, self.dtype)
+            begin = np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e.ids))
+            cut = np.searchsorted(begin, np.cumsum(np.fromiter((len(w.decode()) for w in words), np.int64, len(words)) + 1))
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        cut = [0, *(w * cut).tolist()]
         return map(raw.__getitem__, map(slice, cut[:-1], cut[1:]))
 
     def _learn(self, words: list[bytes]) -> None:
@@ -257,10 +269,12 @@ class Cores:
             self.new.update(zip(part, self._together(part, b" ".join(part).decode()), strict=True))
         others = [(w, w.decode("utf-8", "replace")) for w in words if not w.isascii()]
         for at in range(0, len(others), 4096):
-            latin = [x for x in others[at : at + 4096] if max(x[1]) < "\u0100"]
-            texts = [t for _, t in latin]
-            self.new.update(zip((w for w, _ in latin), self._together(texts, " ".join(texts)), strict=True))
-            rest = [x for x in others[at : at + 4096] if max(x[1]) >= "\u0100"]
+            blank = lambda t: "\u0085" in t or "\u00a0" in t  # noqa: E731  white space, which is dropped
+            latin = [x for x in others[at : at + 4096] if max(x[1]) < "\u0100" and not blank(x[1])]
+            if latin:
+                mine = [w for w, _ in latin]
+                self.new.update(zip(mine, self._together(mine, " ".join(t for _, t in latin)), strict=True))
+            rest = [x for x in others[at : at + 4096] if max(x[1]) >= "\u0100" or blank(x[1])]
             for (word, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
                 self.new[word] = np.array(e.ids, self.dtype).tobytes()
 
@@ -349,6 +363,20 @@ def _cut_at_marks(path: str) -> bool:
     return known and added and kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
 
 
+@functools.cache
+def _token_bytes(path: str) -> np.ndarray:
+    """How many bytes of text each id of a byte-level vocabulary stands for: a character of a token is a byte."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    suffix = spec["model"].get("end_of_word_suffix") or ""
+    out = np.zeros(_tokenizer(path).get_vocab_size(with_added_tokens=True), np.int64)
+    for token, i in spec["model"]["vocab"].items():
+        out[i] = len(token.removesuffix(suffix))
+    for x in spec["added_tokens"]:
+        out[x["id"]] = len(x["content"].encode())
+    return out
+
+
 def id_width(tokenizer: str) -> int:
     return 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 2**16 else 4
 

@@ -129,3 +129,30 @@ def test_a_word_in_another_case_or_before_a_mark_is_not_encoded_again():
     want = [np.array(t.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in odd]
     assert list(cores.of([w.encode() for w in odd])) == want
     assert tokens._cores(WORDS, 2) is tokens._cores(WORDS, 2)
+
+
+def test_bytes_of_ids_tell_whose_they_are():
+    path = public.path("word_bpe_49k.json")
+    words = ["a", "don't", "x,y.z", "</w>", "<|endoftext|>", "<|EndOfText|>", "İ", "Éa", "ÿß", "a\x1cb", "\x1c", " ", "b c", "\u0085", "ﬁ", "é", "123", "\x00", "--", "``tis", "µm", "w" * 300]
+    for n in (1, 3, len(words)):
+        cores = tokens.Cores(path, 2)
+        for at in range(0, len(words), n):
+            part = [w.encode() for w in words[at : at + n]]
+            want = [np.array(cores.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in part]
+            assert list(cores.of(part)) == want
+
+
+def test_offsets_are_not_asked_for(monkeypatch):
+    cores = tokens.Cores(public.path("word_bpe_49k.json"), 2)
+    real, asked = cores.tokenizer, []
+
+    class Counting:
+        def encode(self, *a, **k):
+            asked.append(a)
+            return real.encode(*a, **k)
+
+        encode_batch_fast = staticmethod(real.encode_batch_fast)
+
+    cores.tokenizer = Counting()
+    list(cores.of([f"word{i},é{i}".encode() for i in range(50)] + [b"plain", b"Words"]))
+    assert not asked
