@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from .spans import LOWER, column_bytes, cut_out, portions, span_hashes, spans
 SHARD_WORDS = 5 << 20
 #: Places that are worked on at a time where whole shards need not be.
 STEP = 1 << 18
-#: Bits of the map of keys that may be frequent: 16 MB. A fuller map lets more rare phrases be counted exactly; it loses none.
+#: Bits of the map of pairs and triples that may be frequent: 16 MB. A fuller map lets more rare phrases be counted; it loses none.
 MAP_BITS = 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KIND = np.zeros(256, np.uint8)  # 0: inside a word, 1: between words, 2: between pieces
@@ -86,14 +87,14 @@ class SuffixAutomaton:
 
 
 class _Shard:
-    """Hashes of about as many words as asked for (with the language), whether each follows the one before it in its piece, the words
-    of each language, and with a map of frequent words their hashes, languages and bytes, once for each portion that has them."""
+    """Hashes of about as many words as asked for (with the language), whether each follows the one before it in its piece, and if
+    asked for the words of each language and their hashes, languages and bytes, once for each portion that has them."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.count, self.totals, self.named = 0, {}, []
 
-    def put(self, p: pa.RecordBatch, seed: int, bits: np.ndarray | None) -> None:
+    def put(self, p: pa.RecordBatch, seed: int, named: bool) -> None:
         raw, rows = column_bytes(p["text"])
         kind = _KIND[raw]
         starts, ends = spans(kind == 0, rows[:-1][rows[:-1] < len(raw)])
@@ -109,12 +110,11 @@ class _Shard:
         h = mixed(span_hashes(low, starts, ends) * _ODD + own[row])
         self.parts.append((h, joined))
         self.count += len(h)
-        if bits is None:
+        if not named:
             return
         for i, n in zip(*np.unique(row, return_counts=True), strict=True):
             self.totals[langs[i]] = self.totals.get(langs[i], 0) + int(n)
-        some = np.flatnonzero(_frequent(bits, h))
-        some = some[np.unique(h[some], return_index=True)[1]]
+        some = np.unique(h, return_index=True)[1]
         self.named.append((h[some], pa.array([langs[i] for i in row[some]], pa.string()), cut_out(low, starts[some], ends[some])))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +124,18 @@ class _Shard:
         return whole
 
     def names(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """Hashes of the frequent words in ascending order, with the language and the bytes of where each stands first."""
+        """Hashes of the words in ascending order, with the language and the bytes of where each stands first."""
         h, first = np.unique(np.concatenate([x[0] for x in self.named]), return_index=True)
         lang, word = (pa.concat_arrays([x[i] for x in self.named]).take(pa.array(first)) for i in (1, 2))
         self.named.clear()
         return h, lang, word
 
 
-def _shards(batches, seed: int, most: int, bits: np.ndarray | None = None) -> Iterator[_Shard]:
-    """Shards of about `most` words, with words' names if a map of frequent ones is given."""
+def _shards(batches, seed: int, most: int, named: bool = False) -> Iterator[_Shard]:
+    """Shards of about `most` words, with words' names if asked for."""
     shard = _Shard()
     for p in portions(batches):
-        shard.put(p, seed, bits)
+        shard.put(p, seed, named)
         if shard.count >= most:
             yield shard
             shard = _Shard()
@@ -170,36 +170,74 @@ def _overlapping(h: np.ndarray, joined: np.ndarray, before: int) -> Iterator[tup
         yield h[lo : at + STEP], joined[lo : at + STEP], at - lo
 
 
-def _sums(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the distinct keys, which are sorted in place."""
-    keys.sort()
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(new)
-    for at in range(0, len(starts), 1 << 17):
-        begin = starts[at : at + (1 << 17)]
-        end = starts[at + len(begin)] if at + len(begin) < len(starts) else len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[begin].view(np.int64)), pa.array(np.diff(begin, append=end))], ["key", "n"])
+def _codes(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each of `h` in the ascending `hashes`."""
+    return np.concatenate([np.searchsorted(hashes, h[at : at + STEP]).astype(np.int32) for at in range(0, len(h), STEP)])
+
+
+def _fixed(values: np.ndarray) -> pa.BinaryArray:
+    """The rows of a matrix of 8-byte numbers as a binary column."""
+    n, d = values.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 8 * d * n + 1, 8 * d, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _rows(key: pa.Array, n, lang: pa.Array | None = None, word: pa.Array | None = None) -> pa.RecordBatch:
+    nulls = pa.nulls(len(key))
+    return pa.RecordBatch.from_arrays([key, lang or nulls.cast(pa.string()), word or nulls.cast(pa.binary()), pa.array(n, pa.int64())], ["key", "lang", "word", "n"])
+
+
+def _spelled(tree: SuffixAutomaton, words: np.ndarray, hashes: np.ndarray, least: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of `least` to `depth` words: each state's longest and its suffixes with the same end positions."""
+    for d in range(least, depth + 1):
+        level, every = tree.levels[d - 1], tree.states(d)
+        for at in range(0, len(every), 1 << 16):
+            s = every[at : at + (1 << 16)]
+            whole = np.stack([hashes[words[level["end"][s] - k]] for k in range(d - 1, -1, -1)], axis=1)
+            for m in range(least, d + 1):
+                has = np.ones(len(s), bool) if m == d else level["shortest"][s] <= m
+                yield _rows(_fixed(whole[has, d - m :]), level["count"][s[has]])
+
+
+def _long_counts(h: np.ndarray, reach: np.ndarray, least: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of `least` to `depth` words of a shard; reach: the words of the longest one that ends at each place."""
+    reach[reach < least] = 1
+    need = np.zeros(len(h), bool)
+    for k in range(min(depth, len(h))):
+        need[: len(h) - k] |= reach[k:] > max(k, 1)
+    some = np.flatnonzero(need)  # a phrase's words stay neighbours
+    del need
+    if not len(some):
+        return
+    h, reach = h[some], reach[some]
+    del some
+    hashes = np.unique(h)
+    words = _codes(hashes, h)
+    del h
+    yield from _spelled(SuffixAutomaton(words, reach, depth), words, hashes, least, depth)
 
 
 def _upper_counts(batches, seed: int, most: int, shared: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the words and word pairs of each shard; with a map of those that are frequent, of three words in which both
-    pairs are. Two of one key only raise each other's count."""
-    for shard in _shards(batches, seed, most):
+    """(key, lang, word, n) of the words and word pairs of each shard; with a map of the pairs that are frequent, of three words in which
+    both pairs are. key is the hashes of a phrase's words, 8 bytes each. lang and word are given for single words; an empty key has
+    all words of a language."""
+    for shard in _shards(batches, seed, most, shared is None):
+        if shared is not None:
+            h, joined = shard.words()
+            reach = np.concatenate([np.where(_triples(shared.value, part, follows)[1], 3, 1)[skip:].astype(np.int8) for part, follows, skip in _overlapping(h, joined, 3)])
+            del joined
+            yield from _long_counts(h, reach, 3, 3)
+            continue
+        totals = shard.totals
+        yield _rows(pa.array([b""] * len(totals), pa.binary()), list(totals.values()), pa.array(list(totals), pa.string()))
+        hashes, lang, word = shard.names()
         h, joined = shard.words()
-        keys, n = np.empty(len(h), np.uint64), 0
-        for part, follows, skip in _overlapping(h, joined, 3):
-            if shared is None:
-                found = _key(part, part)[skip:][follows[skip:]]
-            else:
-                _, three, key = _triples(shared.value, part, follows)
-                found = key[skip:][three[skip:]]
-            keys[n : n + len(found)] = found
-            n += len(found)
-        yield from _sums(keys[:n])
-        del keys
-        if shared is None:
-            yield from _sums(h)
+        words = _codes(hashes, h)
+        del h
+        tree = SuffixAutomaton(words, joined.astype(np.int8) + 1, 2)
+        for at in range(0, len(hashes), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield _rows(_fixed(hashes[part, None]), tree.levels[0]["count"][part], lang[part], word[part])
+        yield from _spelled(tree, words, hashes, 2, 2)
 
 
 def _reach(bits: np.ndarray, h: np.ndarray, joined: np.ndarray, depth: int) -> np.ndarray:
@@ -217,46 +255,13 @@ def _reach(bits: np.ndarray, h: np.ndarray, joined: np.ndarray, depth: int) -> n
     return out
 
 
-def _fixed(values: np.ndarray) -> pa.BinaryArray:
-    """The rows of a matrix of 8-byte numbers as a binary column."""
-    n, d = values.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 8 * d * n + 1, 8 * d, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def _exact_counts(batches, seed: int, most: int, depth: int, shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(key, shortest, lang, word, n) of each shard. key is the hashes of a phrase's words, 8 bytes each; its suffixes of `shortest`
-    words or more have n occurrences too. lang and word are given for single words; an empty key has all words of a language."""
-    bits = shared.value
-
-    def rows(key, shortest, n, lang=None, word=None) -> pa.RecordBatch:
-        nulls = pa.nulls(len(key))
-        columns = [key, pa.array(shortest, pa.int32()), lang or nulls.cast(pa.string()), word or nulls.cast(pa.binary()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["key", "shortest", "lang", "word", "n"])
-
-    for shard in _shards(batches, seed, most, bits):
-        totals = shard.totals
-        yield rows(pa.array([b""] * len(totals), pa.binary()), [0] * len(totals), list(totals.values()), pa.array(list(totals), pa.string()))
-        hashes, lang, word = shard.names()
+    """The same of the phrases of 4 to `depth` words in which all pairs and triples may be frequent."""
+    for shard in _shards(batches, seed, most):
         h, joined = shard.words()
-        if not len(hashes):
-            continue
-        reach = _reach(bits, h, joined, depth)
-        some = np.flatnonzero(_frequent(bits, h))
-        words = np.concatenate([np.searchsorted(hashes, h[some[at : at + STEP]]).astype(np.int32) for at in range(0, len(some), STEP)])
-        del h, joined
-        follows = np.diff(some, prepend=-2) == 1  # the one before it in the text may be frequent too
-        place = np.arange(len(some), dtype=np.int32)
-        most_words = 1 + place - np.maximum.accumulate(np.where(follows, np.int32(0), place))
-        reach = np.minimum(reach[some], most_words).astype(np.int8)
-        del some, follows, place, most_words
-        tree = SuffixAutomaton(words, reach, depth)
-        yield rows(_fixed(hashes[:, None]), np.ones(len(hashes), np.int32), tree.levels[0]["count"], lang, word)
-        for d in range(2, depth + 1):
-            level, every = tree.levels[d - 1], tree.states(d)
-            for at in range(0, len(every), 1 << 16):
-                s = every[at : at + (1 << 16)]
-                spelled = np.stack([hashes[words[level["end"][s] - k]] for k in range(d - 1, -1, -1)], axis=1)
-                yield rows(_fixed(spelled), np.maximum(level["shortest"][s], 2), level["count"][s])
+        reach = _reach(shared.value, h, joined, depth).astype(np.int8)
+        del joined
+        yield from _long_counts(h, reach, 4, depth)
 
 
 def _shared_hashes(counted: DataFrame) -> DataFrame:
@@ -264,12 +269,23 @@ def _shared_hashes(counted: DataFrame) -> DataFrame:
     return counted.where("word is not null").groupBy("key").count().where("count > 1")
 
 
-def _map(upper: DataFrame, least: int, map_bits: int) -> np.ndarray:
-    """A bit for each key, modulo 2^map_bits, whose counts add up to `least`."""
-    # keys of a shard are distinct already, so a map of them before the shuffle would only fill memory
-    sums = upper.repartition(shuffle_partitions(upper.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _keys(batches) -> Iterator[pa.RecordBatch]:
+    """The keys of :func:`_triples` of pairs and longer phrases, of their words' hashes."""
+    for b in batches:
+        sizes = pc.binary_length(b["key"])
+        for size in pc.unique(sizes).to_pylist():
+            h = column_bytes(b["key"].filter(pc.equal(sizes, size)))[0].view(np.uint64).reshape(-1, size // 8)
+            key = h[:, 0]
+            for k in range(1, size // 8):
+                key = mixed(key * _ODD ^ h[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+
+def _map(phrases: DataFrame, map_bits: int) -> np.ndarray:
+    """A bit for each phrase's key, modulo 2^map_bits."""
     bit = F.col("key").bitwiseAND(F.lit(2**map_bits - 1))
-    parts = sums.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    keys = phrases.select("key").mapInArrow(_keys, "key long")
+    parts = keys.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros(max(2**map_bits // 8, 4096), np.uint8)
     for r in parts.collect():  # 2^map_bits / 2^15 rows of 4 KB at most
         bits[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)
@@ -277,34 +293,37 @@ def _map(upper: DataFrame, least: int, map_bits: int) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, depth: int = 4, least: int = 30, most_words: int = SHARD_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
-    """(key, lang, word, n): every phrase of at most `depth` words with n >= `least` occurrences; see :func:`_exact_counts`.
+    """(key, lang, word, n): every phrase of at most `depth` words with n >= `least` occurrences; see :func:`_upper_counts`.
 
-    A first pass sums counts of hashed words and word pairs, a second one those of three words. Those that reach `least` set bits of
-    a map of 2^`map_bits`, which is all that is broadcast; phrases of such words, pairs and triples alone are counted in the last
-    pass, exactly. Words are told apart by 64-bit hashes; if two words share one, all is done again under another seed.
+    A phrase is sent once by each shard that has it, in one of three passes: words and pairs; three words in which both pairs reach
+    `least`; longer ones in which all triples do. Pairs and triples that do set bits of a map of 2^`map_bits`, which is all that is
+    broadcast; a fuller map lets more rare phrases be counted and loses none. Words are told apart by 64-bit hashes; if two words
+    share one, all is done again under another seed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
-    def upper(seed: int, shared: Broadcast | None) -> DataFrame:
-        return rows.mapInArrow(lambda it: _upper_counts(it, seed, most_words, shared), "key long, n long")
-
-    def exact(seed: int, shared: Broadcast) -> DataFrame:
-        states = rows.mapInArrow(lambda it: _exact_counts(it, seed, most_words, depth, shared), "key binary, shortest int, lang string, word binary, n long")
-        lengths = states.withColumn("m", F.explode(F.expr("sequence(shortest, cast(length(key) / 8 as int))")))
-        return lengths.select(F.expr("substring(key, length(key) - 8 * m + 1)").alias("key"), "lang", "word", "n").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+    def summed(counts: Callable) -> DataFrame:
+        # keys of a shard are distinct already, so a map of them before the shuffle would only fill memory
+        found = rows.mapInArrow(counts, "key binary, lang string, word binary, n long").repartition(2 * shuffle_partitions(spark), "key")
+        return saved(found.groupBy("key", "lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("lang").isNotNull()))
 
     for seed in range(8):
-        bits = _map(upper(seed, None), least, map_bits)
+        low = summed(lambda it, seed=seed: _upper_counts(it, seed, most_words, None))
+        if _shared_hashes(low).limit(1).count():
+            continue
+        counted = low.where((F.col("n") >= least) | (F.length("key") == 0)).where(F.length("key") <= 8 * depth)
         if depth > 2:
+            bits = _map(counted.where("length(key) = 16"), map_bits)
             shared = spark.sparkContext.broadcast(bits)
-            bits = bits | _map(upper(seed, shared), least, map_bits)
+            three = summed(lambda it, seed=seed, shared=shared: _upper_counts(it, seed, most_words, shared))
+            shared.unpersist()
+            counted = counted.unionByName(three)
+        if depth > 3:
+            shared = spark.sparkContext.broadcast(bits | _map(three, map_bits))
+            counted = counted.unionByName(summed(lambda it, seed=seed, shared=shared: _exact_counts(it, seed, most_words, depth, shared)))
             shared.unpersist()
-        shared = spark.sparkContext.broadcast(bits)
-        counted = saved(exact(seed, shared).where((F.col("n") >= least) | F.col("lang").isNotNull()))
-        shared.unpersist()
-        if not _shared_hashes(counted).limit(1).count():
-            return counted.where((F.col("n") >= least) | (F.length("key") == 0))
+        return counted
     raise RuntimeError("words share 64-bit hashes under eight seeds")
 
 

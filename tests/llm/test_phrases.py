@@ -156,3 +156,28 @@ def test_a_shard_takes_little_memory_a_word():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 75 * n
+
+
+def test_a_shard_sends_a_phrase_in_one_pass_with_its_exact_count():
+    """Words, pairs and triples were sent by each shard a second time, once frequent."""
+    import pyarrow as pa
+
+    rows = [(x or "und", t or "") for x, t in texts(11, 200)]
+    b = pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows], "text": [t.encode() for _, t in rows]})
+    shared = type("Shared", (), {"value": np.full(1 << 13, 255, np.uint8)})
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update((lang, *w[i : i + k]) for k in (1, 2, 3, 4, 5) for i in range(len(w) - k + 1))
+    passes = [[x for r in found for x in r.to_pylist()] for found in (phrases._upper_counts([b], 0, 1 << 22, None), phrases._upper_counts([b], 0, 1 << 22, shared), phrases._exact_counts([b], 0, 1 << 22, 5, shared))]
+    assert [{len(r["key"]) // 8 for r in p} for p in passes] == [{0, 1, 2}, {3}, {4, 5}]
+    sent = [r for p in passes for r in p if r["key"]]
+    names = {r["key"]: (r["lang"], r["word"].decode()) for r in sent if r["word"] is not None}
+    spelled = [[names[r["key"][i : i + 8]] for i in range(0, len(r["key"]), 8)] for r in sent]
+    got = Counter({(s[0][0], *(w for _, w in s)): r["n"] for s, r in zip(spelled, sent, strict=True)})
+    assert len(sent) == len(got) and got == want
+
+
+def test_a_shard_shorter_than_the_longest_phrase():
+    assert list(phrases._long_counts(np.array([5, 6], np.uint64), np.array([1, 2], np.int8), 4, 4)) == []
