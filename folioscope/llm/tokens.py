@@ -10,7 +10,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from operator import itemgetter
+from itertools import compress
+from operator import itemgetter, not_
 
 import numpy as np
 import pyarrow as pa
@@ -230,12 +231,17 @@ class TokenFile:
         return np.frombuffer(self.file.read_at((end - start) * w, len(MAGIC) + start * w), self.dtype)
 
 
+#: Characters whose words are encoded alone: white space that is dropped, what may begin an added token, and all past Latin-1.
+_ALONE = re.compile("[\u0085\u00a0<\u0100-\U0010ffff]")
+
+
 class Cores:
     """Ids of words by Tokenizer.encode, in two generations of at most `most` words met last.
 
-    Words of Latin-1 characters are encoded many at a time, blanks between them; the bytes that ids stand for tell whose ids are whose,
-    or the library's offsets, which take it longer, where those do not add up to the words. Others, whose normal form may have other
-    lengths, are texts of their own in a batch.
+    Words of Latin-1 characters, which the normaliser would only lower-case, pass by it where :func:`_cut_at_marks` knows it. They are
+    encoded many at a time, blanks between them; the bytes that ids stand for tell whose ids are whose, or the library's offsets, which
+    take it longer, where those do not add up to the words. Others, whose normal form may have other lengths, are texts of their own
+    in a batch.
     """
 
     def __init__(self, tokenizer: str, width: int, most: int = 500_000) -> None:
@@ -243,11 +249,12 @@ class Cores:
         self.most, self.new, self.old = most, {}, {}
         self.plain = _cut_at_marks(tokenizer)
         self.sizes = _token_bytes(tokenizer) if self.plain else None
+        self.bare = _without_normalizer(tokenizer) if self.plain else None
 
-    def _together(self, words: list[bytes], text: str) -> Iterator[bytes]:
+    def _together(self, words: list[bytes], text: str, tokenizer) -> Iterator[bytes]:
         cut = None
         if self.sizes is not None:
-            (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            (e,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             at, end = np.append(0, np.cumsum(self.sizes[ids])), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
             cut = np.searchsorted(at, end)
@@ -264,41 +271,47 @@ class Cores:
 
     def _learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if w.isascii()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            self.new.update(zip(part, self._together(part, b" ".join(part).decode()), strict=True))
+        low = [w for w in plain if b"<" not in w] if self.bare else []
+        for tokenizer, some in ((self.bare, low), (self.tokenizer, [w for w in plain if b"<" in w] if self.bare else plain)):
+            for at in range(0, len(some), 1 << 15):
+                part = some[at : at + (1 << 15)]
+                self.new.update(zip(part, self._together(part, b" ".join(part).decode(), tokenizer), strict=True))
         others = [(w, w.decode("utf-8", "replace")) for w in words if not w.isascii()]
-        for at in range(0, len(others), 4096):
-            blank = lambda t: "\u0085" in t or "\u00a0" in t  # noqa: E731  white space, which is dropped
-            latin = [x for x in others[at : at + 4096] if max(x[1]) < "\u0100" and not blank(x[1])]
-            if latin:
-                mine = [w for w, _ in latin]
-                self.new.update(zip(mine, self._together(mine, " ".join(t for _, t in latin)), strict=True))
-            rest = [x for x in others[at : at + 4096] if max(x[1]) >= "\u0100" or blank(x[1])]
-            for (word, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+        alone = [_ALONE.search(t) is not None for _, t in others]
+        latin = list(compress(others, map(not_, alone)))
+        for at in range(0, len(latin), 1 << 15):
+            part = latin[at : at + (1 << 15)]
+            mine, text = [w for w, _ in part], " ".join(t for _, t in part)
+            self.new.update(zip(mine, self._together(mine, text.lower() if self.bare else text, self.bare or self.tokenizer), strict=True))
+        rest = list(compress(others, alone))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for (word, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 self.new[word] = np.array(e.ids, self.dtype).tobytes()
 
-    def cut(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word and the mark behind it, which have the ids of both one after the other."""
-        mark = b""
-        if self.plain:
-            if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-                word, mark = word[:-1], word[-1:]
-            if word.isascii() and b"<" not in word:
-                word = word.lower()
-        return word, mark
-
-    def of(self, words: list[bytes]) -> Iterator[bytes]:
+    def parts(self, words: list[bytes]) -> tuple[list[bytes], dict[int, bytes]]:
+        """Each word without the mark behind it, and the marks by the word's place; the ids of a word are those of both in turn."""
+        if not self.plain:
+            return words, {}
+        marks = {i: w[-1:] for i, w in enumerate(words) if w.endswith((b",", b".")) and w[-2:-1].isalpha()}
+        words = words.copy()
+        for i in marks:
+            words[i] = words[i][:-1]
+        return [w.lower() if w.isascii() and b"<" not in w else w for w in words], marks
+
+    def of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes."""
         if len(self.new) > self.most:  # what has not been met since the last turn goes
             self.old, self.new = self.new, {}
-        parts = list(map(self.cut, words))
-        new = {x for part in parts for x in part}.difference(self.new)
+        cores, marks = self.parts(words)
+        new = {b"", *cores, *marks.values()}.difference(self.new)
         known = new.intersection(self.old)
         self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
         self._learn(list(new - known))
-        get = self.new.__getitem__
-        return (get(core) + get(mark) if mark else get(core) for core, mark in parts)
+        out = list(map(self.new.__getitem__, cores))
+        for i, mark in marks.items():
+            out[i] += self.new[mark]
+        return out
 
 
 @functools.cache
@@ -312,8 +325,8 @@ class WordIds:
 
     A word is what stands between ASCII white space. Cutting there changes nothing for a tokenizer that drops white space, splits
     by a pattern that never crosses it and normalises without looking across it. Where :func:`_cut_at_marks` allows it, a word is
-    looked up without the comma or full stop behind an ASCII letter, and ASCII words in lower case. Words as they stand are remembered
-    for one task, what was encoded by the worker process.
+    looked up without the comma or full stop behind an ASCII letter, and ASCII words in lower case. Words as they stand and what
+    was encoded are both remembered by the worker process, see :func:`_word_ids`.
     """
 
     def __init__(self, tokenizer: str, width: int, most: int = 250_000) -> None:
@@ -332,6 +345,12 @@ class WordIds:
         return (b"".join(map(self.new.__getitem__, words)) for words in split)
 
 
+@functools.cache
+def _word_ids(tokenizer: str, width: int) -> WordIds:
+    """One per worker process, so that later tasks know the words of earlier ones as they stand."""
+    return WordIds(tokenizer, width)
+
+
 def _portions(batches, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Rows of (doc, text) in runs of about `most` bytes of text."""
     for b in batches:
@@ -351,6 +370,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def _without_normalizer(path: str):
+    """The tokenizer for texts that its normaliser would leave as they are."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        return Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
+
+
 @functools.cache
 def _cut_at_marks(path: str) -> bool:
     """Whether the tokenizer is of the kind that lower-cases after composing, and never keeps a letter and a mark together."""
@@ -392,7 +420,7 @@ def _write(batches, folder: str, tokenizer: str, width: int, end_id: int) -> Ite
     system, root = fs.FileSystem.from_uri(folder)
     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
     system.create_dir(root, recursive=True)
-    words, end = WordIds(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+    words, end = _word_ids(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
     lengths, keys = [], []
     try:
         with system.open_output_stream(f"{root}/{name}") as out:

@@ -156,3 +156,27 @@ def test_offsets_are_not_asked_for(monkeypatch):
     cores.tokenizer = Counting()
     list(cores.of([f"word{i},é{i}".encode() for i in range(50)] + [b"plain", b"Words"]))
     assert not asked
+
+
+def test_latin_words_pass_by_the_normaliser():
+    cores = tokens.Cores(WORDS, 2)
+    real, asked = cores.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, some, **k):
+            asked.extend(some)
+            return real.encode_batch_fast(some, **k)
+
+    cores.tokenizer = Counting()
+    words = ["Folio,", "IT'S", "ÀÉÎÕÜÞ.", "Straße", "µM", "ÿ", "x×Y÷z", "J̌", "ﬁ", "É<|endoftext|>", "a\x85É", "ÉA\xa0b", "a<B"]
+    want = [np.array(real.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words]
+    assert list(cores.of([w.encode() for w in words])) == want
+    assert sorted(asked) == sorted(["J̌", "ﬁ", "É<|endoftext|>", "a\x85É", "ÉA\xa0b", "a<B"])
+
+
+def test_words_as_they_stand_are_remembered_over_tasks():
+    assert tokens._word_ids(WORDS, 2) is tokens._word_ids(WORDS, 2)
+    words = tokens.WordIds(WORDS, 2)
+    first, asked = list(words.of([b"Kept, words.", b""])), []
+    words.cores = type("Asked", (), {"of": staticmethod(lambda some: asked.extend(some) or [])})
+    assert list(words.of([b"Kept, words.", b""])) == first and not asked
